@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import pieces
+from millrace.llm import licenses, pieces
 
 _QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op7_sentencepiece": pieces.op7_sentencepiece,
 }
 
