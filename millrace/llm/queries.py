@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import licenses, pages, pieces
+from millrace.llm import licenses, pages, pieces, private
 
 _QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
+    "op8_private_data": private.op8_private_data,
     "op10_html_text": pages.op10_html_text,
     "op7_sentencepiece": pieces.op7_sentencepiece,
 }
