@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import licenses, near_dups, nearest, pages, pieces, private, vector_dups
+from millrace.llm import languages, licenses, near_dups, nearest, pages, pieces, private, quality, vector_dups
 
 _QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op8_private_data": private.op8_private_data,
+    "op9_quality": quality.op9_quality,
     "op10_html_text": pages.op10_html_text,
     "op3_nearest_neighbours": nearest.op3_nearest_neighbours,
     "op4_embedding_near_dups": vector_dups.op4_embedding_near_dups,
+    "op5_language_id": languages.op5_language_id,
     "op6_minhash_near_dups": near_dups.op6_minhash_near_dups,
     "op7_sentencepiece": pieces.op7_sentencepiece,
 }
