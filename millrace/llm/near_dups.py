@@ -2,16 +2,19 @@
 
 A document's sketch is its k smallest shingle hashes. Documents with the same shingle set are one from the start.
 Inverted lists of retained values give pairs, the sketch of the union estimates their similarity, and full sets
-confirm it. Lists are worked off in two rounds, so that a list of many copies doesn't give all its pairs:
-
-1. each member of a list is paired with the list's smallest document, and confirmed pairs are joined to components;
-2. members of one list that are still in different components are paired. Lists of at most ``short`` members do so
-   directly. Documents with too few values in short lists ("warm" ones) also meet in their long lists, in blocks of
-   bounded size, which only look at pairs across components.
-
-A pair of similarity t shares each retained value with probability t at least, whatever the texts are, since the
-hash is independent of them. At 0.85 and k = 32 the chance that a pair shares under a quarter of a sketch, has an
-estimate below ``floor``, or misses all short lists of a document that isn't warm, is below one in ten million each.
+confirm it. Only components are asked for, so lists are worked off in two rounds and never give all pairs of copies:
+
+1. each document meets bounded chunks of the lists of its two smallest shared values, is paired with its few closest
+   partners there, and confirmed pairs are joined to components. This round may miss links.
+2. what may still link across components is looked at in full. Lists of two neighbouring retained values, which
+   documents that merely share a passage seldom have in common, give pairs directly if they are short. "Warm"
+   documents, with too few such lists, also meet in the lists of their ``first`` smallest values: those outside the
+   list's largest component meet all others in blocks of bounded size, where full sets are compared at once and only
+   links of a spanning forest come out.
+
+A pair of similarity t shares each of the union's k smallest values with probability t at least, whatever the texts
+are, since the hash is independent of them. At 0.85 and k = 32 the chance that a pair has an estimate below ``floor``,
+misses all of 24 neighbour lists, or shares none of the 8 smallest values, is below one in a million each.
 """
 
 from __future__ import annotations
@@ -91,39 +94,81 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _block_pairs(blocks: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs of members of a block in different components whose sketches share enough values and whose sizes agree."""
+def _overlaps(owner: np.ndarray, values: np.ndarray, at: np.ndarray, n: int):
+    """A function that gives, for member m, how many of its values each of the n members has."""
+    _, group, size = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(group, kind="stable")
+    start = np.cumsum(size) - size
+
+    def counts(m: int) -> np.ndarray:
+        g = group[at[m] : at[m + 1]]
+        many = size[g]
+        take = np.repeat(start[g] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        return np.bincount(owner[order[take]], minlength=n)
+
+    return counts
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and value of all entries, and where each list begins."""
+    at = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return np.repeat(np.arange(len(column)), np.diff(at)), column.flatten().to_numpy(), at
+
+
+def _closest(chunks: DataFrame, partners: int, kind: str) -> DataFrame:
+    """(a, b): for each member of a chunk the few others that share most of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                i_part, j_part = batch.column("i")[i].as_py(), batch.column("j")[i].as_py()
-                members = batch.column("members")[i].values.flatten()
-                ids, n, part, component, sketch = members
-                n, part = n.to_numpy(), part.to_numpy()
-                _, component = np.unique(component.to_numpy(), return_inverse=True)
-                at = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
-                values = sketch.flatten().to_numpy()
-                owner = np.repeat(np.arange(len(n)), np.diff(at))
-                main = np.bincount(component).argmax()
-                found_a, found_b = [], []
-                for m in np.flatnonzero(component != main):
-                    shared = np.bincount(owner[np.isin(values, values[at[m] : at[m + 1]])], minlength=len(n))
-                    ok = (shared >= least * np.minimum(np.diff(at), at[m + 1] - at[m])) & (component != component[m])
-                    ok &= (component == main) | (np.arange(len(n)) > m)
-                    ok &= (100 * n >= percent * n[m]) & (100 * n[m] >= percent * n)
-                    if i_part != j_part:
-                        ok &= part != part[m]
-                    other = np.flatnonzero(ok)
-                    found_a += [m] * len(other)
-                    found_b += other.tolist()
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found_a, pa.int64())), ids.take(pa.array(found_b, pa.int64()))], names=["p", "q"])
-
-    kind = blocks.schema["members"].dataType.elementType["doc_id"].dataType.simpleString()
-    return blocks.mapInArrow(run, f"p {kind}, q {kind}").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def near_duplicates(df: DataFrame, percent: int = 85, size: int = 5, k: int = 32, short: int = 64, cold: int = 20, floor: float = 0.45, block: int = 2048) -> DataFrame:
+                ids, sketch = batch.column("members")[i].values.flatten()
+                owner, values, at = _lists(sketch)
+                length, n = np.diff(at), len(ids)
+                counts = _overlaps(owner, values, at, n)
+                p, q = [], []
+                for m in range(n):
+                    shared = counts(m)
+                    shared[m] = 0
+                    best = np.argsort(-shared, kind="stable")[:partners]
+                    best = best[2 * shared[best] >= np.minimum(length[best], length[m])]
+                    p += [m] * len(best)
+                    q += best.tolist()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p, pa.int64())), ids.take(pa.array(q, pa.int64()))], names=["p", "q"])
+
+    return chunks.select("members").mapInArrow(run, f"p {kind}, q {kind}").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct()
+
+
+def _block_links(blocks: DataFrame, percent: int, kind: str) -> DataFrame:
+    """(a, b): a spanning forest of the confirmed links between the asking members of a block and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, asks, component, full = batch.column("members")[i].values.flatten()
+                asks = asks.to_numpy(zero_copy_only=False)
+                _, component = np.unique(component.to_numpy(zero_copy_only=False), return_inverse=True)
+                owner, values, at = _lists(full)
+                size, n = np.diff(at), len(ids)
+                counts = _overlaps(owner, values, at, n)
+                p, q = [], []
+                for m in np.flatnonzero(asks):
+                    if (component == component[m]).all():
+                        break
+                    both = counts(m)
+                    near = np.flatnonzero((100 * both >= percent * (size + size[m] - both)) & (component != component[m]))
+                    _, one = np.unique(component[near], return_index=True)
+                    for o in near[one]:
+                        p.append(m)
+                        q.append(o)
+                        component[component == component[o]] = component[m]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p, pa.int64())), ids.take(pa.array(q, pa.int64()))], names=["p", "q"])
+
+    return blocks.select("members").mapInArrow(run, f"p {kind}, q {kind}").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def near_duplicates(
+    df: DataFrame, percent: int = 85, size: int = 5, k: int = 32, short: int = 32, cold: int = 24, first: int = 8, floor: float = 0.45, partners: int = 3, block: int = 512
+) -> DataFrame:
     """One row for each row of (doc_id, text): n_shingles, component_id and whether the document is its component's first.
 
     Documents link if 100 * |A and B| >= percent * |A or B| for their sets of distinct word shingles. Null, empty and
@@ -131,45 +176,50 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = 5, k: int = 32
     other columns are not read.
     """
     df = df.select("doc_id", "text")
+    kind = df.schema["doc_id"].dataType.simpleString()
     base = stored(sketches(df, k, size))
     nodes = stored(base.filter("n > 0 and doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("same", "x.*"))
-    lists = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-    postings = nodes.select("doc_id", "n", F.size("sketch").alias("retained"), F.explode("sketch").alias("value")).join(lists, "value")
+
+    pairs_of = "if(size(sketch) < 2, array(xxhash64(sketch[0])), transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])))"
+    keyed = nodes.select("doc_id", "n", F.expr(pairs_of).alias("keys"))
+    lists = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
+    postings = keyed.select("doc_id", "n", F.size("keys").alias("retained"), F.explode("keys").alias("key")).join(lists, "key")
     active = postings.groupBy("doc_id").agg(F.count("*").alias("shared"), F.count_if(F.col("length") <= short).alias("cold"), F.first("retained").alias("retained"))
-    active = stored(active.filter("shared * 4 >= retained"))
-    unique = F.col("retained") - F.col("shared")
-    warm = active.select("doc_id", (F.col("cold") + unique < F.least(F.lit(cold), F.col("retained"))).alias("warm"))
-    postings = stored(postings.join(warm, "doc_id"))
-    few = stored(nodes.join(active.select("doc_id"), "doc_id").select("doc_id", "n", "sketch"))
-    sets = stored(full_sets(df.join(active.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
-
-    leaders = cut(postings.groupBy("value").agg(F.min("doc_id").alias("a")))
-    stars = postings.join(leaders, "value").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = cut(_confirmed(cut(_likely(cut(stars), few, k, floor)), sets, percent))
-    first = smallest_reachable(links).withColumnRenamed("node", "doc_id")
-
-    placed = stored(postings.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    active = active.filter("shared * 10 >= retained").withColumn("warm", F.expr(f"retained - shared + cold < least({cold}, retained)"))
+    few = stored(nodes.join(active.select("doc_id", "warm"), "doc_id").select("doc_id", "n", "sketch", "warm"))
+    short_lists = stored(postings.filter(F.col("length") <= short).join(few.select("doc_id"), "doc_id").select("key", "doc_id", "n"))
+    sets = stored(full_sets(df.join(few.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
+
+    values = few.select("doc_id", F.posexplode("sketch").alias("place", "value"))
+    common = values.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
+    smallest = stored(values.join(common, "value").groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "value", "length"))), 1, 2).alias("v")))
+    met = smallest.select("doc_id", F.explode("v").alias("v")).join(few.select("doc_id", "sketch"), "doc_id")
+    met = met.groupBy("v.value", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(v.length / {block}) as bigint))").alias("part"))
+    near = _closest(met.agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).filter("size(members) > 1"), partners, kind)
+    links = cut(_confirmed(cut(near), sets, percent))
+    known = cut(smallest_reachable(links).withColumnRenamed("node", "doc_id"))
+    placed = stored(few.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+
+    by_list = short_lists.join(placed.select("doc_id", "component"), "doc_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "component"))).alias("m"))
+    by_list = by_list.filter("exists(m, x -> x.component <> m[0].component)")
     agree = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-    by_list = placed.filter(F.col("length") <= short).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "component"))).alias("m"))
-    by_list = by_list.filter("size(m) > 1 and exists(m, x -> x.component <> m[0].component)")
     inner = f"transform(filter(m, y -> y.doc_id > x.doc_id and y.component <> x.component and {agree}), y -> named_struct('a', x.doc_id, 'b', y.doc_id))"
     direct = by_list.select(F.explode(F.expr(f"flatten(transform(m, x -> {inner}))")).alias("p")).select("p.*").distinct()
-
-    long_lists = placed.filter((F.col("length") > short) & F.col("warm"))
-    ranked = long_lists.groupBy("doc_id", "n", "component").agg(F.slice(F.array_sort(F.collect_list("value")), 1, 12).alias("values"))
-    entries = cut(ranked.select("doc_id", "n", "component", F.explode("values").alias("value")))
-    mixed = entries.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = cut(mixed.filter("lo <> hi").select("value", F.ceil(F.col("members") / block).cast("int").alias("parts")))
-    dealt = entries.join(mixed, "value").join(few.select("doc_id", "sketch"), "doc_id").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id, value), parts) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    member = F.struct("doc_id", "n", "part", "component", "sketch")
-    blocks = dealt.groupBy("value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-    across = direct.union(_block_pairs(blocks.select("i", "j", "members"), 0.4, percent)).distinct()
-    more = cut(_confirmed(cut(_likely(cut(across), few, k, floor)), sets, percent))
-
-    final = smallest_reachable(links.union(more))
-    known = cut(nodes.select("same", "doc_id").join(final, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("component")))
-    out = base.drop("sketch").join(known, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    links = links.union(cut(_confirmed(cut(_likely(cut(direct), few, k, floor)), sets, percent)))
+
+    warm = placed.filter("warm").select("doc_id", "component", F.explode(F.slice("sketch", 1, first)).alias("value"))
+    mains = warm.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("components"), F.max("count").alias("most"))
+    mains = cut(mains.filter("components > 1").select("value", "main", F.expr(f"cast(ceil(members / {block}) as int)").alias("parts"), F.expr(f"cast(ceil((members - most) / {block}) as int)").alias("asking")))
+    dealt = warm.join(mains, "value").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id, value), parts) as int)")).withColumn("ask", F.expr("if(component = main, -1, cast(pmod(xxhash64(doc_id, value, 1), asking) as int))"))
+    as_other = dealt.select("value", "part", F.explode(F.expr("sequence(0, asking - 1)")).alias("i"), "doc_id", "component", F.lit(False).alias("asks"))
+    as_asking = dealt.filter("ask >= 0").select("value", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("ask").alias("i"), "doc_id", "component", F.lit(True).alias("asks"))
+    rows = as_other.union(as_asking).join(sets, "doc_id")
+    blocks = rows.groupBy("value", "part", "i").agg(F.collect_list(F.struct("doc_id", "asks", "component", "full")).alias("members"))
+    links = cut(links.union(_block_links(blocks, percent, kind)))
+
+    final = smallest_reachable(links)
+    named = cut(nodes.select("same", "doc_id").join(final, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("component")))
+    out = base.drop("sketch").join(named, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
