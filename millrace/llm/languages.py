@@ -172,8 +172,8 @@ def train(df: DataFrame, each: int = 1000, most: int = 6000) -> LanguageModel |
     return fit(rows, names, idf)
 
 
-def predict(df: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Adds lang_pred and score to (doc_id, text); und with score 0 if the text is null or has no letter."""
+def predict(df: DataFrame, model: LanguageModel | None, label: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Adds the label and its score to rows with a text; und with score 0 if the text is null or has no letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -185,10 +185,10 @@ def predict(df: DataFrame, model: LanguageModel | None) -> DataFrame:
                 best = p.argmax(axis=1)
                 names = [model.names[b] if some else UNKNOWN for b, some in zip(best, letters > 0)]
                 score = np.where(letters > 0, p[np.arange(len(p)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, label, score_name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return df.mapInArrow(run, f"{fields}, `{label}` string, `{score_name}` double")
 
 
 def identify(df: DataFrame) -> DataFrame:

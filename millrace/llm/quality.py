@@ -169,15 +169,32 @@ def train(rows: DataFrame, ridge: float = 1e-3, bins: int = 512) -> QualityModel
     return QualityModel(kernel, weights, np.array([s[1] for s in sums]), steps)
 
 
+def predict(df: DataFrame, model: QualityModel | None, into: str = "score") -> DataFrame:
+    """Adds the score of each text to rows of any columns; 0.5 without a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            score = model.scores(statistics(part.column("text"))) if model else np.full(part.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, into])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, `{into}` double")
+
+
+def train_on(df: DataFrame, labels: DataFrame) -> tuple[QualityModel | None, DataFrame]:
+    """The model from labelled rows whose crc32 of the id isn't 0 modulo 5, and the statistics of all rows."""
+    rows = stored(with_statistics(df))
+    known = labels.filter("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    return train(rows.filter(crc_fold() != 0).join(known, "doc_id")), rows
+
+
 def score_quality(df: DataFrame, labels: DataFrame, keep_from: float = 0.3) -> DataFrame:
     """One row for each row of (doc_id, text): held_out, score and predicted.
 
     Trains on labelled rows whose crc32 of the id isn't 0 modulo 5. Null and empty texts have zero statistics and a
     score like others; without any labels scores are 0.5. Repeated rows give repeated rows; other columns are not read.
     """
-    rows = stored(with_statistics(df))
-    known = labels.filter("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    model = train(rows.filter(crc_fold() != 0).join(known, "doc_id"))
+    model, rows = train_on(df, labels)
     scored = _mapped(rows, lambda x: model.scores(x) if model else np.full(len(x), 0.5), "score")
     return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= keep_from).cast("int").alias("predicted"))
 

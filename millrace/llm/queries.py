@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import languages, licenses, near_dups, nearest, pages, pieces, private, quality, vector_dups
+import corpus_pipeline
+from millrace.llm import languages, licenses, near_dups, nearest, packing, pages, pieces, private, quality, vector_dups
 
 _QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_license_scan": licenses.op2_license_scan,
     "op8_private_data": private.op8_private_data,
     "op9_quality": quality.op9_quality,
     "op10_html_text": pages.op10_html_text,
+    "pipeline": corpus_pipeline.run,
     "op3_nearest_neighbours": nearest.op3_nearest_neighbours,
     "op4_embedding_near_dups": vector_dups.op4_embedding_near_dups,
     "op5_language_id": languages.op5_language_id,
