@@ -23,8 +23,21 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def _load() -> None:
+    import importlib
+    import pkgutil
+
+    import millrace.plans as plans
+
+    for module in pkgutil.iter_modules(plans.__path__):
+        if module.name != "registry":
+            importlib.import_module(f"millrace.plans.{module.name}")
