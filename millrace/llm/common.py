@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; several 8-byte arrays of this length exist at once.
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir of the session, or a local folder where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from millrace.sources.shared import cut, shared_dir, stored
 
+__all__ = ["cut", "shared_dir", "stored"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: survives lost executors and is dropped with its last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, for tables that are read several times by some columns only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy step works on; several 8-byte arrays of this length exist at once.
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,26 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.operators.graph import components
 
 
 def smallest_reachable(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for each node of a link the smallest node reachable.
-
-    Each round gives every node its smallest neighbour's name, in the links and in the labels, and drops links
-    between equal names; paths halve, so rounds grow with the logarithm of the longest one. A link from u to its new
-    name stays as the link between the new names of both ends, so nothing falls apart. What the joins read has been
-    cut from its lineage, so that Spark can split the partitions of a name that many rows share.
-    """
-    links = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    labels = cut(links.select(F.col("u").alias("node")).union(links.select("v")).distinct().withColumn("label", F.col("node")))
-    while not links.isEmpty():
-        both = links.union(links.select("v", "u"))
-        names = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("name")).withColumnRenamed("u", "old"))
-        labels = cut(labels.join(names, labels["label"] == names["old"], "left").select("node", F.coalesce("name", "label").alias("label")))
-        renamed = links.join(names, links["u"] == names["old"]).select(F.col("name").alias("u"), "v")
-        renamed = renamed.join(names, renamed["v"] == names["old"]).select("u", F.col("name").alias("v"))
-        links = cut(renamed.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    return labels.withColumnRenamed("label", "component")
+    """(node, component): for each node of a link the smallest node reachable."""
+    return components(links, a, b)

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -219,7 +220,7 @@ def encode_documents(df: DataFrame, text: str = "text", model_file: str | None =
     path = model_file or default_model()
 
     @F.pandas_udf("array<int>")
-    def ids(parts: Iterator) -> Iterator:
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for part in parts:
             yield part.map(lambda x: c.encode(x or ""))
@@ -234,7 +235,7 @@ def decode_ids(df: DataFrame, ids: str = "piece_ids", model_file: str | None = N
     path = model_file or default_model()
 
     @F.pandas_udf("string")
-    def decoded(parts: Iterator) -> Iterator:
+    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for part in parts:
             yield part.map(lambda x: c.decode([] if x is None else [int(i) for i in x]))
