@@ -198,15 +198,15 @@ def greedy_leaders(rows: DataFrame, pairs: DataFrame, max_rounds: int = 100) ->
     """
     links = cut(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").distinct())
     free = cut(rows.select("id"))
-    done = None
+    leaders = None
     for _ in range(max_rounds):
         open_links = links.join(free, "id", "left_semi").join(free.withColumnRenamed("id", "other"), "other", "left_semi")
         smallest = open_links.filter("other < id").select("id").distinct()
         leads = cut(free.join(smallest, "id", "left_anti"))
-        taken = links.join(free, "id", "left_semi").join(leads.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("other").alias("leader"))
-        decided = cut(leads.select("id", F.col("id").alias("leader")).union(taken.join(leads, "id", "left_anti")))
-        done = decided if done is None else done.union(decided)
-        free = cut(free.join(decided, "id", "left_anti"))
+        leaders = leads if leaders is None else leaders.union(leads)
+        taken = links.join(leads.withColumnRenamed("id", "other"), "other").select("id")
+        free = cut(free.join(leads.union(taken).distinct(), "id", "left_anti"))
         if free.isEmpty():
             break
-    return done
+    first = links.join(leaders.withColumnRenamed("id", "other"), "other").filter("other < id").groupBy("id").agg(F.min("other").alias("leader"))
+    return leaders.select("id", F.col("id").alias("leader")).union(first.join(leaders, "id", "left_anti"))

@@ -75,10 +75,10 @@ def cosine(spark, sf):
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::INT::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
-_SIM = rf"w AS (SELECT doc_id, list_filter(string_split_regex(left(text, 300), '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w), h AS (SELECT doc_id, {_FNV} AS h FROM g), b AS (SELECT doc_id, bit, sum((h // (1::UHUGEINT << bit)) % 2) AS ones, count(*) AS n FROM h, (SELECT unnest(range(0, 64))::INT AS bit) GROUP BY doc_id, bit)"
+_SIM = rf"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w), u AS (SELECT g, {_FNV} AS h FROM (SELECT DISTINCT g FROM g)), h AS (SELECT doc_id, CAST(h // 4294967296::UHUGEINT AS BIGINT) AS hi, CAST(h % 4294967296::UHUGEINT AS BIGINT) AS lo FROM g JOIN u USING (g)), b AS (SELECT doc_id, bit, sum(CASE WHEN bit < 32 THEN (lo >> bit) & 1 ELSE (hi >> (bit - 32)) & 1 END) AS ones, count(*) AS n FROM h, (SELECT CAST(unnest(range(0, 64)) AS INT) AS bit) GROUP BY doc_id, bit), d AS (SELECT doc_id, bit // 4 AS digit, CAST(sum(CASE WHEN 2 * ones > n THEN 1 << (bit % 4) ELSE 0 END) AS INT) AS v FROM b GROUP BY doc_id, bit // 4) SELECT doc_id, string_agg(substr('0123456789abcdef', v + 1, 1), '' ORDER BY digit DESC) AS simhash FROM d GROUP BY doc_id"
 
 
-@query("simhash64")
+@query("simhash64", _SIM)
 def simhash64(spark, sf):
     return similarity.simhash64(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
