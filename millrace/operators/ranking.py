@@ -105,3 +105,53 @@ def fuzzy_terms(df: DataFrame, field: str, tokens: Sequence[str], fuzziness: int
         hits = hits + F.when(_near(t, fuzziness), 1.0).otherwise(0.0)
     bonus = F.when(F.lower(field).contains(phrase.lower()), F.lit(boost)).otherwise(0.0) if phrase else F.lit(0.0)
     return rows.withColumn("score", F.round(hits / max(1, len(tokens)) + bonus, 6)).drop("__words")
+
+
+def hybrid_search(
+    df: DataFrame, query: str, query_vec: Sequence[float], store: str, fields: Sequence[str], as_of: Column, k: int = 10, project: str = "", overrides: dict[str, float] | None = None, min_score: float = 0.0
+) -> DataFrame:
+    """Vector and keyword scores blended, then recency, importance and churn; rows have a vector column vec.
+
+    The blend is ratio * (1 + cosine) / 2 + (1 - ratio) * keyword, the ratio being vector's share of both weights.
+    """
+    from millrace.operators.similarity import cosine
+
+    w = effective_weights(store, overrides)
+    rows = df.filter(F.col("project") == project) if project else df
+    both = w["vector"] + w["keyword"]
+    ratio = w["vector"] / both if both else 0.0
+    rows = rows.withColumn("__q", F.array(*[F.lit(float(x)) for x in query_vec]))
+    base = ratio * (1 + cosine("vec", "__q")) / 2 + (1 - ratio) * keyword_score(fields, query_tokens(query))
+    churn = F.coalesce(F.col("churn"), F.lit(0.0)) if "churn" in df.columns else F.lit(0.0)
+    importance = importance_score("importance") if "importance" in df.columns else F.lit(0.0)
+    recency = recency_score("created_at", as_of) if "created_at" in df.columns else F.lit(0.0)
+    rows = rows.withColumn("score", F.round(hybrid_rerank(base, recency, importance, churn, w), 6)).drop("__q")
+    rows = rows.filter(F.col("score") >= min_score) if min_score > 0 else rows
+    return rows.orderBy(F.desc("score"), "id").limit(k)
+
+
+def route_prompts(prompts: DataFrame, memories: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(prompt_id, op, target, importance): update a memory with nearly the same words, else create by what is said.
+
+    Candidates share at least one of the prompt's rarest words: to reach the threshold, two sets must share one of the
+    first |set| - ceil(threshold * |set|) + 1 words in any fixed order, here rarest first.
+    """
+    from millrace.operators.similarity import jaccard, word_set
+
+    m = memories.select("id", word_set("content").alias("w"))
+    p = prompts.select("prompt_id", "prompt", word_set("prompt").alias("v"))
+    counts = m.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def prefix(df: DataFrame, key: str, words: str) -> DataFrame:
+        rare = df.select(key, F.size(words).alias("size"), F.explode(words).alias("word")).join(counts, "word", "left")
+        ordered = rare.groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"))
+        first = F.slice("o", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
+        return ordered.select(key, F.explode(first).alias("x")).select(key, F.col("x.word").alias("word"))
+
+    pairs = prefix(p, "prompt_id", "v").join(prefix(m, "id", "w"), "word").select("prompt_id", "id").distinct()
+    scored = pairs.join(p, "prompt_id").join(m, "id").withColumn("score", jaccard("v", "w")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("prompt_id").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("target"))
+    low = F.lower("prompt")
+    op = F.when(F.col("target").isNotNull(), "update_memory").when(low.contains("remember"), "create_memory").when(low.contains("skill"), "create_skill").otherwise("create_memory")
+    importance = F.when(F.col("target").isNull() & low.contains("remember"), 5).when(F.col("target").isNull() & ~low.contains("skill"), 4)
+    return p.join(best, "prompt_id", "left").select("prompt_id", op.alias("op"), "target", importance.alias("importance"))
