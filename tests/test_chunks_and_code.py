@@ -11,7 +11,7 @@ from millrace.sources import issues
 def test_sentence_chunks(spark):
     assert chunks.sentence_chunks("", 10) == [] and chunks.sentence_chunks(" a b ", 10) == ["a b"]
     assert chunks.sentence_chunks("One two. Three four! Five", 12) == ["One two.", "Three four!", "Five"]
-    assert chunks.sentence_chunks("aaaa bbbb cccc", 10) == ["aaaa", "bbbb cccc"]
+    assert chunks.sentence_chunks("aaaa bbbb cccc", 10) == ["aaaa bbbb", "cccc"]
     assert chunks.sentence_chunks("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
     assert all(len(c.encode()) <= 7 for c in chunks.sentence_chunks("éé éé. ééééééé é", 7))
     chunks.register_tables(spark)
