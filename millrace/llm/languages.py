@@ -82,11 +82,17 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def labelled_sample(df: DataFrame, each: int, most: int) -> DataFrame:
-    """(text, lang): up to ``each`` documents a language and ``most`` in all, chosen by a hash of their ids."""
-    rows = df.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).orderBy("place", "lang", "doc_id").limit(most)
+def labelled_sample(df: DataFrame, each: int, most: int, languages: int = 512) -> DataFrame:
+    """(doc_id, text, lang): up to ``each`` documents of each of the ``languages`` commonest, ``most`` in all, by a hash of their ids.
+
+    Rows are first thinned by the hash to about half as many again as wanted, so that no language, however large,
+    comes into one task to be ordered.
+    """
+    rows = df.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").withColumn("hash", F.xxhash64("doc_id", F.lit(5)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    thinned = rows.join(F.broadcast(counts), "lang").filter(F.expr(f"pmod(hash, 1000000) < 1000000D * (1.5D * {each} + 100) / n"))
+    order = Window.partitionBy("lang").orderBy(F.expr("pmod(hash, 1000000)"), "hash", "doc_id")
+    chosen = thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).orderBy("place", "lang", "doc_id").limit(most)
     return df.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # ``most`` rows at most
 
 
@@ -133,10 +139,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
     logits = np.array([x @ w[f] for f, x, _ in fitted]).reshape(len(fitted), k)
     right = np.array([c for *_, c in fitted], int)
 
+    doubt = (k - 1) / (len(fitted) + k)  # what is kept for the other classes, so that a faultless sample isn't taken for certainty
+
     def loss(t: float) -> float:
         s = logits / t
-        top = s.max(axis=1)
-        return float((top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(s)), right]).mean())
+        top = s.max(axis=1, keepdims=True)
+        log_p = s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
+        own = log_p[np.arange(len(s)), right]
+        return float(-((1 - doubt) * own + doubt / max(1, k - 1) * (log_p.sum(axis=1) - own)).mean())
 
     temperature = min(np.exp(np.linspace(-3, 3, 121)), key=loss) if fitted else 1.0
     return LanguageModel(names, w[:-1] * idf[:, None] * _SCALE, w[-1], float(temperature))
