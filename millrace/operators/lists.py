@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import stored
+
 
 def by_project(df: DataFrame, project: str = "") -> DataFrame:
     """An empty project is no filter."""
@@ -58,7 +60,7 @@ def running(df: DataFrame, size: Column, group: str, order: str, name: str, part
     """
     df = df.withColumn("__size", size)
     sums = df.groupBy(group).agg(F.sum("__size").alias("__sum"))
-    ranged = sums.repartitionByRange(parts, group).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = stored(sums.repartitionByRange(parts, group).withColumn("__part", F.spark_partition_id()))
     starts = ranged.groupBy("__part").agg(F.sum("__sum").alias("__whole"))
     starts = starts.select("__part", (F.sum("__whole").over(Window.orderBy("__part")) - F.col("__whole")).alias("__start"))
     inner = F.sum("__sum").over(Window.partitionBy("__part").orderBy(group)) - F.col("__sum")

@@ -210,3 +210,23 @@ def greedy_leaders(rows: DataFrame, pairs: DataFrame, max_rounds: int = 100) ->
             break
     first = links.join(leaders.withColumnRenamed("id", "other"), "other").filter("other < id").groupBy("id").agg(F.min("other").alias("leader"))
     return leaders.select("id", F.col("id").alias("leader")).union(first.join(leaders, "id", "left_anti"))
+
+
+# Fixed value: endings that the light stemmer drops from words that keep three letters.
+ENDINGS = r"(?<=.{3})(?:ations?|ments?|ings?|edly|ed|ies|es|s|ly)$"
+
+
+def stem(term: str) -> Column:
+    return F.regexp_replace(term, ENDINGS, "")
+
+
+def tfidf_stemmed(docs: DataFrame, query_terms: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """tfidf_search over stems: the vocabulary is stemmed once, and only its terms with a wanted stem are joined back."""
+    counts = term_counts(docs, key)
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("length"))
+    wanted = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in query_terms])).alias("term")).select(stem("term").alias("stem")).distinct()
+    vocabulary = counts.select("term").distinct().withColumn("stem", stem("term")).join(F.broadcast(wanted), "stem")  # one row for each query term
+    tf = counts.join(vocabulary, "term").groupBy(key, "stem").agg(F.sum("tf").alias("n")).join(lengths, key).withColumn("tf", F.col("n") / F.col("length"))
+    total = docs.agg(F.count("*").alias("n_docs"))
+    idf = tf.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("stem", (F.ln(F.col("n_docs") / F.col("df")) + 1).alias("idf"))
+    return tf.join(idf, "stem").groupBy(key).agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))

@@ -88,12 +88,10 @@ def top_tools(spark, sf):
     return counting.top_values(view(spark, sf, "calls_v"), "tool")
 
 
-@query("merge_last_wins", with_views("WITH k AS (SELECT key, value, row_number() OVER (ORDER BY f, key) AS pos FROM (SELECT 1 AS f, key, value FROM kv_a_v UNION ALL SELECT 2, key, value FROM kv_b_v)) SELECT key, max_by(value, pos) AS value, min(pos) AS pos FROM k GROUP BY key"))
+@query("merge_last_wins", with_views("WITH k AS (SELECT key, value, f || key AS pos FROM (SELECT 1 AS f, key, value FROM kv_a_v UNION ALL SELECT 2, key, value FROM kv_b_v)) SELECT key, max_by(value, pos) AS value, min(pos) AS pos FROM k GROUP BY key"))
 def merge_last_wins(spark, sf):
-    from pyspark.sql import Window
-
-    both = view(spark, sf, "kv_a_v").withColumn("f", F.lit(1)).union(view(spark, sf, "kv_b_v").withColumn("f", F.lit(2)))
-    return counting.merge_last_wins(both.withColumn("pos", F.row_number().over(Window.orderBy("f", "key"))).drop("f"))
+    both = view(spark, sf, "kv_a_v").withColumn("f", F.lit("1")).union(view(spark, sf, "kv_b_v").withColumn("f", F.lit("2")))
+    return counting.merge_last_wins(both.withColumn("pos", F.concat("f", "key")).drop("f"))
 
 
 @query("crawl_report", "SELECT count(*) AS pages, count(*) FILTER (WHERE html LIKE '%<article>%') AS stored, count(*) FILTER (WHERE url LIKE '%#%') AS skipped, count(*) FILTER (WHERE html IS NULL) AS errors FROM pages")

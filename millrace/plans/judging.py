@@ -120,6 +120,11 @@ def tfidf_search(spark, sf):
     return similarity.tfidf_search(table(spark, sf, "documents"), ["the", "über", "tion", "que"])
 
 
+@query("tfidf_stemmed")
+def tfidf_stemmed(spark, sf):
+    return similarity.tfidf_stemmed(table(spark, sf, "documents"), ["ers", "tioned", "over"])
+
+
 @query("tfidf_importance", _TFIDF + " SELECT doc_id, round(round(sum(tf * idf), 6) * (1 + (1 + doc_id % 10) * 0.01), 6) AS score FROM q JOIN d ON q.term = d.term GROUP BY doc_id")
 def tfidf_importance(spark, sf):
     ranked = similarity.tfidf_search(table(spark, sf, "documents"), ["the", "über", "tion", "que"])

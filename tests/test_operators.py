@@ -130,3 +130,10 @@ def test_sections(spark):
 def test_commit_summary(spark):
     commits = spark.createDataFrame([("h1", "f", "fix: a", 1), ("h2", "f", "feat(x): b", 2), ("h3", "f", "plain", 3)], "hash string, file string, subject string, ts int")
     assert counting.commit_intent(commits).first().intent == "Commit history (3 commits): 1 feat, 1 fix. Recent: plain; b; a"
+
+
+def test_stemmed_search(spark):
+    docs = spark.createDataFrame([(1, "walking walks fast"), (2, "he walked"), (3, "nothing here")], "doc_id int, text string")
+    got = {r.doc_id: r.score for r in similarity.tfidf_stemmed(docs, ["walks"]).collect()}
+    idf = np.log(3 / 2) + 1
+    assert got == {1: round(2 / 3 * idf, 6), 2: round(idf / 2, 6)}
