@@ -4,7 +4,9 @@ A vector is coded as the sum of one word from each of several full-dimensional c
 codebooks are trained on a bounded sample: k-means on residuals, then least squares for all words at once. The index
 holds, for every row, the codes and the norms of the vector and of its reconstruction. A query's table of inner
 products with all words scores a row by adding looked-up entries; the best of each block of rows are scored again
-exactly on the original vectors.
+exactly on the original vectors, and so is every other row that may still reach them: a code's score is off by the
+query's length times the length of the row's coding error at most. Equal vectors are one row of the index, with the
+few smallest ids that a query could ask for.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ class AdditiveQuantiser:
 
 
 def build_index(rows: DataFrame, d: int, sample: int = 16384, books: int = 12, beam: int = 4) -> tuple[DataFrame, AdditiveQuantiser]:
-    """The index of every usable row, and the coder; it is trained on ``sample`` rows at most, by a hash of the id."""
+    """The index of every row of (vec_id, embedding, ids), and the coder; it is trained on ``sample`` rows at most, by a hash of the id."""
     some = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(sample).select("embedding").toArrow()
     coder = AdditiveQuantiser.trained(matrix(some.column("embedding"), d), books=books, beam=beam)
     words = coder.books
@@ -101,14 +103,27 @@ def build_index(rows: DataFrame, d: int, sample: int = 16384, books: int = 12, b
         for batch in batches:
             x = matrix(batch.column("embedding"), d)
             codes = own.encode(x)
-            made = own.decode(codes)
+            made = own.decode(codes).astype(np.float64)
+            length = np.linalg.norm(made, axis=1)
+            scale = np.linalg.norm(x, axis=1) / np.where(length > 0, length, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.linalg.norm(x, axis=1)), pa.array(np.linalg.norm(made, axis=1).astype(np.float64))],
-                names=["vec_id", "embedding", "codes", "norm", "made_norm"],
+                [batch.column("vec_id"), batch.column("embedding"), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(np.linalg.norm(x - scale[:, None] * made, axis=1))],
+                names=["vec_id", "embedding", "ids", "codes", "scale", "error"],
             )
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("vec_id", "embedding").schema)
-    return stored(rows.select("vec_id", "embedding").mapInArrow(run, f"{fields}, codes binary, norm double, made_norm double")), coder
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("vec_id", "embedding", "ids").schema)
+    return stored(rows.select("vec_id", "embedding", "ids").mapInArrow(run, f"{fields}, codes binary, scale double, error double")), coder
+
+
+def distinct_vectors(rows: DataFrame, least: int, salts: int = 32) -> DataFrame:
+    """(embedding, vec_id, ids): each different vector with its smallest id, and its ``least`` smallest ids with how often they occur.
+
+    Copies are thinned twice, so that a large group comes into one task as a few ids of each of its ``salts`` parts.
+    """
+    counted = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("n")).withColumn("salt", F.expr(f"pmod(xxhash64(vec_id), {salts})"))
+    for keys in (["embedding", "salt"], ["embedding"]):
+        counted = counted.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).filter(F.col("at") <= least).drop("at")
+    return counted.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
 
 
 def _searched(words: np.ndarray, d: int, k: int, deep: int):
@@ -120,28 +135,48 @@ def _searched(words: np.ndarray, d: int, k: int, deep: int):
         out_q, out_v, out_s = [], [], []
         if len(q) and len(x):
             codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            made = held.column("made_norm").to_numpy()
-            scale = (held.column("norm").to_numpy() / np.where(made > 0, made, 1)).astype(np.float32)
-            kind = held.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
+            scale, error = held.column("scale").to_numpy(), held.column("error").to_numpy()
+            bulk = np.linalg.norm(words.astype(np.float64), axis=2).max(axis=1).sum()
+            reach = error + 1e-5 * scale * bulk  # with the rounding of scores
+            ids = held.column("ids").combine_chunks()
+            ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+            own, many = (c.to_numpy(zero_copy_only=False) for c in ids.flatten().flatten())
+            at_id = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+            _, place = np.unique(own, return_inverse=True)
+            names = asked.column("vec_id").to_numpy()
+            lengths = np.linalg.norm(q, axis=1)
             for at in range(0, len(q), 64):
                 part = q[at : at + 64]
                 looked = coder.tables(part)
                 score = np.zeros((len(part), len(x)), np.float32)
                 for m in range(codes.shape[1]):
                     score += looked[:, m, :][:, codes[:, m]]
-                score *= scale
-                keep = min(deep, len(x))
-                best = np.sort(np.argpartition(-score, keep - 1, axis=1)[:, :keep], axis=1)
-                row = np.repeat(np.arange(len(part)), keep)
-                exact = dots(part[row], x[best.ravel()]).reshape(len(part), keep)
-                exact[kind[0][best] == kind[1][at : at + 64][:, None]] = -np.inf
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                rows = np.arange(len(part))[:, None]
-                found = exact[rows, order]
-                ok = np.isfinite(found)
-                out_q.append(np.repeat(kind[1][at : at + 64], order.shape[1]).reshape(ok.shape)[ok])
-                out_v.append(kind[0][best[rows, order]][ok])
-                out_s.append(found[ok])
+                for r, code_score in enumerate(score * scale):
+                    query, name, length = part[r], names[at + r], lengths[at + r]
+                    alone = np.zeros(len(x), bool)  # rows that have the query's id only
+                    mine = np.searchsorted(at_id, np.flatnonzero(own == name), side="right") - 1
+                    alone[mine] = at_id[mine + 1] - at_id[mine] == 1
+                    code_score[alone] = -np.inf
+                    keep = min(max(deep, k), len(x))
+                    best = np.argpartition(-code_score, keep - 1)[:keep]
+                    first = np.sort((x[best] @ query)[~alone[best]])[::-1]
+                    rounding = 1e-12 * length
+                    least = first[k - 1] - rounding * np.abs(x[best]).sum(axis=1).max() if len(first) >= k else -np.inf
+                    near = np.flatnonzero(~(code_score + length * reach < least) & ~alone)
+                    close = x[near] @ query
+                    if len(near) > k:
+                        cut = np.partition(close, len(near) - k)[len(near) - k]
+                        near = near[close >= cut - 2 * rounding * np.abs(x[near]).sum(axis=1).max()]
+                    exact = dots(np.broadcast_to(query, (len(near), d)), x[near])
+                    each = at_id[near + 1] - at_id[near]
+                    take = np.repeat(at_id[near] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum()) if len(near) else np.zeros(0, np.int64)
+                    found, other = np.repeat(exact, each), own[take] != name
+                    take, found = take[other], found[other]
+                    order = np.lexsort((place[take], -found))[:k]
+                    order = np.repeat(order, many[take[order]])[:k]
+                    out_q.append(np.repeat(names[at + r : at + r + 1], len(order)))
+                    out_v.append(own[take[order]])
+                    out_s.append(found[order])
         return pa.table({"query_id": np.concatenate(out_q or [np.zeros(0, np.int64)]), "vec_id": np.concatenate(out_v or [np.zeros(0, np.int64)]), "score": np.concatenate(out_s or [np.zeros(0)])})
 
     return run
@@ -151,7 +186,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, d
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, ties to the smaller id.
 
     ``queries`` has (vec_id, embedding); a row with the query's id is no candidate. Every row is scored by its codes,
-    in blocks; the best ``deep`` of each block are scored exactly. Unusable vectors and those not of the commonest
+    in blocks; the best ``deep`` of each block and all that may reach its k best are scored exactly. Unusable vectors and those not of the commonest
     length take no part. Repeated query rows count once, repeated candidate rows each. Other columns are not read.
     """
     rows = df.select("vec_id", "embedding").filter(usable() + " and vec_id is not null")
@@ -160,16 +195,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, d
     d = dimension(rows)
     if not d:
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
-    index, coder = build_index(rows.filter(F.size("embedding") == d), d, sample, books)
+    index, coder = build_index(stored(distinct_vectors(rows.filter(F.size("embedding") == d), k + 1)), d, sample, books)
     asked = stored(asked.filter(F.size("embedding") == d).dropDuplicates(["vec_id"]))
     held_blocks, asked_blocks = max(1, -(-index.count() // block)), max(1, -(-asked.count() // block))
     held = index.select(
-        F.expr(f"cast(pmod(xxhash64(vec_id, norm), {held_blocks}) as int)").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("a"),
-        F.lit(1).alias("role"), "vec_id", "embedding", "codes", "norm", "made_norm",
+        F.expr(f"cast(pmod(xxhash64(vec_id, error), {held_blocks}) as int)").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("a"),
+        F.lit(1).alias("role"), "vec_id", "embedding", "ids", "codes", "scale", "error",
     )
     posed = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(held_blocks - 1))).alias("h"), F.expr(f"cast(pmod(xxhash64(vec_id), {asked_blocks}) as int)").alias("a"),
-        F.lit(0).alias("role"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("made_norm"),
+        F.lit(0).alias("role"), "vec_id", "embedding", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("scale"), F.lit(0.0).alias("error"),
     )
     found = held.union(posed).groupBy("h", "a").applyInArrow(_searched(coder.books, d, k, deep), f"query_id {id_kind}, vec_id {id_kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

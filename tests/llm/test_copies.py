@@ -128,6 +128,26 @@ def test_nearest_recall_and_exact_scores(spark, sf):
     assert nearest.nearest(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_nearest_of_copies_and_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base, other = rng.standard_normal(8), rng.standard_normal(8)
+    rows = [base] * 500 + [other + rng.standard_normal(8) * 1e-4 for _ in range(500)] + list(rng.standard_normal((500, 8)))
+    ids = np.random.default_rng(6).permutation(len(rows))
+    x = np.array(rows, np.float32).astype(float)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    df = df.union(df.filter(F.col("vec_id") == int(min(ids[:500]))))  # a repeated row counts twice
+    every = np.append(np.arange(len(ids)), np.argmin(ids[:500]))
+    got = collections.defaultdict(list)
+    asked = [int(ids[k]) for k in (0, int(np.argmin(ids[:500])), 499, 500, 777, 1200)]
+    for r in nearest.nearest(df, df.filter(F.col("vec_id").isin(asked)), block=2000, deep=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for name in asked:
+        score = vector_dups.dots(x, np.broadcast_to(x[ids == name][0], x.shape))
+        some = every[ids[every] != name]
+        best = some[np.lexsort((ids[some], -score[some]))[:20]]
+        assert got[name] == [(ids[k], score[k]) for k in best]
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = documents(spark, sf)
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
