@@ -137,6 +137,22 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_deep_pages_and_foreign_elements():
+    for tag in ("div", "font", "span", "a"):
+        deep = page("<article>" + "".join(f"<{tag}>w{i} " for i in range(1000)))
+        assert pages.main_text(deep, set()) == " ".join(f"w{i}" for i in range(1000))
+        bones, found = pages.skeleton(pages.parse(deep)), []
+        pages.tree_match(pages.rebuilt(bones), pages.rebuilt(bones), found)
+        assert len(found) > 1000
+    cases = {
+        '<svg class="i"/><article><p>one</p></article>': "one", '<svg/><article>one</article><svg><title/><path d=""/></svg>': "one", "<svg><g><article><p>one</p></article>": "one",
+        "<article>a <svg><text>no</text><svg/><text>no</text></svg> b</article>": "a b", "<article>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</article>": "if x=1 then",
+        "<math/><article>one <math><mspace/><mi>y</mi></math></article>": "one y",
+    }
+    for body, want in cases.items():
+        assert pages.main_text(page(body), set()) == want
+
+
 def test_pieces_of_documents_and_packing(spark):
     from tokenizers import Tokenizer
 
