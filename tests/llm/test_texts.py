@@ -153,6 +153,21 @@ def test_deep_pages_and_foreign_elements():
         assert pages.main_text(page(body), set()) == want
 
 
+def test_articles_in_wrappers():
+    article = "<article><h1>one</h1><p>two</p></article>"
+    for wrapper in ("div class='has-sidebar'", "div class='content-sidebar-wrap'", "div class=with-header", "div id='header'", "div class='page sidebar'", "form method=post id=aspnetForm", "div title='hidden gems'", "div data-x=\"role=menu\"", "main class='widget'"):
+        assert pages.main_text(page(f"<{wrapper}><nav>menu</nav>{article}</{wrapper.split()[0]}>"), set()) == "one two", wrapper
+    cases = {
+        f"<div class='sidebar'><main>{article}<p>three</p></main></div>": "one two three", f"<main><h1>zero</h1><div class='widget'>{article}</div></main>": "zero one two",
+        f"<form><div><form><input>no</form>{article}</div></form>": "one two", f"{article}<form>no</form>": "one two", f"<form>no</form><p>one": "one",
+        f"{article}<div class='comments'><article>no</article></div>": "one two", f"<main>{article}<div class='related x'><article>no</article></div></main>": "one two",
+        f"<main><p>one</p><div class='comments'><article>no</article></div></main>": "one", f"<div class='sidebar'>no</div><p>one": "one", f"<aside>{article}</aside><p>three": "three",
+        f"<article><p>one</p><div class='share'>no <article>no</article></div></article>": "one", f"<p hidden>no</p><p aria-hidden='true'>no</p><p style='display: none'>no</p>one": "one",
+    }
+    for body, want in cases.items():
+        assert pages.main_text(page(body), set()) == want, body
+
+
 def test_pieces_of_documents_and_packing(spark):
     from tokenizers import Tokenizer
 
