@@ -1,7 +1,8 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame and SQL functions only.
 
 Base entities (email, ip, card, phone) are found by expressions and checks. They are the seeds of a bootstrap: every
-token with enough digits is an instance, its neighbours and its shape are patterns. In each round a pattern's
+base entity and every token with enough digits is an instance, its neighbours and its shape are patterns, together and
+alone. In each round a pattern's
 confidence is the share of its instances that is believed, and an instance is believed as far as its patterns are
 sure. Unseen instances that the high-confidence patterns discover become spans of kind id.
 """
@@ -41,34 +42,43 @@ _TOKEN = r"(?:(?<!\S)|\G)[^\s0-9]*+[0-9]\S*+"
 def _found(text: str, pattern: str, needs: str) -> str:
     """SQL for array<struct<m, before, after, start>>: all matches, the texts between them and where they start."""
     matches, between = f"regexp_extract_all({text}, r'{pattern}', 0)", f"split({text}, r'{pattern}', -1)"
+    one = "struct<m: string, before: string, after: string, start: int>"
     placed = (
         f"aggregate(zip_with({matches}, {between}, (m, b) -> named_struct('m', m, 'before', b)), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<m: string, before: string, start: int>>)), "
-        "(a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.before) + length(x.m), 'out', "
-        "concat(a.out, array(named_struct('m', x.m, 'before', right(x.before, 64), 'start', a.at + length(x.before)))))), a -> a.out)"
+        f"named_struct('at', 0, 'last', cast(null as {one}), 'out', cast(array() as array<{one}>)), "
+        "(a, x) -> named_struct('at', a.at + length(x.before) + coalesce(length(x.m), 0), "
+        "'last', if(x.m is null, null, named_struct('m', x.m, 'before', right(x.before, 64), 'after', '', 'start', a.at + length(x.before))), "
+        "'out', if(a.last is null, a.out, concat(a.out, array(named_struct('m', a.last.m, 'before', a.last.before, 'after', left(x.before, 64), 'start', a.last.start))))), a -> a.out)"
     )
     return f"case when {needs.format(t=text)} then {placed} else array() end"
 
 
-def base_spans(text: str = "text") -> Column:
-    """array<struct<start, k, end>> of the base entities in a never-null text column; k is the place in KINDS."""
+_LEFT, _RIGHT = r"lower(regexp_extract(x.before, r'(\S{1,32})\s*$', 1))", r"lower(regexp_extract(x.after, r'^\s*(\S{1,32})', 1))"
+#: The patterns of a context: its left word, its right word, and both; a missing word is no pattern.
+_CONTEXTS = f"if({_LEFT} = '', null, xxhash64('before', {_LEFT})), if({_RIGHT} = '', null, xxhash64('after', {_RIGHT})), if({_LEFT} = '' or {_RIGHT} = '', null, xxhash64('both', {_LEFT}, {_RIGHT}))"
+
+
+def _base(text: str) -> Column:
+    """array<struct<start, k, end, instance, patterns>> of the base entities in a never-null text column; k is the place in KINDS."""
     parts = []
     for k, kind in enumerate(KINDS):
         digits = _DIGITS.format(m="x.m")
         check = _CHECKS[kind].format(m="x.m", d=digits)
-        parts.append(f"transform(filter({_found(text, PATTERNS[kind], _NEEDS[kind])}, x -> {check}), x -> named_struct('start', x.start, 'k', {k}, 'end', x.start + length(x.m)))")
+        parts.append(
+            f"transform(filter({_found(text, PATTERNS[kind], _NEEDS[kind])}, x -> {check}), x -> named_struct('start', x.start, 'k', {k}, 'end', x.start + length(x.m), "
+            f"'instance', xxhash64(x.m), 'patterns', array_compact(array({_CONTEXTS}))))"
+        )
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
 def _tokens(text: str, least_digits: int) -> Column:
-    """array<struct> of the tokens with at least so many digits: place, text's hash, shape, left word."""
+    """array<struct> of the tokens with at least so many digits: place, text's hash, patterns of shape and context."""
     found = _found(text, _TOKEN, f"{{t}} rlike '[0-9]'")
     shape = r"regexp_replace(regexp_replace(regexp_replace(x.m, '[0-9]', '0'), '\\p{Lu}', 'A'), '[^0A\\p{Punct}]', 'a')"
-    left = r"lower(regexp_extract(x.before, r'(\S{1,32})\s*$', 1))"
     return F.expr(
-        f"transform(filter({found}, x -> length({_DIGITS.format(m='x.m')}) >= {least_digits} and length(x.m) <= 200), x -> "
-        f"named_struct('start', x.start, 'end', x.start + length(x.m), 'instance', xxhash64(x.m), 'by_shape', xxhash64('shape', {shape}), "
-        f"'by_left', xxhash64('left', {left}, {shape})))"
+        f"transform(filter({found}, x -> length({_DIGITS.format(m='x.m')}) >= {least_digits}), x -> "
+        f"named_struct('start', x.start, 'end', x.start + length(x.m), 'instance', xxhash64(x.m), "
+        f"'patterns', array_compact(array(xxhash64('shape', {shape}), xxhash64('left', {_LEFT}, {shape}), {_CONTEXTS}))))"
     )
 
 
@@ -98,16 +108,17 @@ def private_spans(df: DataFrame, rounds: int = 3, least_digits: int = 6) -> Data
     repeated rows give repeated rows; other columns than text are passed on.
     """
     text = df.withColumn("__text", F.coalesce("text", F.lit("")))
-    known = text.select(*df.columns, base_spans("__text").alias("base"), _tokens("__text", least_digits).alias("tokens")).drop("text")
-    known = stored(known.withColumn("row", F.monotonically_increasing_id()))
+    known = text.select(*df.columns, _base("__text").alias("seeds"), _tokens("__text", least_digits).alias("tokens")).drop("text")
+    known = known.withColumn("base", F.expr("transform(seeds, x -> named_struct('start', x.start, 'k', x.k, 'end', x.end))"))
+    known = stored(known.select(*[c for c in df.columns if c != "text"], "base", "seeds", "tokens").withColumn("row", F.monotonically_increasing_id()))
     tokens = known.select("row", "base", F.explode("tokens").alias("x")).select(
-        "row", "x.start", "x.end", "x.instance", F.array("x.by_shape", "x.by_left").alias("patterns"),
-        F.expr("exists(base, b -> b.start < x.end and b.end > x.start)").alias("seed"),
-    )
-    found = bootstrapped(tokens, rounds)
+        "row", "x.start", "x.end", "x.instance", "x.patterns", F.expr("exists(base, b -> b.start < x.end and b.end > x.start)").alias("seed")
+    )
+    seeds = known.select("row", F.explode("seeds").alias("x")).select("row", "x.start", "x.end", "x.instance", "x.patterns", F.lit(True).alias("seed"))
+    found = bootstrapped(tokens.union(seeds), rounds)
     spans = tokens.filter(~F.col("seed")).join(found, "instance").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end")).alias("found"))
     whole = known.join(spans, "row", "left")
-    return whole.withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))")).drop("row", "tokens", "found")
+    return whole.withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))")).drop("row", "seeds", "tokens", "found")
 
 
 def _listed(spans: str, kinds: tuple[str, ...]) -> str:

@@ -114,6 +114,14 @@ def test_contexts_discover_unseen_identifiers_and_masking_hides_them(spark):
     assert out[0].lang is None and out[0].source == "s"
 
 
+def test_contexts_carry_over_to_other_shapes(spark):
+    rows = [f"please write to {chr(97 + i)}@mail.org today" for i in range(20)] + [f"account +1 415 555 10{i:02d} is open" for i in range(30)]
+    odd = ["account AB-123456 is shut", "account GB29NWBK60161331926819", "please write to 123-45-6789 today", "account " + "9" * 250 + " is long"]
+    clean = ["build 20240102 passed", "nothing"]
+    out = [r.text for r in private.masked(docs_of(spark, rows + odd + clean)).orderBy("doc_id").collect()]
+    assert out[50:] == ["account [ID] is shut", "account [ID]", "please write to [ID] today", "account [ID] is long", *clean]
+
+
 def page(body, title="t"):
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
