@@ -191,27 +191,53 @@ def tfidf_search(docs: DataFrame, query_terms: Sequence[str], key: str = "doc_id
     return tf.join(F.broadcast(idf), "term").groupBy(key).agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
 
 
-def greedy_leaders(rows: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _leads_of(table: pa.Table) -> pa.Table:
+    near: dict = {}
+    for x, y in zip(table.column("id").to_pylist(), table.column("other").to_pylist()):
+        near.setdefault(x, []).append(y)
+    leads: set = set()
+    for x in sorted(near):
+        if not any(y < x and y in leads for y in near[x]):
+            leads.add(x)
+    return pa.table({"id": pa.array(list(leads), table.schema.field("id").type)})
+
+
+def greedy_leaders(rows: DataFrame, pairs: DataFrame, apart: int = 8, small: int = 100_000) -> DataFrame:
     """(id, leader): the grouping that a scan in order of id makes, where each free row takes its free neighbours.
 
-    A row leads as soon as all smaller neighbours are decided and none of them leads; rounds decide many rows at once.
+    A row leads as soon as all smaller neighbours are decided and none of them leads; rounds decide many rows at once,
+    until none is free. After ``apart`` rounds what is left, long chains as a rule, is scanned in one task once it has
+    ``small`` links at most.
     """
     links = cut(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").distinct())
     free = cut(rows.select("id"))
-    leaders = None
-    for _ in range(max_rounds):
-        open_links = links.join(free, "id", "left_semi").join(free.withColumnRenamed("id", "other"), "other", "left_semi")
+    leaders, open_links, rounds = free.limit(0), links, 0
+    while not free.isEmpty():
+        open_links = cut(open_links.join(free, "id", "left_semi").join(free.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other"))
+        rounds += 1
+        if rounds > apart and open_links.count() <= small:
+            last = open_links.groupBy().applyInArrow(_leads_of, f"id {rows.schema['id'].dataType.simpleString()}")
+            leaders = cut(leaders.union(free.join(open_links, "id", "left_anti")).union(last))
+            break
         smallest = open_links.filter("other < id").select("id").distinct()
         leads = cut(free.join(smallest, "id", "left_anti"))
-        leaders = leads if leaders is None else leaders.union(leads)
-        taken = links.join(leads.withColumnRenamed("id", "other"), "other").select("id")
+        leaders = leaders.union(leads) if rounds % 16 else cut(leaders.union(leads))
+        taken = open_links.join(leads.withColumnRenamed("id", "other"), "other").select("id")
         free = cut(free.join(leads.union(taken).distinct(), "id", "left_anti"))
-        if free.isEmpty():
-            break
     first = links.join(leaders.withColumnRenamed("id", "other"), "other").filter("other < id").groupBy("id").agg(F.min("other").alias("leader"))
     return leaders.select("id", F.col("id").alias("leader")).union(first.join(leaders, "id", "left_anti"))
 
 
+def first_wins(df: DataFrame, key: str, column: str, max_bits: int = 3) -> DataFrame:
+    """(id): the rows that a scan in order of the key keeps, where each kept row drops those with a fingerprint close to its own.
+
+    Rows with the same fingerprint share their fate, so the first of each stands for all; rows with fingerprint 0 stay.
+    """
+    firsts = cut(df.filter(F.col(column) != 0).groupBy(column).agg(F.min(key).alias(key)))
+    rows = firsts.select(F.col(key).alias("id")).union(df.filter(F.col(column) == 0).select(key))
+    return greedy_leaders(rows, near_hamming(firsts, key, column, max_bits)).filter("id = leader").select("id")
+
+
 # Fixed value: endings that the light stemmer drops from words that keep three letters.
 ENDINGS = r"(?<=.{3})(?:ations?|ments?|ings?|edly|ed|ies|es|s|ly)$"
 

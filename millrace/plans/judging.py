@@ -90,10 +90,7 @@ def near_dup_hamming(spark, sf):
 
 @query("dedup_first_wins")
 def dedup_first_wins(spark, sf):
-    rows = similarity.simhash64(table(spark, sf, "documents").select("doc_id", "text"))
-    pairs = similarity.near_hamming(rows, "doc_id", "simhash")
-    leaders = similarity.greedy_leaders(rows.select(F.col("doc_id").alias("id")), pairs)
-    return leaders.filter("id = leader").select("id")
+    return similarity.first_wins(similarity.simhash64(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "simhash")
 
 
 @query("greedy_clusters")

@@ -103,6 +103,16 @@ def test_greedy_leaders_equal_a_scan(spark):
     assert {r.id: r.leader for r in got} == want
 
 
+def test_first_wins_of_copies_and_long_chains(spark):
+    near, far = 0b1011 << 20, (0b1011 << 20) | 0b11
+    rows = [(1, near), (2, far), (3, near), (4, far), (5, far), (6, 0), (7, 0), (8, ~near)]
+    got = similarity.first_wins(spark.createDataFrame(rows, "doc_id long, simhash long"), "doc_id", "simhash").collect()
+    assert sorted(r.id for r in got) == [1, 6, 7, 8]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(299)], "a long, b long")
+    got = similarity.greedy_leaders(spark.range(301), chain).collect()
+    assert {r.id: r.leader for r in got} == {i: i - i % 2 for i in range(301)}
+
+
 def test_flows_and_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x"), ("d", "c")], "src string, dst string")
     assert {(r.entry, r.node, r.depth) for r in graph.flows(edges).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("d", "d", 0), ("d", "c", 1)}
