@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import cut
+from millrace.sources.shared import counted, cut, stored
 
 
 def reverse_deps(edges: DataFrame) -> DataFrame:
@@ -18,19 +23,27 @@ def impact(edges: DataFrame, needle: str) -> DataFrame:
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """(path, affected, risk): sources that depend on symbols ending with each changed path, the changed ones apart."""
-    hit = edges.join(changed, F.col("dst").endswith(F.col("path"))).filter(~F.col("src").endswith(F.col("path")))
-    rows = changed.join(hit.groupBy("path").agg(F.count_distinct("src").alias("affected")), "path", "left").withColumn("affected", F.coalesce("affected", F.lit(0)))
+    """(path, affected, risk): sources that depend on symbols ending with each changed path, the changed ones apart.
+
+    Endings are joined by equality: of each name those as long as some changed path. The lengths are as many as the
+    different lengths of paths, a small table.
+    """
+    lengths = changed.select(F.length("path").alias("n")).distinct()
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
+    ends = names.join(lengths, F.length("name") >= F.col("n")).select("name", F.expr("right(name, n)").alias("path")).join(changed.distinct(), "path")
+    hit = edges.join(ends.withColumnRenamed("name", "dst"), "dst").select("path", "src").distinct()
+    hit = hit.join(ends.withColumnRenamed("name", "src"), ["path", "src"], "left_anti")
+    rows = changed.join(hit.groupBy("path").agg(F.count("*").alias("affected")), "path", "left").withColumn("affected", F.coalesce("affected", F.lit(0)))
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "HIGH").when(F.col("affected") > 3, "MEDIUM").otherwise("LOW"))
 
 
-def flows(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(entry, node, depth): what can be reached from each symbol without incoming edges, breadth first."""
+def flows(edges: DataFrame) -> DataFrame:
+    """(entry, node, depth): what can be reached from each symbol without incoming edges, breadth first, to any depth."""
     edges = cut(edges.select("src", "dst").distinct())
     entries = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
     front = cut(entries.select(F.col("src").alias("entry"), F.col("src").alias("node"), F.lit(0).alias("depth")))
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = front.join(edges, front["node"] == edges["src"]).select("entry", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -39,27 +52,66 @@ def flows(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     return seen
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) as links of each node to the smallest that the partition's links reach; ``most`` are held at a time."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = [table.column(k).to_numpy() for k in range(2)]
+        names, code = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = np.split(code.reshape(-1), 2)
+        low = np.arange(len(names))
+        while (low[a] != low[b]).any():  # both trees of a link hang below the smaller one, then all paths are cut short
+            least = np.minimum(low[a], low[b])
+            np.minimum.at(low, low[a], least)
+            np.minimum.at(low, low[b], least)
+            while (low[low] != low).any():
+                low = low[low]
+        child = np.flatnonzero(low != np.arange(len(low)))
+        return pa.RecordBatch.from_arrays([pa.array(names[child], table.schema.field(0).type), pa.array(names[low[child]], table.schema.field(0).type)], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 1 << 17) -> DataFrame:
     """(node, component): for each node of a link the smallest node that it can reach.
 
-    In each round every node points to its smallest neighbour, or to itself; pointers are followed to their ends, in
-    steps that double, and each tree becomes its end. So the number of nodes that still have links halves at least.
-    What the joins read has been cut from its lineage: Spark can split the partitions of a name that many rows share.
+    Each partition turns its links into links to its own smallest nodes. In each round every node points to its
+    smallest neighbour, or to itself; pointers are followed to their ends, in steps that double, and each tree becomes
+    its end. So the number of nodes that still have links halves at least. Once no more than ``few`` links are left, one
+    task, whose size that bounds, turns them into pointers to their ends.
+    What the joins read is stored: Spark can split the partitions of a name that many rows share.
     """
-    links = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    labels = cut(links.select(F.col("u").alias("node")).union(links.select("v")).distinct().withColumn("component", F.col("node")))
-    while not links.isEmpty():
-        names = cut(links.union(links.select("v", "u")).groupBy(F.col("u").alias("old")).agg(F.least(F.min("v"), F.col("u")).alias("name")))
-        while True:
+    kind = links.schema[a].dataType.simpleString()
+
+    def thinned(rows: DataFrame) -> tuple[DataFrame, int]:
+        return counted(rows.filter("u <> v").mapInArrow(_forest, f"u {kind}, v {kind}"))
+
+    links, left = thinned(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    labels = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().withColumn("component", F.col("node"))
+    while left:
+        if left <= few:
+            names = links.coalesce(1).mapInArrow(_forest, f"u {kind}, v {kind}").toDF("old", "name")
+            return labels.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("name", "component").alias("component"))
+        names = stored(links.union(links.select("v", "u")).groupBy(F.col("u").alias("old")).agg(F.least(F.min("v"), F.col("u")).alias("name")))
+        moved = 1
+        while moved:
             further = names.select(F.col("old").alias("name"), F.col("name").alias("next"))
-            jumped = cut(names.join(further, "name").select("old", F.col("next").alias("name"), (F.col("next") != F.col("name")).alias("moved")))
+            jumped = names.join(further, "name").select("old", F.col("next").alias("name"), (F.col("next") != F.col("name")).alias("moved"))
+            jumped, moved = counted(jumped, F.count_if("moved"))
             names = jumped.select("old", "name")
-            if jumped.filter("moved").isEmpty():
-                break
-        labels = cut(labels.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("name", "component").alias("component")))
+        labels = stored(labels.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("name", "component").alias("component")))
         renamed = links.join(names, F.col("u") == F.col("old")).select(F.col("name").alias("u"), "v")
         renamed = renamed.join(names, F.col("v") == F.col("old")).select("u", F.col("name").alias("v"))
-        links = cut(renamed.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        links, left = thinned(renamed)
     return labels
 
 
@@ -68,11 +120,11 @@ def clusters(edges: DataFrame) -> DataFrame:
     return components(edges, "src", "dst").withColumnRenamed("component", "cluster")
 
 
-def node_depth(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(uri, depth) by parent links."""
+def node_depth(nodes: DataFrame) -> DataFrame:
+    """(uri, depth) by parent links, to any depth; nodes below none without a parent are left out, those in a ring too."""
     front = cut(nodes.filter("parent_uri is null").select("uri", F.lit(0).alias("depth")))
     out = front
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         front = cut(nodes.select("uri", "parent_uri").join(front.select(F.col("uri").alias("parent_uri")), "parent_uri").select("uri", F.lit(depth).alias("depth")))
         if front.isEmpty():
             break

@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir of the session, or a local folder where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage, as spark.checkpoint.dir or the context's checkpoint folder names it.
+
+    Only in local mode, where driver and tasks are one process, a new temporary folder serves where neither is set.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -31,3 +37,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """The rows stored, and their number or another aggregate of them that the same job gathers."""
+    seen = Observation()
+    kept = stored(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")))
+    return kept, seen.get["n"] or 0
