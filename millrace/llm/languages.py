@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_fold, documents, slices
+from millrace.llm.common import crc_fold, documents, slices, stored
 
 FEATURES = 1 << 15
 UNKNOWN = "und"
@@ -82,37 +83,43 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def labelled_sample(df: DataFrame, each: int, most: int, languages: int = 512) -> DataFrame:
-    """(doc_id, text, lang): up to ``each`` documents of each of the ``languages`` commonest, ``most`` in all, by a hash of their ids.
+def labelled_sample(df: DataFrame, each: int, most: int, longest: int = 1 << 16) -> DataFrame:
+    """(doc_id, text, lang): up to ``each`` documents of each language, by a hash of their ids; ``most`` in all, or one of each language.
 
-    Rows are first thinned by the hash to about half as many again as wanted, so that no language, however large,
-    comes into one task to be ordered.
+    Repeated rows count once, and of a longer text ``longest`` characters teach; so rows and bytes of the sample are
+    bounded by the parameters and the number of languages. Rows are first thinned by the hash to about half as many
+    again as wanted, so that no language, however large, comes into one task to be ordered. A row is known by a hash of
+    its id, language and text.
     """
-    rows = df.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").withColumn("hash", F.xxhash64("doc_id", F.lit(5)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    thinned = rows.join(F.broadcast(counts), "lang").filter(F.expr(f"pmod(hash, 1000000) < 1000000D * (1.5D * {each} + 100) / n"))
-    order = Window.partitionBy("lang").orderBy(F.expr("pmod(hash, 1000000)"), "hash", "doc_id")
-    chosen = thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).orderBy("place", "lang", "doc_id").limit(most)
-    return df.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # ``most`` rows at most
+    rows = df.filter("lang is not null and text is not null and doc_id is not null").withColumn("row", F.xxhash64("doc_id", "lang", "text"))
+    keys = stored(rows.select("lang", "row").distinct())
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    thinned = keys.join(counts, "lang").filter(F.expr(f"pmod(row, 1000000) < 1000000D * (1.5D * {each} + 100) / n"))
+    order = Window.partitionBy("lang").orderBy(F.expr("pmod(row, 1000000)"), "row")
+    placed = stored(thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("row", "lang", "place"))
+    languages = placed.filter("place = 1").count()
+    chosen = placed.orderBy("place", "lang").limit(max(most, languages)).select("row")
+    some = rows.join(F.broadcast(chosen), "row").select("row", "doc_id", "lang", F.substring("text", 1, longest).alias("text"))
+    return some.groupBy("row").agg(F.first(F.struct("doc_id", "text", "lang")).alias("x")).select("x.*")
 
 
 class LanguageModel:
     """Weights with inverse document frequencies folded in, biases, temperature and names of the classes."""
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.names, self.weights, self.bias, self.temperature = names, weights.astype(np.float32), bias, temperature
+        self.names, self.weights, self.bias, self.temperature = names, np.ascontiguousarray(weights.T, np.float32), bias, temperature
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the classes for each text, and its number of letters."""
         feature, owner, n, letters = grams(texts)
-        sums = np.stack([np.bincount(owner, weights=w[feature], minlength=len(texts)) for w in self.weights.T], axis=1)
+        sums = np.stack([np.bincount(owner, weights=w[feature], minlength=len(texts)) for w in self.weights], axis=1)
         z = (sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True), letters
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, epochs: int = 3) -> LanguageModel:
-    """rows: features, their shares of the text's n-grams, class. Every fifth row only serves the temperature."""
+def fit(features: np.ndarray, shares: np.ndarray, ends: np.ndarray, classes: np.ndarray, names: list[str], idf: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, epochs: int = 3) -> LanguageModel:
+    """Rows one after another: features, their shares of the text's n-grams, where each row ends, its class. Every fifth row only serves the temperature."""
     k = len(names)
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
 
@@ -120,12 +127,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
         rate = (beta + np.sqrt(n[at])) / alpha + l2
         return np.where(np.abs(z[at]) > l1, (np.sign(z[at]) * l1 - z[at]) / rate, 0.0)
 
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        f = features[ends[i] : ends[i + 1]]
+        return np.append(f, FEATURES), np.append(shares[ends[i] : ends[i + 1]] * idf[f] * _SCALE, 1.0)
+
     order = np.random.default_rng(3)
-    ready = [(np.append(f, FEATURES), np.append(x * idf[f] * _SCALE, 1.0), c) for f, x, c in rows]
-    learn, fitted = [r for i, r in enumerate(ready) if i % 5], [r for i, r in enumerate(ready) if i % 5 == 0]
+    at = np.arange(len(classes))
+    learn, fitted = at[at % 5 > 0], at[at % 5 == 0]
     for _ in range(epochs):
-        for i in order.permutation(len(learn)):
-            f, x, c = learn[i]
+        for i in learn[order.permutation(len(learn))]:
+            (f, x), c = row(i), classes[i]
             w = weights(f)
             s = x @ w
             p = np.exp(s - s.max())
@@ -136,8 +147,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
             z[f] += g - step * w
             n[f] += g * g
     w = weights(slice(None))
-    logits = np.array([x @ w[f] for f, x, _ in fitted]).reshape(len(fitted), k)
-    right = np.array([c for *_, c in fitted], int)
+    logits = np.array([x @ w[f] for f, x in map(row, fitted)]).reshape(len(fitted), k)
+    right = classes[fitted]
 
     doubt = (k - 1) / (len(fitted) + k)  # what is kept for the other classes, so that a faultless sample isn't taken for certainty
 
@@ -153,7 +164,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
 
 
 def train(df: DataFrame, each: int = 1000, most: int = 6000) -> LanguageModel | None:
-    """A model from rows (doc_id, text, lang), or None if no row has a language and a letter."""
+    """A model from rows (doc_id, text, lang), or None if no row has a language and a letter.
+
+    Weights come from a sample of up to ``each`` rows a language and ``most`` in all, document frequencies from all rows.
+    """
     df = df.select("doc_id", "text", "lang")
     df_counts, total = document_frequencies(df)
     idf = np.log((1 + total) / (1 + df_counts)) + 1
@@ -173,13 +187,17 @@ def train(df: DataFrame, each: int = 1000, most: int = 6000) -> LanguageModel |
             ).filter(pa.array(letters > 0))
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    table = labelled_sample(df, each, most).mapInArrow(run, f"doc_id {kind}, lang string, features array<int>, shares array<float>").toArrow().sort_by("doc_id")
-    names = sorted(set(table.column("lang").to_pylist()))
+    table = labelled_sample(df, each, most).mapInArrow(run, f"doc_id {kind}, lang string, features array<int>, shares array<float>").toArrow()
+    table = table.take(pc.sort_indices(table.select(["doc_id", "lang"]), [("doc_id", "ascending"), ("lang", "ascending")])).combine_chunks()
+    langs = table.column("lang").to_pylist()
+    names = sorted(set(langs))
     if not names:
         return None
-    langs = table.column("lang").to_pylist()
-    rows = [(f.values.to_numpy(), x.values.to_numpy().astype(float), names.index(y)) for f, x, y in zip(table.column("features"), table.column("shares"), langs)]
-    return fit(rows, names, idf)
+    place = {x: k for k, x in enumerate(names)}
+    lists = table.column("features")
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    flat = [pc.list_flatten(table.column(c)).to_numpy() for c in ("features", "shares")]
+    return fit(*flat, ends, np.array([place[x] for x in langs]), names, idf)
 
 
 def predict(df: DataFrame, model: LanguageModel | None, label: str = "lang_pred", score_name: str = "score") -> DataFrame:
@@ -205,7 +223,8 @@ def identify(df: DataFrame) -> DataFrame:
     """One row for each row of (doc_id, text, lang): held_out, lang_pred and score.
 
     Trains on rows whose crc32 of the id isn't 0 modulo 5. Null texts and those without letters are und with score 0;
-    languages that are null teach nothing; repeated rows give repeated rows; other columns are not read.
+    languages that are null teach nothing; of classes with the same score the first by name is taken; texts of any
+    length are read whole; repeated rows give repeated rows; other columns, ``lang_pred`` and ``score`` too, are not read.
     """
     model = train(df.filter(crc_fold() != 0))
     return predict(df.select("doc_id", "text"), model).select("doc_id", (crc_fold() == 0).alias("held_out"), "lang_pred", "score")

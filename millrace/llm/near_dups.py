@@ -13,8 +13,10 @@ confirm it. Only components are asked for, so lists are worked off in two rounds
    links of a spanning forest come out.
 
 A pair of similarity t shares each of the union's k smallest values with probability t at least, whatever the texts
-are, since the hash is independent of them. At 0.85 and k = 32 the chance that a pair has an estimate below ``floor``,
-misses all of 24 neighbour lists, or shares none of the 8 smallest values, is below one in a million each.
+are, since the hash is independent of them. Chances that a pair of similarity 0.8 (0.85) is missed, at k = 32, by exact
+sums over the union's values: an estimate below ``floor`` 2e-7 (1e-9); under a tenth of its lists shared 6e-9 (5e-11);
+none of 24 neighbour lists shared 2e-7 (5e-9); none of the 8 smallest values shared 3e-8 (2e-9). Every pair that is
+found is confirmed on full sets; sets of no more than k values are their own sketches.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, documents, slices, stored
-from millrace.llm.components import smallest_reachable
+from millrace.llm.common import documents, slices, stored
 from millrace.llm.shingles import shingle_sets
+from millrace.operators.graph import components
 
 
 def sketches(df: DataFrame, k: int, size: int) -> DataFrame:
@@ -167,7 +169,7 @@ def _block_links(blocks: DataFrame, percent: int, kind: str) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, percent: int = 85, size: int = 5, k: int = 32, short: int = 32, cold: int = 24, first: int = 8, floor: float = 0.45, partners: int = 3, block: int = 512
+    df: DataFrame, percent: int = 80, size: int = 5, k: int = 32, short: int = 32, cold: int = 24, first: int = 8, floor: float = 0.38, partners: int = 3, block: int = 512
 ) -> DataFrame:
     """One row for each row of (doc_id, text): n_shingles, component_id and whether the document is its component's first.
 
@@ -196,8 +198,8 @@ def near_duplicates(
     met = smallest.select("doc_id", F.explode("v").alias("v")).join(few.select("doc_id", "sketch"), "doc_id")
     met = met.groupBy("v.value", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(v.length / {block}) as bigint))").alias("part"))
     near = _closest(met.agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).filter("size(members) > 1"), partners, kind)
-    links = cut(_confirmed(cut(near), sets, percent))
-    known = cut(smallest_reachable(links).withColumnRenamed("node", "doc_id"))
+    links = stored(_confirmed(stored(near), sets, percent))
+    known = stored(components(links).withColumnRenamed("node", "doc_id"))
     placed = stored(few.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
 
     by_list = short_lists.join(placed.select("doc_id", "component"), "doc_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "component"))).alias("m"))
@@ -205,23 +207,23 @@ def near_duplicates(
     agree = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
     inner = f"transform(filter(m, y -> y.doc_id > x.doc_id and y.component <> x.component and {agree}), y -> named_struct('a', x.doc_id, 'b', y.doc_id))"
     direct = by_list.select(F.explode(F.expr(f"flatten(transform(m, x -> {inner}))")).alias("p")).select("p.*").distinct()
-    links = links.union(cut(_confirmed(cut(_likely(cut(direct), few, k, floor)), sets, percent)))
+    links = links.union(stored(_confirmed(stored(_likely(stored(direct), few, k, floor)), sets, percent)))
 
     warm = placed.filter("warm").select("doc_id", "component", F.explode(F.slice("sketch", 1, first)).alias("value"))
     mains = warm.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("components"), F.max("count").alias("most"))
-    mains = cut(mains.filter("components > 1").select("value", "main", F.expr(f"cast(ceil(members / {block}) as int)").alias("parts"), F.expr(f"cast(ceil((members - most) / {block}) as int)").alias("asking")))
+    mains = stored(mains.filter("components > 1").select("value", "main", F.expr(f"cast(ceil(members / {block}) as int)").alias("parts"), F.expr(f"cast(ceil((members - most) / {block}) as int)").alias("asking")))
     dealt = warm.join(mains, "value").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id, value), parts) as int)")).withColumn("ask", F.expr("if(component = main, -1, cast(pmod(xxhash64(doc_id, value, 1), asking) as int))"))
     as_other = dealt.select("value", "part", F.explode(F.expr("sequence(0, asking - 1)")).alias("i"), "doc_id", "component", F.lit(False).alias("asks"))
     as_asking = dealt.filter("ask >= 0").select("value", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("ask").alias("i"), "doc_id", "component", F.lit(True).alias("asks"))
     rows = as_other.union(as_asking).join(sets, "doc_id")
     blocks = rows.groupBy("value", "part", "i").agg(F.collect_list(F.struct("doc_id", "asks", "component", "full")).alias("members"))
-    links = cut(links.union(_block_links(blocks, percent, kind)))
+    links = stored(links.union(_block_links(blocks, percent, kind)))
 
-    final = smallest_reachable(links)
-    named = cut(nodes.select("same", "doc_id").join(final, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("component")))
+    final = components(links)
+    named = stored(nodes.select("same", "doc_id").join(final, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("component")))
     out = base.drop("sketch").join(named, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.llm.components import smallest_reachable
 from millrace.llm.vectors import dimension, dots, matrix, usable
+from millrace.operators.graph import components
 
 #: Rounding of coordinates and of block distances is far below this.
 _SLACK = 1e-5
@@ -141,7 +141,7 @@ def vector_duplicates(df: DataFrame, cosine: float = 0.9, parts: int = 4, chunk:
     kind = df.schema["vec_id"].dataType.simpleString()
     found = stored(dealt.groupBy("b", "slab", "i", "j").applyInArrow(_counted(d, cosine, parts), f"rep {kind}, links long, root {kind}"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = smallest_reachable(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    whole = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.join(links, "rep", "left").join(whole, reps["rep"] == whole["node"], "left")
     known = stored(known.select(F.col("embedding").alias("same"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = rows.join(known, rows["embedding"] == known["same"], "left")

@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import components, languages, near_dups, nearest, quality, vector_dups
+from millrace.llm import languages, near_dups, nearest, quality, vector_dups
 from millrace.llm.common import documents, stored
+from millrace.operators.graph import components
 
 
-def components_by_hand(docs, percent=85):
+def components_by_hand(docs, percent):
     sets = {}
     for i, t in docs:
         x = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({65 + k: 97 + k for k in range(26)}))
@@ -35,6 +36,16 @@ def components_by_hand(docs, percent=85):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    x = [f"w{i}" for i in range(104)]  # 100 shingles
+    cases = [x, x[:90] + ["a"], x[:87] + ["b"], [f"v{i}" for i in range(50)]]
+    docs = [(i, " ".join(c)) for i, c in enumerate(cases)]
+    for percent in (80, 82, 85, 87):
+        want = components_by_hand(docs, percent)
+        assert all(tuple(r)[1:] == want[r.doc_id] for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect())
+    assert components_by_hand(docs, 82)[2][1] == 0 != components_by_hand(docs, 85)[2][1]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     random.seed(3)
     words = [f"w{i}" for i in range(4000)]
@@ -53,9 +64,9 @@ def test_near_duplicates_equal_brute_force(spark):
     docs = list(enumerate(texts))
     random.shuffle(docs)
     docs += docs[:5]
-    want = components_by_hand(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("sketch", F.lit(1))
-    for settings in ({}, {"block": 32, "short": 6}):
+    for settings in ({}, {"percent": 85}, {"percent": 85, "block": 32, "short": 6}):
+        want = components_by_hand(docs, settings.get("percent", 80))
         rows = near_dups.near_duplicates(df, **settings).collect()
         assert len(rows) == len(docs)
         assert all(tuple(r)[1:] == want[r.doc_id] for r in rows)
@@ -65,8 +76,12 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     random.Random(1).shuffle(links)
-    got = dict(map(tuple, components.smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()))
-    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    for few in (1 << 17, 0, 5):
+        got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(7), few=few).collect()))
+        assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    names = spark.createDataFrame([("b", "é"), ("é", "a"), ("z", "y")], "a string, b string")
+    assert dict(map(tuple, components(names).collect())) == {"a": "a", "b": "a", "é": "a", "y": "y", "z": "y"}
+    assert components(names.limit(0)).count() == 0
 
 
 def vectors():
@@ -158,6 +173,13 @@ def test_language_held_out_accuracy(spark, sf):
     odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 !", "en"), (4, "abc", None), (4, "abc", None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in languages.identify(odd).collect()} == {("und", 0.0)}
     assert languages.identify(odd.limit(0)).count() == 0
+    many = spark.range(700).selectExpr("id as doc_id", "repeat(concat(char(97 + id % 26), char(97 + int(id / 26) % 26), 'q '), 3) as text", "concat('l', lpad(id, 3, '0')) as lang")
+    assert languages.labelled_sample(many, 5, 100).select("lang").distinct().count() == 700  # one of each language in any case
+    copies = many.limit(1).crossJoin(spark.range(3000)).select("doc_id", "text", "lang").union(spark.range(3000).selectExpr("7L", "concat('text ', id)", "'x'"))
+    assert languages.labelled_sample(copies, 50, 1000).count() == 51
+    twice = spark.createDataFrame([(k, "x " * 5, lang) for k in range(20) for lang in ("b", "a")], "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit(2))
+    assert {r.lang_pred for r in languages.identify(twice).collect()} <= {"a", "b"}
+    assert [r.lang_pred for r in languages.identify(docs.limit(50).union(spark.createDataFrame([(-1, "the word " * 40000, None, "s", 1)], docs.schema))).collect() if r.doc_id == -1] != ["und"]
 
 
 def test_quality_held_out(spark):
@@ -184,6 +206,6 @@ def test_pipeline_stages(spark, sf):
         if name != "packing":
             assert docs.columns == before.columns
         if name == "near_duplicates":
-            want = components_by_hand([(r.doc_id, r.text) for r in before.collect()])
+            want = components_by_hand([(r.doc_id, r.text) for r in before.collect()], 80)
             assert {r.doc_id for r in docs.collect()} == {i for i, x in want.items() if x[2]}
     assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] == sizes[4] <= sizes[5]
