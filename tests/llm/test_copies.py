@@ -38,12 +38,12 @@ def components_by_hand(docs, percent):
 
 def test_near_duplicates_at_the_threshold(spark):
     x = [f"w{i}" for i in range(104)]  # 100 shingles
-    cases = [x, x[:90] + ["a"], x[:87] + ["b"], [f"v{i}" for i in range(50)]]
+    cases = [x, x[:87] + ["b"], [f"v{i}" for i in range(50)]]
     docs = [(i, " ".join(c)) for i, c in enumerate(cases)]
     for percent in (80, 82, 85, 87):
         want = components_by_hand(docs, percent)
         assert all(tuple(r)[1:] == want[r.doc_id] for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect())
-    assert components_by_hand(docs, 82)[2][1] == 0 != components_by_hand(docs, 85)[2][1]
+    assert components_by_hand(docs, 82)[1][1] == 0 != components_by_hand(docs, 85)[1][1]
 
 
 def test_near_duplicates_equal_brute_force(spark):
