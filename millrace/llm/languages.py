@@ -159,7 +159,7 @@ def fit(features: np.ndarray, shares: np.ndarray, ends: np.ndarray, classes: np.
         own = log_p[np.arange(len(s)), right]
         return float(-((1 - doubt) * own + doubt / max(1, k - 1) * (log_p.sum(axis=1) - own)).mean())
 
-    temperature = min(np.exp(np.linspace(-3, 3, 121)), key=loss) if fitted else 1.0
+    temperature = min(np.exp(np.linspace(-3, 3, 121)), key=loss) if len(fitted) else 1.0
     return LanguageModel(names, w[:-1] * idf[:, None] * _SCALE, w[-1], float(temperature))
 
 

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, stored
+from millrace.llm.common import documents, mixed, slices, stored, text_bytes, word_spans
 
 
 def default_tokenizer() -> str:
@@ -29,75 +30,139 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes; what stands between white space is encoded once while it is cached.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _plain(chunk: str) -> bool:
+    """Letters that composing and lower-casing don't change in number."""
+    return chunk.isalpha() and (chunk.isascii() or "\u0130" not in chunk and unicodedata.is_normalized("NFC", chunk))
 
-    The tokenizer never joins across white space, and the last id of each of its words is one that ends a word. So
-    many new chunks are encoded as one text, and its ids are cut after as many ends as each chunk has words. Chunks
-    whose words can't be told before they are normalised (special tokens, characters that composing or lower-casing
-    changes in number) are encoded one by one, texts with separators that only Python takes for white space whole.
+
+class WordEncoder:
+    """Ids of many texts at once; what stands between white space is encoded once while its ids are remembered.
+
+    The tokenizer never joins across white space, so the chunks between ASCII white space are encoded apart, many new
+    ones as one text: letters alone are one word and letters with a full stop or comma two, whose last ids are those
+    that end a word; between other chunks stands a special token, at which the ids are cut again. Ids stand one after
+    another in ``ids``. A chunk of at most 16 bytes is found by its bytes, as two 64-bit words, in one of two places of a table
+    that its hash names; a new chunk takes the second place from another. Longer chunks are found in a dictionary.
+    Places, ids and the dictionary's bytes are bounded; beyond that all are forgotten.
     """
 
-    def __init__(self, path: str, cache_size: int = 500_000):
-        import regex
+    def __init__(self, path: str, places: int = 1 << 20, most_ids: int = 1 << 23, most_bytes: int = 1 << 24):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
+        self.cut, self.cut_id = next(iter(added.items()), (None, None))
+        self.mark = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cache_size = cache_size
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        self.places, self.most_ids, self.most_bytes = places, most_ids, most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.low, self.high = np.zeros(self.places, np.uint64), np.zeros(self.places, np.uint64)
+        self.at, self.many = np.zeros(self.places, np.int32), np.full(self.places, -1, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the ids now stand."""
+        at = self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk stand, and how many they are."""
+        texts = [c.decode() for c in chunks]
+        words, marked, alone = [], [], []
+        for k, c in enumerate(texts):
+            if _plain(c):
+                words.append((k, 1))
+            elif c[-1] in ".," and _plain(c[:-1]):
+                words.append((k, 2))
+            elif self.cut is None or self.mark(c):
+                alone.append(k)
+            else:
+                marked.append(k)
+        at, many = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int32)
+
+        def keep(ks: list[int], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+            at[ks], many[ks] = self._keep(ids) + starts, ends - starts
+
+        parts = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for part, ids in zip(parts, self._ids([" ".join([texts[k] for k, _ in part]) for part in parts])):
+            ks, n = map(list, zip(*part))
+            stops, last = np.flatnonzero(self.ends_word[ids]) + 1, np.cumsum(n)
+            if len(stops) == last[-1] and stops[-1] == len(ids):
+                keep(ks, ids, np.concatenate([[0], stops[last[:-1] - 1]]), stops[last - 1])
+            else:  # some chunk isn't split as expected
+                marked += ks
+        parts = [marked[k : k + 512] for k in range(0, len(marked), 512)]
+        for part, ids in zip(parts, self._ids([(self.cut or "").join([texts[k] for k in part]) for part in parts])):
+            stops = np.append(np.flatnonzero(ids == self.cut_id), len(ids))
+            keep(part, ids, np.concatenate([[0], stops[:-1] + 1]), stops)
+        for k, ids in zip(alone, self._ids([texts[k] for k in alone])):
+            keep([k], ids, np.array([0]), np.array([len(ids)]))
+        return at, many
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _count(self, chunk: str) -> int:
-        """Words of a chunk; letters alone are one, and with a closing full stop or comma two."""
-        if chunk.isalpha():
-            return 1
-        return 2 if chunk[-1] in ".," and chunk[:-1].isalpha() else len(self.words(chunk))
-
-    def _learn(self, chunks: list[str]) -> None:
-        odd = [c for c in chunks if not c.isascii() and ("\u0130" in c or not unicodedata.is_normalized("NFC", c)) or "<|" in c and self.special.search(c)]
-        self.young.update(zip(odd, [x.tobytes() for x in self._whole(odd)]))
-        chunks = [c for c in chunks if c not in self.young]
-        parts = [chunks[k : k + 256] for k in range(0, len(chunks), 256)]
-        for part, ids in zip(parts, self._whole([" ".join(p) for p in parts])):
-            stops = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])
-            words = np.cumsum([0, *map(self._count, part)])
-            if words[-1] != len(stops) - 1:  # some chunk isn't split as expected
-                self.young.update(zip(part, [x.tobytes() for x in self._whole(part)]))
-                continue
-            raw, at = ids.tobytes(), (stops[words] * 4).tolist()
-            self.young.update((c, raw[a:b]) for c, a, b in zip(part, at, at[1:]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get, out, open_texts, missing = self.young.get, [], [], set()
-        for i, text in enumerate(texts):
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.append(self._whole([text])[0].tobytes())
-                continue
-            chunks = text.split()
-            found = [*map(get, chunks)]
-            if None in found:
-                missing.update(c for c, f in zip(chunks, found) if f is None)
-                open_texts.append((i, chunks))
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, each text's with the end id if there is one, and where each text begins (one more at the end)."""
+        if self.used > self.most_ids or self.long_bytes > self.most_bytes:
+            self._forget()
+        data, offsets = text_bytes(column)
+        start, end, doc = word_spans(data, offsets, ~_SPACE)
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        windows = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        size = end - start
+        low = windows[start] & _MASKS[np.minimum(size, 8)]
+        high = windows[np.minimum(start + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)]
+        hashed = mixed(low ^ (high * np.uint64(0x9FB21C651E98DF25)) ^ size.astype(np.uint64))
+        one, two = (hashed & np.uint64(self.places - 1)).astype(np.int64), ((hashed >> np.uint64(32)) & np.uint64(self.places - 1)).astype(np.int64)
+        place = np.where((self.low[one] == low) & (self.high[one] == high) & (self.many[one] >= 0), one, two)
+        at, many = self.at[place], self.many[place]
+        short = size <= 16
+        new = np.flatnonzero(short & ((self.low[place] != low) | (self.high[place] != high) | (many < 0)))
+        if len(new):
+            self._learn(new, data, start, end, low, high, one, two, at, many)
+        raw = data.tobytes() if not short.all() else b""
+        other = [(k, raw[start[k] : end[k]]) for k in np.flatnonzero(~short)]
+        missing = list({c for _, c in other if c not in self.long})
         if missing:
-            self.young.update((c, self.old[c]) for c in missing if c in self.old)
-            self._learn(sorted(c for c in missing if c not in self.young))
-            find = self.young.__getitem__
-            for i, chunks in open_texts:
-                out[i] = b"".join(map(find, chunks))
-        if len(self.young) > self.cache_size:
-            self.old, self.young = self.young, {}
-        return out
+            self.long.update(zip(missing, zip(*(x.tolist() for x in self._encoded(missing)))))
+            self.long_bytes += sum(len(c) + 100 for c in missing)
+        for k, c in other:
+            at[k], many[k] = self.long[c]
+        count = np.bincount(doc, minlength=len(column))
+        if end_id is not None:
+            last = np.cumsum(count)
+            at, many = np.insert(at, last, self._keep(np.array([end_id], "<u4"))), np.insert(many, last, 1)
+            count = count + 1
+        ends = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        take = np.arange(ends[-1]) + np.repeat(at - ends[:-1], many)
+        return self.ids[take], ends[np.concatenate([[0], np.cumsum(count)])]
+
+    def _learn(self, new, data, start, end, low, high, one, two, at, many) -> None:
+        """Encodes the different chunks among those at ``new`` and gives them places; fills in where their ids stand."""
+        _, first, which = np.unique(np.stack([low[new], high[new]], axis=1).view("u8,u8").ravel(), return_index=True, return_inverse=True)
+        chosen = new[first]
+        raw = data.tobytes()
+        ids_at, ids_many = self._encoded([raw[a:b] for a, b in zip(start[chosen].tolist(), end[chosen].tolist())])
+        at[new], many[new] = ids_at[which.ravel()], ids_many[which.ravel()]
+        place = np.where(self.many[one[chosen]] < 0, one[chosen], two[chosen])
+        for column, values in ((self.low, low[chosen]), (self.high, high[chosen]), (self.at, ids_at), (self.many, ids_many)):
+            column[place] = values  # of chunks with the same place the last stays, in all four alike
 
 
 @functools.lru_cache(maxsize=2)
@@ -109,70 +174,101 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _within(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array, bool]]:
+    """(ids, texts, whether the text goes on) in parts of at most ``most`` characters a text, cut before white space."""
+    for part in slices(batches, limit=most):
+        text = part.column("text")
+        if part.num_rows > 1 or (pc.binary_length(text)[0].as_py() or 0) <= 4 * most:
+            yield part.column("doc_id"), text, False
+            continue
+        left = text[0].as_py()
+        while len(left) > most:
+            k = next((m.start() for m in _GAP.finditer(left, most)), len(left))
+            if k == len(left):
+                break
+            yield part.column("doc_id"), pa.array([left[:k]], text.type), True
+            left = left[k:]
+        yield part.column("doc_id"), pa.array([left], text.type), False
+
+
+_GAP = re.compile(r"[ \t-\r]")
+
+
 def pieces(df: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each row of (doc_id, text): its ids and the end id, cut to the capacity."""
+    """(doc_id, piece, start, length, ids_crc32) of each row of (doc_id, text): its ids and the end id, cut to the capacity.
+
+    Null and empty texts give one piece, the end id; very long texts are encoded part by part; repeated rows give
+    repeated pieces; other columns are not read.
+    """
     path = tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
+    step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(enc.encode([x or "" for x in part.column("text").to_pylist()])):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[s : s + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        before = b""
+        for doc_ids, texts, more in _within(batches, 1 << 20):
+            ids, ends = enc.encode(texts, None if more else end_id)
+            if more:
+                before += ids.tobytes()
+                continue
+            raw = memoryview(before + ids.tobytes())
+            ends = 4 * ends
+            if before:  # a text that came in parts is alone
+                ends[-1] += len(before)
+                before = b""
+            size = np.diff(ends)
+            many = -(-size // step)
+            row = np.repeat(np.arange(len(size)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = ends[row] + piece * step
+            to = np.minimum(at + step, ends[row + 1])
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), to.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array((to - at) // 4, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
-    """Bins of item numbers with their free room; ``rooms`` lists bins by free room for best fit."""
+    """Bins of item numbers, as tuples that packings share, with their free room."""
 
-    def __init__(self, sizes: list[int], capacity: int):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[tuple[int, ...]] = (), free: list[int] = ()):
         self.sizes, self.capacity = sizes, capacity
-        self.bins: list[list[int]] = []
-        self.free: list[int] = []
+        self.bins, self.free = list(bins), list(free)
 
     def fit(self, items: list[int]) -> None:
         """Places items, largest first, each where the least room is left over."""
-        rooms: list[list[int]] = [[] for _ in range(self.capacity + 1)]
+        rooms: dict[int, list[int]] = {}
         open_rooms = 0  # bit r is set if a bin with free room r exists
         for b, r in enumerate(self.free):
-            rooms[r].append(b)
-            open_rooms |= 1 << r
-        for item in sorted(items, key=self.sizes.__getitem__, reverse=True):
-            size = self.sizes[item]
+            if r:
+                rooms.setdefault(r, []).append(b)
+                open_rooms |= 1 << r
+        sizes, bins, free = self.sizes, self.bins, self.free
+        for item in sorted(items, key=sizes.__getitem__, reverse=True):
+            size = sizes[item]
             fits = open_rooms >> size
             if fits:
                 r = size + (fits & -fits).bit_length() - 1
                 b = rooms[r].pop()
                 if not rooms[r]:
                     open_rooms ^= 1 << r
-                self.bins[b].append(item)
+                bins[b] += (item,)
             else:
-                r, b = self.capacity, len(self.bins)
-                self.bins.append([item])
-                self.free.append(r)
-            self.free[b] = left = r - size
-            rooms[left].append(b)
-            open_rooms |= 1 << left
-
-    def quality(self) -> tuple[int, float]:
+                r, b = self.capacity, len(bins)
+                bins.append((item,))
+                free.append(r)
+            free[b] = left = r - size
+            if left:
+                rooms.setdefault(left, []).append(b)
+                open_rooms |= 1 << left
+
+    def quality(self) -> tuple[int, int]:
         """Fewer bins first, then fuller ones among them: sum of squared fills."""
-        return -len(self.bins), sum((self.capacity - f) ** 2 for f in self.free)
+        return -len(self.bins), sum([(self.capacity - f) ** 2 for f in self.free])
 
     def flat(self) -> list[int]:
         place = [0] * len(self.sizes)
@@ -183,50 +279,38 @@ class Packing:
 
     @classmethod
     def of(cls, sizes: list[int], capacity: int, place: list[int]) -> Packing:
-        made = cls(sizes, capacity)
-        made.bins = [[] for _ in range(max(place, default=-1) + 1)]
+        bins: dict[int, list[int]] = {}
         for i, b in enumerate(place):
-            made.bins[b].append(i)
-        made.bins = [b for b in made.bins if b]
-        made.free = [capacity - sum(map(sizes.__getitem__, b)) for b in made.bins]
-        return made
+            bins.setdefault(b, []).append(i)
+        return cls(sizes, capacity, [tuple(b) for b in bins.values()], [capacity - sum(map(sizes.__getitem__, b)) for b in bins.values()])
 
 
 def crossed(mother: Packing, father: Packing, rng: np.random.Generator) -> Packing:
-    """The mother with some of the father's fullest bins injected."""
-    ranked = sorted(range(len(father.bins)), key=father.free.__getitem__)
+    """The mother with some of the father's fullest bins injected. Her bins that hold one of their items dissolve, and a few of her poorest."""
+    ranked = np.argsort(father.free, kind="stable")
     fullest = ranked[: max(1, len(ranked) // 2)]
-    chosen = [father.bins[b] for b in rng.choice(fullest, max(1, len(fullest) // 4), replace=False)]
-    inside = {i for b in chosen for i in b}
-    child = Packing(mother.sizes, mother.capacity)
-    child.bins = [list(b) for b in chosen]
+    chosen = rng.choice(fullest, int(rng.integers(1, max(2, len(fullest) // 8))), replace=False).tolist()
+    inside = {i for b in chosen for i in father.bins[b]}
+    child = Packing(mother.sizes, mother.capacity, [father.bins[b] for b in chosen], [father.free[b] for b in chosen])
+    poorest = sorted(mother.free, reverse=True)[min(2, len(mother.free) - 1)]
     displaced: list[int] = []
-    for b in mother.bins:
-        if inside.isdisjoint(b):
-            child.bins.append(list(b))
-        else:
+    for b, free in zip(mother.bins, mother.free):
+        if free > poorest or not inside.isdisjoint(b):
             displaced += [i for i in b if i not in inside]
-    child.free = [child.capacity - sum(map(child.sizes.__getitem__, b)) for b in child.bins]
-    loosest = sorted(range(len(child.bins)), key=child.free.__getitem__)[-2:]  # two poor bins dissolve too
-    loosest = {b for b in loosest if child.free[b] > 0}
-    displaced += [i for b in loosest for i in child.bins[b]]
-    child.bins, child.free = [x for b, x in enumerate(child.bins) if b not in loosest], [x for b, x in enumerate(child.free) if b not in loosest]
+        else:
+            child.bins.append(b)
+            child.free.append(free)
     child.fit(displaced)
     return child
 
 
 def evolved(sizes: list[int], capacity: int, seed: int, elite: list[list[int]], population: int, generations: int) -> list[int]:
-    """The best packing after some generations, as bin of each item. It ends early when no packing can have fewer bins."""
+    """The best packing after some generations, as bin of each item; elite packings take part from the start."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
     alive = [Packing.of(sizes, capacity, p) for p in elite]
     if not alive:
-        first = Packing(sizes, capacity)
-        first.fit([*range(len(sizes))])
-        alive.append(first)
-    best = max(alive, key=Packing.quality)
-    if len(best.bins) <= least:
-        return best.flat()
+        alive.append(Packing(sizes, capacity))
+        alive[0].fit([*range(len(sizes))])
     while len(alive) < population:  # best fit in random portions
         made = Packing(sizes, capacity)
         order = rng.permutation(len(sizes)).tolist()
@@ -234,15 +318,18 @@ def evolved(sizes: list[int], capacity: int, seed: int, elite: list[list[int]],
         for at in range(0, len(order), portion):
             made.fit(order[at : at + portion])
         alive.append(made)
-    for _ in range(generations):
-        a, b = rng.choice(len(alive), 2, replace=False)
-        child = crossed(alive[a], alive[b], rng)
-        worst = min(range(len(alive)), key=lambda k: alive[k].quality())
-        if child.quality() > alive[worst].quality():
-            alive[worst] = child
-        if len(child.bins) <= least:
-            break
-    return max(alive, key=Packing.quality).flat()
+    ranked = sorted([(p.quality(), k, p) for k, p in enumerate(alive)], reverse=True)
+    for made in range(generations):
+        if not ranked[0][2].bins or max(ranked[0][2].free) == 0:
+            break  # all bins are full
+        a, b = sorted(rng.choice(len(ranked), 2, replace=False).tolist())
+        mother, father = (a, b) if rng.random() < 0.7 else (b, a)
+        child = crossed(ranked[mother][2], ranked[father][2], rng)
+        quality = child.quality()
+        if quality > ranked[-1][0] and all(quality != q for q, *_ in ranked):
+            ranked[-1] = (quality, population + made, child)
+            ranked.sort(reverse=True)
+    return ranked[0][2].flat()
 
 
 def _packed(items: DataFrame, group: int, islands: int, rounds: int, population: int, generations: int, capacity: int, seed: int) -> DataFrame:
@@ -279,7 +366,7 @@ def _packed(items: DataFrame, group: int, islands: int, rounds: int, population:
 
 
 def pack(
-    cut: DataFrame, capacity: int = 4096, group: int = 2048, islands: int = 2, rounds: int = 2, population: int = 4, generations: int = 6, well_filled: float = 0.98
+    cut: DataFrame, capacity: int = 4096, group: int = 2048, islands: int = 2, rounds: int = 2, population: int = 6, generations: int = 24, well_filled: float = 0.98
 ) -> DataFrame:
     """Adds sequence_id and offset to rows that have a column length, from 1 to the capacity. Other columns pass through."""
     cut = stored(cut.withColumn("item", F.monotonically_increasing_id()))
