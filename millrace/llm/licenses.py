@@ -1,9 +1,11 @@
 """Licence notices by exact set-similarity join.
 
-A text block (a line) matches a template if it contains at least a given share of the template's distinct words.
-Words are ordered by their count in the whole corpus, rarest first. A block that shares enough words must share one
-of the template's first ones (prefix filter), needs enough template words at all (length filter), and after the place
-of a shared word enough words must be left on both sides (positional filter). What is left is counted exactly.
+A text block matches a template if it contains at least a given share of the template's distinct words. Blocks are all
+windows of consecutive words, across line breaks too, that are as long as the template with a tenth of other words
+between its own. Words are ordered by their count in the whole corpus, rarest first. A block that shares enough words
+must share one of the template's first ones (prefix filter) and needs enough template words at all (length filter);
+where its first shared word stands at place i of the template, no more than those from there on can be shared
+(positional filter). What is left is counted exactly.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ TEMPLATES = [
     ("cc-by-sa", "Creative Commons Attribution ShareAlike License"),
     ("cc0", "dedicated to the public domain under CC0"),
     ("reserved", "All rights reserved"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("gpl", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,34 +72,42 @@ class Templates:
         self.labels = [label for label, _ in templates]
         self.sets = [sorted(set(_hashed(_words(text)))) for _, text in templates]
         self.need = [math.ceil(share * len(s) - 1e-9) for s in self.sets]
+        self.wide = [math.ceil(len(_words(text)) / share - 1e-9) for _, text in templates]
         self.vocabulary = np.array(sorted({h for s in self.sets for h in s}), np.uint64)
 
     def order(self, counts: dict[int, int]) -> None:
         """counts: occurrences in the corpus by place in the vocabulary. Ties go by hash."""
         rank = np.empty(len(self.vocabulary), np.int64)
         rank[sorted(range(len(rank)), key=lambda k: (counts.get(k, 0), k))] = np.arange(len(rank))
-        self.rank = rank
-        place = {int(h): int(rank[k]) for k, h in enumerate(self.vocabulary)}
-        self.ranked = [sorted(place[h] for h in s) for s in self.sets]
-        self.index: dict[int, list[tuple[int, int]]] = {}
-        for t, ranks in enumerate(self.ranked):
-            for i, r in enumerate(ranks[: len(ranks) - self.need[t] + 1]):
-                self.index.setdefault(r, []).append((t, i))
-        self.prefix = np.array(sorted(self.index), np.int64)
-
-    def matches(self, ranks: list[int]) -> list[tuple[int, float]]:
-        """Templates that a block with these distinct ordered words contains, and how far."""
-        found, tried = [], set()
-        for j, r in enumerate(ranks):
-            for t, i in self.index.get(r, ()):
-                need, size = self.need[t], len(self.ranked[t])
-                if t in tried or len(ranks) < need or 1 + min(size - i - 1, len(ranks) - j - 1) < need:
-                    continue
-                tried.add(t)
-                both = len(set(ranks).intersection(self.ranked[t]))
-                if both >= need:
-                    found.append((t, both / size))
-        return found
+        self.places = np.full((len(self.sets), len(rank)), -1)  # of each word of the vocabulary in each ordered template
+        for t, words in enumerate(self.sets):
+            at = np.searchsorted(self.vocabulary, np.array(words, np.uint64))
+            self.places[t, at[np.argsort(rank[at])]] = np.arange(len(at))
+
+    def matches(self, t: int, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin that contain template t, as places in at, and how many of its words each has. at: places of the vocabulary's words, rising."""
+        size, need, wide = len(self.sets[t]), self.need[t], self.wide[t]
+        place = self.places[t, word]
+        anchors = at[(place >= 0) & (place <= size - need)]
+        near = np.flatnonzero(place >= 0)
+        near = near[np.searchsorted(anchors, at[near] + wide - 1, side="right") > np.searchsorted(anchors, at[near] - wide + 1)]
+        at, place = at[near], place[near]
+        end = np.searchsorted(at, at + wide)  # a window begins with each word of the template
+        start = np.arange(len(at))
+        first = np.full(len(at), size)
+        for k in range(size - need, -1, -1):
+            seen = np.concatenate([[0], np.cumsum(place == k)])
+            first[seen[end] > seen[start]] = k
+        start = np.flatnonzero((first <= size - need) & (np.minimum(end - start, size - first) >= need))
+        before = np.full(len(at), -1)  # where the same word stood last
+        by = np.argsort(place, kind="stable")
+        same = place[by][1:] == place[by][:-1]
+        before[by[1:][same]] = by[:-1][same]
+        both = np.zeros(len(start), np.int64)
+        for k in range(int((end[start] - start).max(initial=0))):
+            inside = np.minimum(start + k, len(at) - 1)
+            both += (start + k < end[start]) & (before[inside] < start)
+        return near[start[both >= need]], both[both >= need]
 
 
 def _tokens(part: pa.RecordBatch, vocabulary: np.ndarray):
@@ -120,8 +136,9 @@ def word_counts(df: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 def license_scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = 0.9) -> DataFrame:
     """One row for each row of (doc_id, text): word count, phrase places, labels of phrases and of matched templates.
 
-    Null and empty texts have no words and no labels; score is the largest share of a template or phrase that a block
-    holds, 0 below the threshold. Repeated rows give repeated rows; other columns are not read.
+    Null and empty texts have no words and no labels, an empty table gives no rows; texts of any length are read whole;
+    score is the largest share of a template or phrase that a block holds, 0 below the threshold. Repeated rows give
+    repeated rows; other columns, also such as ``labels`` or ``score``, are not read.
     """
     known = Templates(templates, share)
     known.order(word_counts(df, known.vocabulary))
@@ -153,20 +170,12 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, ph
                     score[d] = 1.0
             labels = [set(x) for x in base]
             inside = np.flatnonzero(vocab >= 0)
-            ranks = known.rank[vocab[inside]]
-            lines = np.searchsorted(np.flatnonzero(raw == 10), start[inside])  # line breaks before the word
-            block = lines * np.int64(rows + 1) + doc[inside]
-            hit = np.isin(ranks, known.prefix)
-            wanted = np.unique(block[hit])
-            keep = np.isin(block, wanted)
-            blocks, ranks = block[keep], ranks[keep]
-            by = np.lexsort((ranks, blocks))
-            blocks, ranks = blocks[by], ranks[by]
-            for a, b in zip(np.searchsorted(blocks, wanted), np.searchsorted(blocks, wanted, side="right")):
-                for t, contained in known.matches(np.unique(ranks[a:b]).tolist()):
-                    d = int(blocks[a] % (rows + 1))
-                    labels[d].add(known.labels[t])
-                    score[d] = max(score[d], contained)
+            apart = inside + doc[inside] * max(known.wide, default=1)  # no window reaches from one text into the next
+            for t, label in enumerate(known.labels):
+                at, both = known.matches(t, vocab[inside], apart)
+                for d, n in zip(doc[inside[at]].tolist(), both.tolist()):
+                    labels[d].add(label)
+                    score[d] = max(score[d], n / len(known.sets[t]))
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -11,6 +11,7 @@ few smallest ids that a query could ask for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.llm.vectors import dimension, dots, matrix, usable
+from millrace.llm.vectors import dots, lengths, matrix, usable
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -182,22 +183,32 @@ def _searched(words: np.ndarray, d: int, k: int, deep: int):
     return run
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, deep: int = 256, sample: int = 16384, books: int = 12) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, asked_block: int = 65536, deep: int = 256, sample: int = 16384, books: int = 12) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, ties to the smaller id.
 
     ``queries`` has (vec_id, embedding); a row with the query's id is no candidate. Every row is scored by its codes,
-    in blocks; the best ``deep`` of each block and all that may reach its k best are scored exactly. Unusable vectors and those not of the commonest
-    length take no part. Repeated query rows count once, repeated candidate rows each. Other columns are not read.
+    in blocks of ``block`` rows against ``asked_block`` queries; the best ``deep`` of each block and all that may reach
+    its k best are scored exactly. Null, zero and non-finite vectors take no part; vectors of each length are searched
+    among themselves. Query rows of one id count once, with the smallest of their vectors; repeated candidate rows count
+    each. An empty table gives no rows. Other columns, ``rank`` and ``score`` too, are not read.
     """
     rows = df.select("vec_id", "embedding").filter(usable() + " and vec_id is not null")
-    asked = queries.select("vec_id", "embedding").filter(usable() + " and vec_id is not null")
+    asked = queries.select("vec_id", "embedding").filter(usable() + " and vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     id_kind = df.schema["vec_id"].dataType.simpleString()
-    d = dimension(rows)
-    if not d:
+    found = [_found(rows.filter(F.size("embedding") == d), asked.filter(F.size("embedding") == d), d, k, block, asked_block, deep, sample, books) for d in lengths(rows)]
+    if not found:
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
-    index, coder = build_index(stored(distinct_vectors(rows.filter(F.size("embedding") == d), k + 1)), d, sample, books)
-    asked = stored(asked.filter(F.size("embedding") == d).dropDuplicates(["vec_id"]))
-    held_blocks, asked_blocks = max(1, -(-index.count() // block)), max(1, -(-asked.count() // block))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = functools.reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, asked: DataFrame, d: int, k: int, block: int, asked_block: int, deep: int, sample: int, books: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of each block of vectors of length d."""
+    id_kind = rows.schema["vec_id"].dataType.simpleString()
+    index, coder = build_index(stored(distinct_vectors(rows, k + 1)), d, sample, books)
+    asked = stored(asked)
+    held_blocks, asked_blocks = max(1, -(-index.count() // block)), max(1, -(-asked.count() // asked_block))
     held = index.select(
         F.expr(f"cast(pmod(xxhash64(vec_id, error), {held_blocks}) as int)").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("a"),
         F.lit(1).alias("role"), "vec_id", "embedding", "ids", "codes", "scale", "error",
@@ -206,9 +217,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, d
         F.explode(F.sequence(F.lit(0), F.lit(held_blocks - 1))).alias("h"), F.expr(f"cast(pmod(xxhash64(vec_id), {asked_blocks}) as int)").alias("a"),
         F.lit(0).alias("role"), "vec_id", "embedding", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("scale"), F.lit(0.0).alias("error"),
     )
-    found = held.union(posed).groupBy("h", "a").applyInArrow(_searched(coder.books, d, k, deep), f"query_id {id_kind}, vec_id {id_kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return held.union(posed).groupBy("h", "a").applyInArrow(_searched(coder.books, d, k, deep), f"query_id {id_kind}, vec_id {id_kind}, score double")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

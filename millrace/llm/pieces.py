@@ -47,6 +47,7 @@ class PieceCodec:
         self.rank = {i: -model.get_score(i) for i in normal}
         self.space_id = self.id_of[SPACE]
         self.runs = {x: i for x, i in self.id_of.items() if set(x) == {SPACE}}
+        self.run_lengths = {len(x) for x in self.runs}
         tokens = {x: i for x, i in self.id_of.items() if x not in self.runs or x == SPACE}
         if any(SPACE in x[1:] for x in tokens):
             raise ValueError("a piece has a space inside; words can't be encoded apart")
@@ -128,13 +129,21 @@ class PieceCodec:
         return ids[::-1]
 
     def _spaces(self, n: int) -> list[int]:
-        """Ids of a run of n spaces: all these merges have one rank, so the leftmost goes first each time."""
-        parts = [1] * n
-        while True:
-            k = next((k for k in range(len(parts) - 1) if SPACE * (parts[k] + parts[k + 1]) in self.runs), None)
-            if k is None:
-                return [self.runs[SPACE * x] for x in parts]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        """Ids of a run of n spaces: all these merges have one rank, so the leftmost goes first each time.
+
+        What stands to the right of the last part is untouched, so a part grows by one space as long as that makes a
+        piece, and after each step by joining the part before it.
+        """
+        parts = [1] if n else []
+        for _ in range(n - 1):
+            if parts[-1] + 1 not in self.run_lengths:
+                parts.append(1)
+                continue
+            parts[-1] += 1
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.run_lengths:
+                last = parts.pop()
+                parts[-1] += last
+        return [self.runs[SPACE * x] for x in parts]
 
     def _chunk(self, chunk: str) -> list[int]:
         """Ids of some spaces, written as the space sign, and then a word."""
@@ -160,6 +169,8 @@ class PieceCodec:
         if got is None:
             ids = self._chunk(chunk)
             got = (",".join(map(str, ids)), self._text(ids))
+        if len(chunk) > 256:
+            return got  # so that the number of chunks bounds the cache's bytes
         if len(self.young) >= self.cache_size:
             self.old, self.young = self.young, {}
         self.young[chunk] = got

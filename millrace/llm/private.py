@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, documents, stored
+from millrace.llm.common import documents, stored
 
 # The contract's expressions. Repetitions are possessive where nothing that follows could give back a
 # character, and runs are entered at their first character or after a match, so that each text is read once.
@@ -39,23 +39,32 @@ _CHECKS = {
 _TOKEN = r"(?:(?<!\S)|\G)[^\s0-9]*+[0-9]\S*+"
 
 
+#: SQL for the last and the first word of a text x.
+_LAST, _FIRST = r"lower(reverse(regexp_extract(reverse(x), r'^\s*(\S+)', 1)))", r"lower(regexp_extract(x, r'^\s*(\S+)', 1))"
+#: Matches whose places are summed up in one go; an array that grows is copied at each step.
+_CHUNK = 128
+
+
 def _found(text: str, pattern: str, needs: str) -> str:
-    """SQL for array<struct<m, before, after, start>>: all matches, the texts between them and where they start."""
+    """SQL for array<struct<m, l, r, start>>: all matches, the words before and after them, as far as the next match, and where they start."""
     matches, between = f"regexp_extract_all({text}, r'{pattern}', 0)", f"split({text}, r'{pattern}', -1)"
-    one = "struct<m: string, before: string, after: string, start: int>"
-    placed = (
-        f"aggregate(zip_with({matches}, {between}, (m, b) -> named_struct('m', m, 'before', b)), "
-        f"named_struct('at', 0, 'last', cast(null as {one}), 'out', cast(array() as array<{one}>)), "
-        "(a, x) -> named_struct('at', a.at + length(x.before) + coalesce(length(x.m), 0), "
-        "'last', if(x.m is null, null, named_struct('m', x.m, 'before', right(x.before, 64), 'after', '', 'start', a.at + length(x.before))), "
-        "'out', if(a.last is null, a.out, concat(a.out, array(named_struct('m', a.last.m, 'before', a.last.before, 'after', left(x.before, 64), 'start', a.last.start))))), a -> a.out)"
+    words = f"transform({between}, x -> named_struct('n', length(x), 'l', {_LAST}, 'r', {_FIRST}))"
+    rows = f"filter(zip_with(zip_with({matches}, {words}, (m, w) -> named_struct('m', m, 'n', w.n, 'l', w.l)), slice({words}, 2, 2147483647), (a, w) -> named_struct('m', a.m, 'n', a.n, 'l', a.l, 'r', w.r)), a -> a.m is not null)"
+    one = "struct<m: string, l: string, r: string, start: int>"
+    part = (
+        f"aggregate(part, named_struct('at', 0, 'out', cast(array() as array<{one}>)), (a, x) -> named_struct('at', a.at + x.n + length(x.m), "
+        "'out', concat(a.out, array(named_struct('m', x.m, 'l', x.l, 'r', x.r, 'start', a.at + x.n)))))"
+    )
+    parts = f"transform(transform(sequence(0, int((size(rows) - 1) / {_CHUNK})), g -> slice(rows, g * {_CHUNK} + 1, {_CHUNK})), part -> {part})"
+    whole = (
+        f"flatten(aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<array<{one}>>)), (a, p) -> named_struct('at', a.at + p.at, 'out', "
+        "concat(a.out, array(transform(p.out, x -> named_struct('m', x.m, 'l', x.l, 'r', x.r, 'start', x.start + a.at))))), a -> a.out))"
     )
-    return f"case when {needs.format(t=text)} then {placed} else array() end"
+    return f"case when {needs.format(t=text)} then flatten(transform(array({rows}), rows -> if(size(rows) = 0, cast(array() as array<{one}>), {whole}))) else cast(array() as array<{one}>) end"
 
 
-_LEFT, _RIGHT = r"lower(regexp_extract(x.before, r'(\S{1,32})\s*$', 1))", r"lower(regexp_extract(x.after, r'^\s*(\S{1,32})', 1))"
 #: The patterns of a context: its left word, its right word, and both; a missing word is no pattern.
-_CONTEXTS = f"if({_LEFT} = '', null, xxhash64('before', {_LEFT})), if({_RIGHT} = '', null, xxhash64('after', {_RIGHT})), if({_LEFT} = '' or {_RIGHT} = '', null, xxhash64('both', {_LEFT}, {_RIGHT}))"
+_CONTEXTS = "if(x.l = '', null, xxhash64('before', x.l)), if(x.r = '', null, xxhash64('after', x.r)), if(x.l = '' or x.r = '', null, xxhash64('both', x.l, x.r))"
 
 
 def _base(text: str) -> Column:
@@ -78,7 +87,7 @@ def _tokens(text: str, least_digits: int) -> Column:
     return F.expr(
         f"transform(filter({found}, x -> length({_DIGITS.format(m='x.m')}) >= {least_digits}), x -> "
         f"named_struct('start', x.start, 'end', x.start + length(x.m), 'instance', xxhash64(x.m), "
-        f"'patterns', array_compact(array(xxhash64('shape', {shape}), xxhash64('left', {_LEFT}, {shape}), {_CONTEXTS}))))"
+        f"'patterns', array_compact(array(xxhash64('shape', {shape}), xxhash64('left', x.l, {shape}), {_CONTEXTS}))))"
     )
 
 
@@ -89,36 +98,38 @@ def bootstrapped(tokens: DataFrame, rounds: int = 3, sure: float = 0.9, believed
     their number plus one; an instance's score is one less the product of its sure patterns' doubts, a seed's is one.
     """
     edges = tokens.select("instance", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    edges = cut(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    edges = stored(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     scores = None
     for _ in range(rounds):
         scored = edges.withColumn("score", F.lit(0.0)) if scores is None else edges.join(scores, "instance", "left")
         patterns = scored.groupBy("pattern").agg((F.sum(score) / (F.count("*") + 1)).alias("confidence"), F.count_if("seed").alias("seeds"))
-        patterns = cut(patterns.filter((F.col("confidence") >= sure) & (F.col("seeds") >= support)).select("pattern", "confidence"))
+        patterns = stored(patterns.filter((F.col("confidence") >= sure) & (F.col("seeds") >= support)).select("pattern", "confidence"))
         doubt = F.product(1 - F.col("confidence"))
-        scores = cut(edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("instance").agg((1 - doubt).alias("score")))
+        scores = stored(edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("instance").agg((1 - doubt).alias("score")))
     return scores.filter(F.col("score") >= believed).select("instance")
 
 
 def private_spans(df: DataFrame, rounds: int = 3, least_digits: int = 6) -> DataFrame:
     """One row for each row of (doc_id, text): base spans and all spans, as array<struct<start, k, end>> and sorted.
 
-    k is 0 to 3 for KINDS and 4 for id. Places are code points, the end exclusive. Null and empty texts have none;
-    repeated rows give repeated rows; other columns than text are passed on.
+    k is 0 to 3 for KINDS and 4 for id. Places are code points, the end exclusive. Null and empty texts have none, an
+    empty table gives none; texts, words and tokens of any length are read whole; repeated rows give repeated rows.
+    Other columns than text are passed on, but for ``base`` and ``spans``, which are replaced.
     """
-    text = df.withColumn("__text", F.coalesce("text", F.lit("")))
-    known = text.select(*df.columns, _base("__text").alias("seeds"), _tokens("__text", least_digits).alias("tokens")).drop("text")
+    given = [c for c in df.columns if c not in ("text", "base", "spans")]
+    text = df.select(F.struct(*[F.col(f"`{c}`") for c in given], F.lit(0).alias("__")).alias("given"), F.coalesce("text", F.lit("")).alias("__text"))
+    known = text.select("given", _base("__text").alias("seeds"), _tokens("__text", least_digits).alias("tokens"))
     known = known.withColumn("base", F.expr("transform(seeds, x -> named_struct('start', x.start, 'k', x.k, 'end', x.end))"))
-    known = stored(known.select(*[c for c in df.columns if c != "text"], "base", "seeds", "tokens").withColumn("row", F.monotonically_increasing_id()))
+    known = stored(known.withColumn("row", F.monotonically_increasing_id()))
     tokens = known.select("row", "base", F.explode("tokens").alias("x")).select(
         "row", "x.start", "x.end", "x.instance", "x.patterns", F.expr("exists(base, b -> b.start < x.end and b.end > x.start)").alias("seed")
     )
     seeds = known.select("row", F.explode("seeds").alias("x")).select("row", "x.start", "x.end", "x.instance", "x.patterns", F.lit(True).alias("seed"))
     found = bootstrapped(tokens.union(seeds), rounds)
     spans = tokens.filter(~F.col("seed")).join(found, "instance").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end")).alias("found"))
-    whole = known.join(spans, "row", "left")
-    return whole.withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))")).drop("row", "seeds", "tokens", "found")
+    whole = known.join(spans, "row", "left").withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))"))
+    return whole.select(*[F.col("given")[c].alias(c) for c in given], "base", "spans")
 
 
 def _listed(spans: str, kinds: tuple[str, ...]) -> str:

@@ -16,10 +16,9 @@ def usable(column: str = "embedding") -> str:
     )
 
 
-def dimension(df: DataFrame, column: str = "embedding") -> int:
-    """The commonest length of usable vectors (the smaller of ties), 0 without any. Others can't be compared with them."""
-    sizes = df.filter(usable(column)).groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return sizes[0]["d"] if sizes else 0
+def lengths(df: DataFrame, column: str = "embedding") -> list[int]:
+    """The different lengths of usable vectors. Only vectors of one length can be compared; each length is a search of its own."""
+    return sorted(r["d"] for r in df.filter(usable(column)).select(F.size(column).alias("d")).distinct().collect())
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) -> np.ndarray:

@@ -113,6 +113,10 @@ def test_vector_duplicates_equal_brute_force(spark):
         label = new
     want = {v: (0, v, True) for v, _ in rows}
     want |= {rows[i][0]: (int(linked[k].sum()), int(label[k]), bool(label[k] == rows[i][0])) for k, i in enumerate(ok)}
+    for i, other in ((900, [1.0, 2.0]), (901, [1.0, 2.1]), (902, [-1.0, 2.0])):  # others of another length link among themselves
+        rows.append((i, other))
+    short = next(v for v, x in rows if x == [1.0, 2.0])
+    want |= {short: (2, short, True), 900: (2, short, False), 901: (2, short, False), 902: (0, 902, True)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit(2)).withColumn("label", F.lit(1))
     for chunk in (32768, 40):
         assert {r.vec_id: tuple(r)[1:] for r in vector_dups.vector_duplicates(df, chunk=chunk).collect()} == want
@@ -136,10 +140,10 @@ def test_nearest_recall_and_exact_scores(spark, sf):
         assert all(abs(score[ids == v][0] - s) < 1e-12 for _, v, s in found)
         hits += len(set(best) & {f[1] for f in found})
     assert hits >= 0.9 * 20 * len(got)
-    odd = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.5, 1.0]), (20, [1.0, 1.0]), (7, [2.0])]
+    odd = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.5, 1.0]), (20, [1.0, 1.0]), (7, [2.0]), (8, [-1.0]), (9, [1.0])]
     odd = spark.createDataFrame(odd, "vec_id long, embedding array<float>").withColumn("rank", F.lit(3))
     out = nearest.nearest(odd, odd.filter("vec_id in (1, 7, 3)")).orderBy("rank").collect()
-    assert [(r.query_id, r.vec_id) for r in out] == [(1, 2), (1, 20), (1, 6)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in out) == [(1, 1, 2), (1, 2, 20), (1, 3, 6), (7, 1, 9), (7, 2, 8)]
     assert nearest.nearest(odd.limit(0), odd.limit(0)).count() == 0
 
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import html
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -27,7 +29,7 @@ def test_pieces_equal_the_library(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     random.seed(4)
     parts = ["the", "ing", " ", "  ", "     ", "\n", "é", "☃", "日本", "def ", "==", "▁", "🙂", "0", "ﬁ", "́", "\x00", "    ", "<s>", ".", "tion"]
-    texts = ODD + ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(2000)]
+    texts = ODD + [" " * 300_000, "a" + " " * 100_001 + "b"] + [" " * n for n in range(1, 80)] + ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(2000)]
     codec = pieces.PieceCodec(pieces.default_model())
     for t in texts:
         ids = model.encode(t or "")
@@ -43,30 +45,36 @@ def test_pieces_equal_the_library(spark):
     assert pieces.piece_digests(df.limit(0)).count() == 0
 
 
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software")"""
+
+
 def test_licenses_equal_brute_force(spark):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-    templates = [(label, set(word.findall(t.translate(low)))) for label, t in licenses.TEMPLATES]
+    templates = [(label, word.findall(t.translate(low))) for label, t in licenses.TEMPLATES]
     random.seed(5)
-    parts = ["cc", "CC-BY", "by", "General Public", "license", "All rights", "reserved.", "\n", "the", "Released under the MIT License", "Licensed under the Apache License, Version 2.0", "é"]
-    texts = ODD + ["cc", "by"] + [" ".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(300)]
-    for r in licenses.license_scan(docs_of(spark, texts)).collect():
-        text = (texts[r.doc_id] or "").translate(low)
+    parts = ["cc", "CC-BY", "by", "General Public", "license", "All rights", "reserved.", "\n", "the", "Released under the MIT License", "Licensed under the Apache License, Version 2.0", "é", "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"]
+    texts = ODD + ["cc", "by", WRAPPED, "all the sorts of words stand here, far from rights, and reserved comes last", "all " * 3000 + "rights reserved " * 3000]
+    texts += [" ".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(300)]
+    found = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        text = (t or "").translate(low)
         words, places, base = word.findall(text), [], set()
         for phrase, label in licenses.PHRASES.items():
             p = phrase.split()
-            found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
-            places += found
-            base |= {label} if found else set()
+            at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+            places += at
+            base |= {label} if at else set()
         labels, score = set(base), 1.0 if base else 0.0
-        for line in text.split("\n"):
-            have = set(word.findall(line))
-            for label, t in templates:
-                share = len(have & t) / len(t)
-                if share >= 0.9 - 1e-9:
-                    labels.add(label)
-                    score = max(score, share)
-        assert tuple(r)[1:] == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+        for label, t in templates:
+            size, wide = len(set(t)), math.ceil(len(t) / 0.9 - 1e-9)
+            share = max((len(set(words[k : k + wide]) & set(t)) for k in range(len(words))), default=0) / size if len(words) < 7000 or label == "reserved" else 0
+            if share >= 0.9 - 1e-9:
+                labels.add(label)
+                score = max(score, share)
+        assert tuple(found[i])[1:] == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+    assert found[len(ODD) + 2].labels == "mit" and found[len(ODD) + 3].labels == ""
     assert licenses.license_scan(docs_of(spark, ODD).limit(0)).count() == 0
 
 
@@ -98,6 +106,12 @@ def test_private_data_equals_the_expressions(spark):
         assert [tuple(x) for x in got[i].base] == base_of(t or "")
         assert {tuple(x) for x in got[i].base} <= {tuple(x) for x in got[i].spans}
     assert private.private_spans(docs_of(spark, texts).limit(0)).count() == 0
+    clash = docs_of(spark, ["mail a@b.co now", "mail a@b.co now"]).selectExpr("text", "doc_id as row", "lang as tokens", "source as found", "1 as base", "2 as spans", "3 as seeds", "4 as given")
+    out = private.private_spans(clash).collect()
+    assert [tuple(r.base[0]) for r in out] == [(5, 0, 11)] * 2 and sorted(r.row for r in out) == [0, 1] and out[0].given == 4
+    began = time.time()
+    many = " ".join(f"{k:010d}" for k in range(20000))
+    assert len(private.private_spans(docs_of(spark, [many])).select("base").first().base) == len(base_of(many)) and time.time() - began < 60
 
 
 def test_contexts_discover_unseen_identifiers_and_masking_hides_them(spark):
@@ -189,8 +203,6 @@ def test_main_slot_of_pages_without_articles(spark):
 
 
 def test_wide_pages_take_time_in_proportion():
-    import time
-
     def table(n, tag):
         return page("<table>" + "".join(f"<tr><td>{tag}{i}</td><td>b</td><td>c</td></tr>" for i in range(n)) + "</table>")
 
