@@ -93,7 +93,7 @@ def labelled_sample(df: DataFrame, each: int, most: int, longest: int = 1 << 16)
     """
     rows = df.filter("lang is not null and text is not null and doc_id is not null").withColumn("row", F.xxhash64("doc_id", "lang", "text"))
     keys = stored(rows.select("lang", "row").distinct())
-    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(keys.groupBy("lang").agg(F.count("*").alias("n")))  # of known size before the join, so that a small one is broadcast and keys stay where they are
     thinned = keys.join(counts, "lang").filter(F.expr(f"pmod(row, 1000000) < 1000000D * (1.5D * {each} + 100) / n"))
     order = Window.partitionBy("lang").orderBy(F.expr("pmod(row, 1000000)"), "row")
     placed = stored(thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("row", "lang", "place"))

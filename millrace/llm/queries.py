@@ -20,9 +20,28 @@ _QUERIES = {
 }
 
 
+#: Vectors with a norm: null, zero and non-finite ones take no part, nor do vectors of different lengths meet.
+_VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0)"
+_DOT = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), lambda s, c: s + c)"
+
+_NEAREST = f"""WITH {_VECTORS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_DOT} AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20"""
+
+_REACHED = "r AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other), c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"
+
+_VECTOR_LINKS = f"""WITH RECURSIVE {_VECTORS}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9), {_REACHED},
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id"""
+
+_SHINGLE_LINKS = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, any_value(x.n) AS m, any_value(y.n) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (m + n - shared)), {_REACHED} SELECT s.doc_id AS doc_id, len(s) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept FROM s LEFT JOIN c ON c.node = s.doc_id"""
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; models, tokenizers, packing, discovered spans and page trees have tests instead."""
+    return {"op3_nearest_neighbours": _NEAREST, "op4_embedding_near_dups": _VECTOR_LINKS, "op6_minhash_near_dups": _SHINGLE_LINKS}
