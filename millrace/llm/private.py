@@ -49,7 +49,7 @@ def _found(text: str, pattern: str, needs: str) -> str:
     """SQL for array<struct<m, l, r, start>>: all matches, the words before and after them, as far as the next match, and where they start."""
     matches, between = f"regexp_extract_all({text}, r'{pattern}', 0)", f"split({text}, r'{pattern}', -1)"
     words = f"transform({between}, x -> named_struct('n', length(x), 'l', {_LAST}, 'r', {_FIRST}))"
-    rows = f"filter(zip_with(zip_with({matches}, {words}, (m, w) -> named_struct('m', m, 'n', w.n, 'l', w.l)), slice({words}, 2, 2147483647), (a, w) -> named_struct('m', a.m, 'n', a.n, 'l', a.l, 'r', w.r)), a -> a.m is not null)"
+    rows = f"filter(zip_with(zip_with({matches}, {words}, (m, w) -> named_struct('m', m, 'n', w.n, 'l', w.l)), slice({words}, 2, 1000000000), (a, w) -> named_struct('m', a.m, 'n', a.n, 'l', a.l, 'r', w.r)), a -> a.m is not null)"
     one = "struct<m: string, l: string, r: string, start: int>"
     part = (
         f"aggregate(part, named_struct('at', 0, 'out', cast(array() as array<{one}>)), (a, x) -> named_struct('at', a.at + x.n + length(x.m), "
