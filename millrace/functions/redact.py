@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,12 @@ def redact_known_tokens(text: Column) -> Column:
     return text
 
 
-def known_token_counts(column: str) -> list[Column]:
-    """Matches of each format in the text as it is before any replacement."""
-    return [F.regexp_count(column, F.lit(pattern)).alias(kind) for kind, pattern in KNOWN_TOKENS]
+def known_token_counts(df: DataFrame, column: str) -> DataFrame:
+    """Adds the number of matches of each format, each counted after the formats before it were replaced."""
+    rows = df.withColumn("__left", F.col(column))
+    for kind, pattern in KNOWN_TOKENS:
+        rows = rows.withColumn(kind, F.regexp_count("__left", F.lit(pattern))).withColumn("__left", F.regexp_replace("__left", pattern, f"[REDACTED:{kind}]"))
+    return rows.drop("__left")
 
 
 def redact_arguments(text: Column) -> Column:
@@ -80,7 +84,7 @@ def redact_arguments(text: Column) -> Column:
     return text
 
 
-def entropy(token: str) -> Column:
+def entropy(token: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     chars = F.split(token, "")
     n = F.size(chars).cast("double")
@@ -88,10 +92,10 @@ def entropy(token: str) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
 
 
-def is_secret_token(token: str, threshold: float = 4.5, least: int = 20) -> Column:
-    """Long tokens of high entropy that are neither a commit hash nor a UUID."""
-    ordinary = F.col(token).rlike("^[0-9a-f]{40}$") | F.col(token).rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
-    return (F.octet_length(token) >= least) & ~ordinary & (entropy(token) >= threshold)
+def is_secret_token(token: Column, threshold: float = 4.5, least: int = 20) -> Column:
+    """Long tokens of high entropy that are neither a commit hash nor a UUID nor a mark of redaction."""
+    ordinary = token.rlike("^[0-9a-f]{40}$") | token.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$") | token.contains("REDACTED")
+    return F.when(F.octet_length(token) < least, False).when(ordinary, False).otherwise(entropy(token) >= threshold)
 
 
 TOKEN = r"[A-Za-z0-9+/=_\-]{8,}"
@@ -100,23 +104,24 @@ TOKEN = r"[A-Za-z0-9+/=_\-]{8,}"
 def secret_tokens(df: DataFrame, column: str, key: str, threshold: float = 4.5) -> DataFrame:
     """(key, token) of the high-entropy tokens; each different token is measured once."""
     found = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(TOKEN), 0))).alias("token")).filter(F.octet_length("token") >= 20)
-    secret = found.select("token").distinct().filter(is_secret_token("token", threshold))
+    secret = found.select("token").distinct().filter(is_secret_token(F.col("token"), threshold))
     return found.join(secret, "token").select(key, "token")
 
 
-def redact_entropy(df: DataFrame, column: str, key: str, threshold: float = 4.5) -> DataFrame:
-    """Replaces the high-entropy tokens of each text, longest first so that none is a part of another."""
-    tokens = secret_tokens(df, column, key, threshold).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.length("token").alias("n"), "token")), asc=False).alias("__found"))
-    rewritten = F.aggregate("__found", F.col(column), lambda s, x: F.replace(s, x["token"], F.lit("[REDACTED:high_entropy]")))
-    return df.join(tokens, key, "left").withColumn(column, F.when(F.col("__found").isNull(), F.col(column)).otherwise(rewritten)).drop("__found")
+def redact_entropy(text: Column, threshold: float = 4.5) -> Column:
+    """The text with each high-entropy token replaced where it stands."""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda x: F.when(is_secret_token(x, threshold), "[REDACTED:high_entropy]").otherwise(x))
+    rewritten = F.array_join(F.zip_with(F.split(text, TOKEN, -1), tokens, lambda before, x: F.concat(before, F.coalesce(x, F.lit("")))), "")
+    return F.when(text.rlike(r"[A-Za-z0-9+/=_\-]{20}"), rewritten).otherwise(text)
 
 
 def redact_denylist(column: str, programs: Sequence[str] = tuple(RISKY)) -> Column:
-    words = F.split(F.trim(column), r"\s+")
+    """Commands of a listed program that hold one of its risky arguments anywhere, as a part of a word too."""
+    first = F.split(F.trim(column), r"\s+")[0]
     out = F.col(column)
     for program in programs:
-        risky = F.arrays_overlap(F.slice(words, 2, 10_000), F.array(*[F.lit(w) for w in RISKY[program]]))
-        out = F.when((words[0] == program) & risky, F.lit(f"{program} [REDACTED:denylisted_command]")).otherwise(out)
+        risky = functools.reduce(Column.__or__, [F.col(column).contains(w) for w in RISKY[program]])
+        out = F.when((first == program) & risky, F.lit(f"{program} [REDACTED:denylisted_command]")).otherwise(out)
     return out
 
 
@@ -133,11 +138,10 @@ def redact_damage_cap(column: str, command: bool, ratio: float = 0.5) -> tuple[C
     return F.when(dropped, short).otherwise(F.col(column)), dropped
 
 
-def redact_pipeline(df: DataFrame, column: str, key: str, command: bool = False) -> DataFrame:
-    """All layers in order: the text, whether it may be embedded, and whether it is dropped."""
+def redact_pipeline(df: DataFrame, column: str, command: bool = False) -> DataFrame:
+    """All layers in order: the text, whether it may be embedded, and whether it is dropped. It runs on streams too."""
     rows = df.withColumn("embedding_safe", ~F.greatest(*[F.col(column).rlike(p) for _, p in KNOWN_TOKENS]))
-    rows = rows.withColumn(column, redact_arguments(redact_known_tokens(F.col(column))))
-    rows = redact_entropy(rows, column, key)
+    rows = rows.withColumn(column, redact_arguments(redact_known_tokens(F.col(column)))).withColumn(column, redact_entropy(F.col(column)))
     rows = rows.withColumn(column, redact_denylist(column)) if command else rows
     text, dropped = redact_damage_cap(column, command)
     return rows.withColumn("dropped", dropped).withColumn(column, text)
@@ -170,10 +174,10 @@ def moderate(df: DataFrame, column: str) -> DataFrame:
 
 
 def mask_secret_keys(key: str, value: str, reveal: bool = True) -> Column:
-    """Values of keys with secret names, and long values, are hidden."""
+    """Values of keys with secret names, and long values, are hidden; null stays null."""
     secret = F.lit(False)
     for name in SECRET_NAMES:
         secret = secret | F.lower(key).contains(name)
     low = F.lower(F.trim(value))
     safe = low.isin("true", "false", "1", "0") | low.startswith("http://localhost") | low.startswith("http://127.0.0.1") | (F.octet_length(value) < 8)
-    return F.when(~secret & safe, F.col(value)).otherwise(F.lit("***HIDDEN***")) if reveal else F.lit(None).cast("string")
+    return F.when(F.col(value).isNull() | ~secret & safe, F.col(value)).otherwise(F.lit("***HIDDEN***")) if reveal else F.lit(None).cast("string")

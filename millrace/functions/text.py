@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ANSI = "[\\x{1B}\\x{9B}][\\[\\]()#;?]*(?:(?:(?:[a-zA-Z\\d]*(?:;[a-zA-Z\\d]*)*)?\\x{07})|(?:(?:\\d{1,4}(?:;\\d{0,4})*)?[\\dA-PRZcf-ntqry=><~]))"
+# Fixed value: the form of terminal escape sequences.
+_ANSI = r"[\u001B\u009B][\[\]()#;?]*(?:(?:(?:[a-zA-Z\d]*(?:;[a-zA-Z\d]*)*)?\u0007)|(?:(?:\d{1,4}(?:;\d{0,4})*)?[\dA-PRZcf-ntqry=><~]))"
 
 
 def strip_ansi(text: Column) -> Column:
@@ -51,15 +52,20 @@ def strip_code_fences(column: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(column), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; parsing alone stops after the first value."""
+    return F.try_parse_json(c).isNotNull() & (F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))), F.lit(0)) == 1)
+
+
 def json_object_in_text(column: str) -> Column:
     """The outermost object in a text as JSON text, null if it doesn't parse."""
     found = F.regexp_extract(column, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+    return F.when(is_json(found), found)
 
 
 def json_array_in_text(column: str) -> Column:
     found = F.regexp_extract(column, r"(?s)\[.*\]", 0)
-    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+    return F.when(is_json(found), found)
 
 
 def embed_text(kind: str) -> Column:
@@ -89,7 +95,7 @@ def normalize_url(url: str) -> Column:
 def url_to_uri(url: str, heading: str | None = None) -> Column:
     path = F.filter(F.split(F.regexp_extract(url, _URL, 3), "/"), lambda p: p != "")
     parts = F.transform(path, lambda p: F.url_encode(F.lower(p)))
-    base = F.concat_ws("/", F.concat(F.lit("contextfs://scraped/"), domain_slug(F.regexp_extract(url, _URL, 2))), parts)
+    base = F.concat_ws("/", F.concat(F.lit("node://scraped/"), domain_slug(F.regexp_extract(url, _URL, 2))), parts)
     if heading is None:
         return base
     slug = F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -15,19 +15,19 @@ from millrace.operators.similarity import cosine
 
 def sentence_chunks(text: str, max_bytes: int) -> list[str]:
     """Pieces of at most max_bytes of UTF-8: each ends after the last . ! or ? that fits, else before the last space, else hard."""
-    rest, out = text.strip(), []
-    while rest:
-        if len(rest.encode()) <= max_bytes:
-            out += [rest.strip()] if rest.strip() else []
-            break
-        window = rest.encode()[:max_bytes].decode("utf-8", "ignore") or rest[0]
-        stop = max(window.rfind(c) for c in ".!?") + 1
-        at = stop or window.rfind(" ")
-        at = at if at > 0 else len(window) if at < 0 else 1
-        piece = rest[:at].strip()
-        out += [piece] if piece else []
-        rest = rest[at:]
-    return out
+    data, out, at = text.strip().encode(), [], 0
+    while at < len(data):
+        end = at + max_bytes
+        if end < len(data):
+            while end > at and data[end] & 0xC0 == 0x80:  # not inside a character
+                end -= 1
+            if end == at:  # a character that is longer than a piece
+                end = next((k for k in range(at + 1, len(data)) if data[k] & 0xC0 != 0x80), len(data))
+            stop = max(data.rfind(c, at, end) for c in (b".", b"!", b"?")) + 1 or data.rfind(b" ", at, end)
+            end = stop if stop > at else end if stop < 0 else at + 1
+        out.append(data[at:end].decode().strip())
+        at = end
+    return [x for x in out if x]
 
 
 def chunk_sentences(docs: DataFrame, max_bytes: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -77,9 +77,12 @@ def rag_chunks(docs: DataFrame, prompt: str, size: int = 4000, k: int = 5, model
 
 
 def register_tables(spark: SparkSession) -> None:
-    """SQL table functions: LATERAL chunk_text(text, max_bytes) and LATERAL page_sections(html)."""
+    """SQL table functions: LATERAL chunk_text(text, max_bytes), LATERAL page_sections(html) and LATERAL source_symbols(source)."""
+    import re
+
     from pyspark.sql.functions import udtf
 
+    from millrace.operators.code import DECLARATIONS
     from millrace.operators.web import _Sections
 
     class ChunkText:
@@ -94,6 +97,13 @@ def register_tables(spark: SparkSession) -> None:
             for i, (kind, _, text) in enumerate(parser.out):
                 yield i, kind, text
 
+    class SourceSymbols:
+        def eval(self, source: str):
+            for kind, form in DECLARATIONS:
+                for name in dict.fromkeys(re.findall(form, source or "")):
+                    yield f"{kind}:{name}", kind, name
+
+    spark.udtf.register("source_symbols", udtf(SourceSymbols, returnType="id string, kind string, name string"))
     spark.udtf.register("chunk_text", udtf(ChunkText, returnType="idx int, chunk string"))
     spark.udtf.register("page_sections", udtf(PageSections, returnType="pos int, kind string, text string"))
 

@@ -12,6 +12,7 @@ DECLARATIONS = [
     ("fn", r"(?m)^func\s+(?:\(\w+\s+\*?\w+\)\s*)?([A-Za-z_]\w*)\s*\("),
     ("fn", r"(?m)^\s*def\s+([A-Za-z_]\w*)\s*\("),
 ]
+# The form of a method, words that look like one, and the form of a call.
 METHOD = r"(?m)^\s*(?:public|private|protected)?\s*([A-Za-z_]\w*)\s*\("
 NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return")
 CALL = r"([A-Za-z_]\w*)\s*\("

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import is_json
+
 
 def judged(results: DataFrame, expected: DataFrame) -> DataFrame:
     """(case_id, id, rank) with is_rel: whether (case_id, id) is expected."""
@@ -39,6 +42,21 @@ def summary(per_case: DataFrame, min_mrr: float, min_recall: float) -> DataFrame
     return means.withColumn("passed", (F.col("mrr") >= min_mrr) & (F.col("recall") >= min_recall))
 
 
+def evaluate(cases: DataFrame, expected: DataFrame, search: Callable[[DataFrame, int], DataFrame], k: int) -> DataFrame:
+    """Metrics of any search function, from cases and a depth to (case_id, id, rank)."""
+    return metrics(search(cases, k).filter(F.col("rank") <= k), expected, k)
+
+
+def decide(candidates: DataFrame, decider: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The decisions that a function gives for batches of candidates; what asks a model is as good as a rule."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield decider(part)
+
+    return candidates.mapInPandas(run, schema)
+
+
 def _plain(c: str) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "`", "")))
 
@@ -56,7 +74,7 @@ def check_regex(expected: str, actual: str) -> Column:
 
 
 def check_valid_json(actual: str) -> Column:
-    return F.coalesce(F.try_parse_json(actual).isNotNull() & (F.trim(actual) != ""), F.lit(False))
+    return F.coalesce(is_json(F.col(actual)), F.lit(False))
 
 
 def check_json_path(path: str, expected: str, actual: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.redact import mask_secret_keys
+
 # Beginnings of commands that need care.
 DANGEROUS = ("rm -rf", "rm -r ", "rm ", "mv ", "cp ", "wget", "curl", "chmod", "chown", "sudo", "docker run", "docker exec", "docker rm", "docker rmi", "docker stop", "kill", "pkill")
 
@@ -20,7 +22,11 @@ def flag_dangerous(command: Column, blocked: Sequence[str] = ()) -> Column:
 
 
 def stuck_runs(calls: DataFrame, window: int = 20, nudge: int = 4, stop: int = 8, alternate: int = 6) -> DataFrame:
-    """Per actor over its last calls: length of the closing run of one tool, of the closing alternation, and the verdict."""
+    """Per actor over its last calls: length of the closing run of one call, of the closing alternation, and the verdict.
+
+    Calls are the same if their tools are, and the hashes of their arguments where rows have a column args_hash.
+    """
+    calls = calls.withColumn("tool", F.concat_ws(" ", "tool", "args_hash")) if "args_hash" in calls.columns else calls
     last = F.row_number().over(Window.partitionBy("actor").orderBy(F.desc("seq")))
     rows = calls.withColumn("back", last).filter(F.col("back") <= window)
     order = Window.partitionBy("actor").orderBy("back")
@@ -45,10 +51,11 @@ def incremental_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def kv_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key, value) sets to added, removed and changed keys, with values of secret names masked."""
+    """(key, value) sets to added, removed and changed keys, with values of secret names and long values masked."""
     both = a.select("key", F.col("value").alias("before")).join(b.select("key", F.col("value").alias("after")), "key", "full_outer")
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("unchanged")
-    return both.withColumn("status", status)
+    shown = [mask_secret_keys("key", c).alias(c) for c in ("before", "after")]
+    return both.withColumn("status", status).select("key", *shown, "status")
 
 
 def resolve_project(records: DataFrame, markers: DataFrame) -> DataFrame:

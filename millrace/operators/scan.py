@@ -142,3 +142,26 @@ def transcripts(turns: DataFrame, least: int = 20) -> DataFrame:
     whole = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     lines = F.transform("t", lambda x: F.concat(F.lit("["), x["role"], F.lit("]: "), x["text"]))
     return whole.filter(F.col("n") >= least).select("conv_id", "n", F.array_join(lines, "\n").alias("transcript"))
+
+
+def markdown_summary(docs: DataFrame, text: str = "text", most: int = 200) -> DataFrame:
+    """Adds summary: the first heading of level 1 and the first paragraph below it, without front matter, images and HTML lines."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = docs.withColumn("__l", F.transform(F.split(text, "\n"), trimmed))
+    closed = F.array_position(F.slice("__l", 2, 1_000_000_000), "---").cast("int")
+    rows = rows.withColumn("__l", F.when((F.col("__l")[0] == "---") & (closed > 0), F.slice("__l", closed + 2, F.lit(1_000_000_000))).otherwise(F.col("__l")))
+    first = F.array_min(F.transform("__l", lambda x, i: F.when(x.startswith("# "), i)))
+    rows = rows.withColumn("__h", first).withColumn("__title", trimmed(F.substring(F.get("__l", F.col("__h")), 2, 1_000_000_000)))
+    below = F.when(F.col("__h").isNotNull(), F.slice("__l", F.col("__h") + 2, F.lit(1_000_000_000))).otherwise(F.array().cast("array<string>"))
+    start = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        done = s["done"] | x.startswith("#") | ((x == "") & (F.size(s["out"]) > 0))
+        skipped = (x == "") | x.startswith("![") | x.startswith("<")
+        return F.struct(done.alias("done"), F.when(done | skipped, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+
+    told = F.array_join(F.aggregate(below, start, step, lambda s: s["out"]), " ")
+    whole = F.concat_ws(": ", F.when(F.col("__title") != "", F.col("__title")), F.when(told != "", told))
+    rows = rows.withColumn("summary", F.when(whole == "", "Markdown document").otherwise(whole))
+    cut = F.when(F.length("summary") > most, F.concat(F.substring("summary", 1, most), F.lit("..."))).otherwise(F.col("summary"))
+    return rows.withColumn("summary", cut).drop("__l", "__h", "__title")

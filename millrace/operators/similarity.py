@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import cut
+from millrace.sources.shared import cut, stored
 
 # Synonyms of query terms.
 SYNONYMS = {
@@ -91,11 +91,20 @@ def pairs_cosine_ge(rows: DataFrame, threshold: float, block: int = 4096) -> Dat
 _PRIME, _START = np.uint64(1099511628211), np.uint64(14695981039346656037)
 
 
-def _fnv(word: bytes) -> int:
-    h = int(_START)
-    for b in word:
-        h = ((h ^ b) * int(_PRIME)) & 0xFFFFFFFFFFFFFFFF
-    return h
+def _fnv(words: list[str]) -> list[int]:
+    """FNV-1a of each word: one byte of all words at a time, the longest words first, so that those that go on stand together."""
+    raw = [w.encode() for w in words]
+    size = np.array([len(w) for w in raw])
+    by = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join([raw[k] for k in by]), np.uint8).astype(np.uint64)
+    start, size = np.concatenate([[0], np.cumsum(size[by])[:-1]]), size[by]
+    hashed = np.full(len(raw), _START)
+    for k in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k))  # words longer than k
+        hashed[:n] = (hashed[:n] ^ data[start[:n] + k]) * _PRIME
+    out = np.empty(len(raw), np.uint64)
+    out[by] = hashed
+    return out.tolist()
 
 
 def simhash64(df: DataFrame, text: str = "text", into: str = "simhash") -> DataFrame:
@@ -103,20 +112,15 @@ def simhash64(df: DataFrame, text: str = "text", into: str = "simhash") -> DataF
 
     @F.pandas_udf("long")
     def votes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[bytes, int] = {}
         for part in parts:
-            out = []
+            out, rows = [], []
             for x in part:
                 words = (x or "").split()
-                grams = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
-                if len(known) > 500_000:
-                    known.clear()
-                hashes = []
-                for g in grams:
-                    h = known.get(g)
-                    if h is None:
-                        h = known[g] = _fnv(g.encode())
-                    hashes.append(h)
+                rows.append([f"{a} {b}" for a, b in zip(words, words[1:])] or words)
+            every = list({g for row in rows for g in row})
+            known = dict(zip(every, _fnv(every)))
+            for row in rows:
+                hashes = [known[g] for g in row]
                 bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1) if hashes else np.zeros((0, 64), np.uint8)
                 majority = np.packbits((2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).astype(np.uint8)) if len(bits) else np.zeros(8, np.uint8)
                 out.append(majority.view(">u8").astype(np.uint64).view(np.int64)[0])
@@ -130,6 +134,7 @@ def near_hamming(df: DataFrame, key: str, column: str, max_bits: int = 3) -> Dat
 
     Equal fingerprints are one from the start; fingerprint 0 stands for no text and takes no part.
     """
+    df = stored(df.select(key, column))  # fingerprints are costly and read several times
     bands, width = max_bits + 1, 64 // (max_bits + 1)
     reps = df.filter(F.col(column) != 0).groupBy(column).agg(F.min(key).alias("rep"))
     rows = reps.select("rep", column, F.posexplode(F.array(*[F.expr(f"shiftrightunsigned({column}, {width * k}) & {(1 << width) - 1}L") for k in range(bands)])).alias("band", "value"))

@@ -121,3 +121,24 @@ def apply_mutations(rows: DataFrame, ops: DataFrame, key: str = "id") -> DataFra
     both = rows.join(last, key, "full_outer")
     keep = F.coalesce(F.col("x.op") != "delete", F.lit(True)) & (F.col("content").isNotNull() | F.coalesce(F.col("x.op") == "create", F.lit(False)))
     return both.filter(keep).select(key, F.coalesce(F.nullif(F.col("x.content"), F.lit("")), F.col("content")).alias("content"))
+
+
+def apply_dedup_decisions(memories: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Memories (id, content, created_at, ...) after decisions (memory_id, candidate_id, action, merged_content).
+
+    MERGE gives the newer one the merged text, unless that is blank, and removes the older one; CONTRADICTION removes
+    the older one. Of equal age the memory is the older one. Several texts for one row: the one of the largest pair of
+    ids; a removed row stays removed.
+    """
+    ages = memories.select(F.col("id").alias("memory_id"), F.col("created_at").alias("m_at"))
+    others = memories.select(F.col("id").alias("candidate_id"), F.col("created_at").alias("c_at"))
+    rows = decisions.join(ages, "memory_id").join(others, "candidate_id")
+    candidate_first = F.col("c_at") < F.col("m_at")
+    rows = rows.select(
+        "action", "merged_content", F.struct("memory_id", "candidate_id").alias("pair"), F.when(candidate_first, F.col("candidate_id")).otherwise(F.col("memory_id")).alias("older"),
+        F.when(candidate_first, F.col("memory_id")).otherwise(F.col("candidate_id")).alias("newer"),
+    )
+    merged = rows.filter("action = 'MERGE' and trim(coalesce(merged_content, '')) <> ''")
+    gone = merged.select(F.col("older").alias("id")).union(rows.filter("action = 'CONTRADICTION'").select("older")).distinct()
+    texts = merged.groupBy(F.col("newer").alias("id")).agg(F.max_by("merged_content", "pair").alias("__text"))
+    return memories.join(gone, "id", "left_anti").join(texts, "id", "left").withColumn("content", F.coalesce("__text", "content")).drop("__text")

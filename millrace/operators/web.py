@@ -154,7 +154,7 @@ def sync_payload(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """Node rows: address, abstract, headings as overview, sections as content."""
     ordered = lambda t: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))), t), lambda x: x["text"]), "\n")
     grouped = sections.groupBy("page_id").agg(ordered(lambda x: x["kind"] == "heading").alias("overview"), ordered(lambda x: x["kind"] != "link").alias("content"))
-    uri = F.concat(F.lit("contextfs://pages/"), F.base64(F.encode("url", "UTF-8")))
+    uri = F.concat(F.lit("node://pages/"), F.base64(F.encode("url", "UTF-8")))
     return pages.select("page_id", uri.alias("uri")).join(grouped, "page_id", "left").withColumn("abstract", F.substring("content", 1, 200))
 
 

@@ -31,7 +31,10 @@ def route_prompt(spark, sf):
     return ranking.route_prompts(docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt")), memories)
 
 
-@query("best_text_match")
+_WORDS = "list_distinct(list_filter(list_transform(string_split_regex(lower(content), '\\s+'), lambda x: regexp_replace(x, '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')), lambda x: x <> ''))"
+
+
+@query("best_text_match", with_views(f"WITH w AS (SELECT id, {_WORDS} AS x, ['the', 'and', 'of', 'to', 'in'] AS y FROM memories_v), s AS (SELECT id, round(CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) END, 6) AS score FROM w) SELECT id, score FROM s ORDER BY score DESC, id LIMIT 1"))
 def best_text_match(spark, sf):
     return similarity.best_text_match(view(spark, sf, "memories_v"), "the and of to in", 0.01)
 

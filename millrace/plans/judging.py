@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import evaluation, graph, similarity
+from millrace.operators import evaluation, graph, similarity, state
 from millrace.plans.registry import query
 from millrace.sources.views import table, view, with_views
 
@@ -83,7 +83,10 @@ def simhash64(spark, sf):
     return similarity.simhash64(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
-@query("near_dup_hamming")
+_NEAR = f"WITH f AS ({_SIM}), n AS (SELECT simhash, CAST('0x' || simhash AS UBIGINT) AS h, doc_id FROM f WHERE simhash <> '0000000000000000'), r AS (SELECT h, min(doc_id) AS rep FROM n GROUP BY h) SELECT x.rep AS a, y.rep AS b FROM r x JOIN r y ON x.rep < y.rep WHERE bit_count(CAST(CAST(xor(x.h, y.h) AS BIT) AS VARCHAR)::BIT) <= 3 UNION ALL SELECT rep, doc_id FROM n JOIN r ON n.h = r.h WHERE doc_id <> rep"
+
+
+@query("near_dup_hamming", _NEAR)
 def near_dup_hamming(spark, sf):
     return similarity.near_hamming(similarity.simhash64(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "simhash")
 
@@ -181,15 +184,15 @@ def node_depth(spark, sf):
     return graph.node_depth(view(spark, sf, "nodes_v"))
 
 
-@query("node_subtree", with_views("SELECT uri, name FROM nodes_v WHERE uri = 'contextfs://tpch/ASIA' OR starts_with(uri, 'contextfs://tpch/ASIA/')"))
+@query("node_subtree", with_views("SELECT uri, name FROM nodes_v WHERE uri = 'node://tpch/ASIA' OR starts_with(uri, 'node://tpch/ASIA/')"))
 def node_subtree(spark, sf):
-    return graph.subtree(view(spark, sf, "nodes_v"), "contextfs://tpch/ASIA").select("uri", "name")
+    return graph.subtree(view(spark, sf, "nodes_v"), "node://tpch/ASIA").select("uri", "name")
 
 
-@query("node_path", with_views("SELECT uri, name FROM nodes_v WHERE uri IN ('contextfs://tpch', 'contextfs://tpch/ASIA')"))
+@query("node_path", with_views("SELECT uri, name FROM nodes_v WHERE uri IN ('node://tpch', 'node://tpch/ASIA')"))
 def node_path(spark, sf):
     nodes = view(spark, sf, "nodes_v")
-    return graph.node_path(nodes, "contextfs://tpch/ASIA").select("uri", "name")
+    return graph.node_path(nodes, "node://tpch/ASIA").select("uri", "name")
 
 
 @query("tree_children", with_views("SELECT n.uri AS uri, count(c.uri) AS children FROM nodes_v n LEFT JOIN nodes_v c ON c.parent_uri = n.uri GROUP BY n.uri"))
@@ -270,15 +273,37 @@ def project_embed_text(spark, sf):
     return view(spark, sf, "skills_v").select("id", text.embed_text("skill").alias("t"))
 
 
-@query("answer_checks", "SELECT event_id, true AS exact, contains(lower(props), 'k') AS includes, true AS valid, regexp_matches(props, '[0-9]+') AS matched, json_extract_string(props, '$.k') = '5' AS at_path FROM events")
+@query("answer_checks", "SELECT event_id, event_id % 3 <> 0 AS exact, contains(lower(props), 'k') AS includes, event_id % 4 <> 0 AS valid, regexp_matches(props, '[0-9]+') AS matched, json_extract_string(props, '$.k') = '5' AS at_path FROM events")
 def answer_checks(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "props", F.concat(F.lit(" `"), F.upper("props"), F.lit("` ")).alias("loud"), F.lit("K").alias("part"), F.lit("[0-9]+").alias("form"), F.lit("5").alias("five"))
-    return rows.select("event_id", evaluation.check_exact("props", "loud").alias("exact"), evaluation.check_includes("part", "props").alias("includes"), evaluation.check_valid_json("props").alias("valid"), evaluation.check_regex("form", "props").alias("matched"), evaluation.check_json_path("$.k", "five", "props").alias("at_path"))
+    loud = F.concat(F.lit(" `"), F.upper("props"), F.when(F.col("event_id") % 3 == 0, "x").otherwise(""), F.lit("` "))
+    rows = table(spark, sf, "events").select("event_id", "props", F.concat("props", F.when(F.col("event_id") % 4 == 0, "}").otherwise("")).alias("maybe"), loud.alias("loud"), F.lit("K").alias("part"), F.lit("[0-9]+").alias("form"), F.lit("5").alias("five"))
+    return rows.select("event_id", evaluation.check_exact("props", "loud").alias("exact"), evaluation.check_includes("part", "props").alias("includes"), evaluation.check_valid_json("maybe").alias("valid"), evaluation.check_regex("form", "props").alias("matched"), evaluation.check_json_path("$.k", "five", "props").alias("at_path"))
 
 
-@query("check_json_schema", "SELECT event_id, true AS ok FROM events")
+@query("check_json_schema", "SELECT event_id, event_id % 3 <> 0 AS ok FROM events")
 def check_json_schema(spark, sf):
-    return table(spark, sf, "events").select("event_id", evaluation.check_json_schema("props", {"k": "int"}).alias("ok"))
+    answer = F.when(F.col("event_id") % 3 == 0, '{"other": 1}').otherwise(F.col("props"))
+    return table(spark, sf, "events").select("event_id", answer.alias("answer")).select("event_id", evaluation.check_json_schema("answer", {"k": "int"}).alias("ok"))
+
+
+@query("json_array_in_text", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '[' || props || ', ' || user_id || ']' END AS found FROM events")
+def json_array_in_text(spark, sf):
+    array = F.concat(F.lit("["), F.col("props"), F.lit(", "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 5 == 0, ", ]").otherwise("]"))
+    rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("Sure: "), array, F.lit(" done")).alias("t"))
+    return rows.select("event_id", text.json_array_in_text("t").alias("found"))
+
+
+_DECISIONS = "SELECT event_id AS memory_id, event_id + 1 AS candidate_id, CASE event_id % 3 WHEN 0 THEN 'MERGE' WHEN 1 THEN 'CONTRADICTION' ELSE 'KEEP' END AS action, CASE WHEN event_id % 24 = 0 THEN ' ' ELSE 'm' || event_id END AS merged_content FROM events WHERE event_id % 4 = 0"
+
+
+@query("apply_dedup_decisions", f"WITH d AS ({_DECISIONS}), p AS (SELECT d.*, CASE WHEN c.ts < m.ts THEN candidate_id ELSE memory_id END AS older, CASE WHEN c.ts < m.ts THEN memory_id ELSE candidate_id END AS newer FROM d JOIN events m ON m.event_id = memory_id JOIN events c ON c.event_id = candidate_id), g AS (SELECT * FROM p WHERE action = 'MERGE' AND trim(merged_content) <> '') SELECT event_id AS id, coalesce(g.merged_content, props) AS content FROM events LEFT JOIN g ON event_id = g.newer WHERE event_id NOT IN (SELECT older FROM g UNION ALL SELECT older FROM p WHERE action = 'CONTRADICTION')")
+def apply_dedup_decisions(spark, sf):
+    events = table(spark, sf, "events")
+    n = F.col("event_id")
+    action = F.when(n % 3 == 0, "MERGE").when(n % 3 == 1, "CONTRADICTION").otherwise("KEEP")
+    decisions = events.filter("event_id % 4 = 0").select(n.alias("memory_id"), (n + 1).alias("candidate_id"), action.alias("action"), F.when(n % 24 == 0, " ").otherwise(F.concat(F.lit("m"), n.cast("string"))).alias("merged_content"))
+    memories = events.select(n.alias("id"), F.col("props").alias("content"), F.col("ts").alias("created_at"))
+    return state.apply_dedup_decisions(memories, decisions).select("id", "content")
 
 
 @query("llm_eval_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(sum(user_id * 0.002 / 1000), 6) AS cost, CAST(sum(user_id) AS BIGINT) AS tokens FROM events")

@@ -68,9 +68,10 @@ def search_code_lines(spark, sf):
     return running(hits, F.length("line"), "doc_id", "line_no", "running").filter("running <= 10000").select("doc_id", "line_no")
 
 
-@query("binary_probe", "SELECT doc_id, false AS is_binary FROM documents")
+@query("binary_probe", "SELECT doc_id, doc_id % 3 = 0 AND length(text) < 8000 AS is_binary FROM documents")
 def binary_probe(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", scan.is_binary("text", 8000).alias("is_binary"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("\u0000")).otherwise("")).alias("text"))
+    return rows.select("doc_id", scan.is_binary("text", 8000).alias("is_binary"))
 
 
 @query("tail_lines", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[greatest(len(string_split(text, chr(10))) - 4, 1):], chr(10))) AS tail FROM documents")
@@ -78,11 +79,11 @@ def tail_lines(spark, sf):
     return scan.tail_lines(table(spark, sf, "documents"), 5).select("doc_id", F.md5("tail").alias("tail"))
 
 
-_SECTIONS = "(SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN '## ' || substr(line, 1, 3) WHEN line_no = 1 THEN '# top' ELSE line END AS line FROM lines_v)"
+_SECTIONS = "(SELECT doc_id, line_no, CASE WHEN line_no % 5 = 4 THEN '## ' || line WHEN line_no = 1 THEN '# ' || line ELSE line END AS line FROM lines_v)"
 
 
 def _marked(spark, sf):
-    line = F.when(F.col("line_no") % 5 == 2, F.concat(F.lit("## "), F.substring("line", 1, 3))).when(F.col("line_no") == 1, "# top").otherwise(F.col("line"))
+    line = F.when(F.col("line_no") % 5 == 4, F.concat(F.lit("## "), "line")).when(F.col("line_no") == 1, F.concat(F.lit("# "), "line")).otherwise(F.col("line"))
     return view(spark, sf, "lines_v").withColumn("line", line)
 
 
@@ -96,6 +97,12 @@ def section_split(spark, sf):
     return scan.section_split(_marked(spark, sf)).withColumn("text", F.md5("text"))
 
 
+@query("markdown_summary", with_views(rf"WITH t AS (SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM {_SECTIONS}), h AS (SELECT doc_id, min(line_no) AS h FROM t WHERE starts_with(t, '# ') GROUP BY doc_id), b AS (SELECT t.doc_id AS doc_id, h, line_no, t, starts_with(t, '![') OR starts_with(t, '<') AS skipped FROM t JOIN h ON t.doc_id = h.doc_id AND line_no > h), f AS (SELECT doc_id, min(CASE WHEN t <> '' AND NOT skipped THEN line_no END) AS first, min(CASE WHEN starts_with(t, '#') THEN line_no END) AS head FROM b GROUP BY doc_id), e AS (SELECT b.doc_id AS doc_id, min(CASE WHEN t = '' AND line_no > first THEN line_no END) AS stop FROM b JOIN f ON b.doc_id = f.doc_id GROUP BY b.doc_id), d AS (SELECT b.doc_id AS doc_id, string_agg(t, ' ' ORDER BY line_no) AS d FROM b JOIN f ON b.doc_id = f.doc_id JOIN e ON b.doc_id = e.doc_id WHERE t <> '' AND NOT skipped AND line_no < coalesce(head, 2147483647) AND line_no < coalesce(stop, 2147483647) GROUP BY b.doc_id), n AS (SELECT t.doc_id AS doc_id, trim(substr(t, 2)) AS title FROM t JOIN h ON t.doc_id = h.doc_id AND line_no = h), s AS (SELECT x.doc_id AS doc_id, concat_ws(': ', nullif(title, ''), d) AS s FROM documents x LEFT JOIN n ON x.doc_id = n.doc_id LEFT JOIN d ON x.doc_id = d.doc_id) SELECT doc_id, CASE WHEN s = '' THEN 'Markdown document' WHEN length(s) > 200 THEN left(s, 200) || '...' ELSE s END AS summary FROM s"))
+def markdown_summary(spark, sf):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return scan.markdown_summary(_marked(spark, sf).groupBy("doc_id").agg(text.alias("text"))).select("doc_id", "summary")
+
+
 @query("doc_profile", r"SELECT doc_id, substr(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 1, 200) AS first_line, len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS words, length(text) AS chars FROM documents")
 def doc_profile(spark, sf):
     return scan.doc_profile(table(spark, sf, "documents")).select("doc_id", "first_line", "words", "chars")
@@ -146,46 +153,78 @@ def redact_arguments(spark, sf):
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -(len(list_filter(string_split(token, ''), lambda x: x = c)) / CAST(length(token) AS DOUBLE)) * log2(len(list_filter(string_split(token, ''), lambda x: x = c)) / CAST(length(token) AS DOUBLE))))"
 
 
-@query("redact_entropy", rf"WITH s AS ({_SECRETS}), f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_\-]{{8,}}')) AS token FROM s) SELECT doc_id, token FROM f WHERE length(token) >= 20 AND NOT regexp_matches(token, '^[0-9a-f]{{40}}$') AND {_ENTROPY} >= 3.0")
+def _entropic(column: str, threshold: float) -> str:
+    """Rewrites the tokens of high entropy where they stand."""
+    form = r"'[A-Za-z0-9+/=_\-]{8,}'"
+    secret = f"octet_length(encode(token)) >= 20 AND NOT regexp_matches(token, '^[0-9a-f]{{40}}$') AND NOT contains(token, 'REDACTED') AND {_ENTROPY} >= {threshold}"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({column}, {form}), list_append(regexp_extract_all({column}, {form}), '')), lambda z: z[1] || list_transform([z[2]], lambda token: CASE WHEN {secret} THEN '[REDACTED:high_entropy]' ELSE token END)[1]), '')"
+
+
+@query("redact_entropy", f"WITH s AS ({_SECRETS}) SELECT doc_id, md5({_entropic('text', 3.0)}) AS redacted FROM s")
 def redact_entropy(spark, sf):
+    return _planted(spark, sf).select("doc_id", F.md5(redact.redact_entropy(F.col("text"), 3.0)).alias("redacted"))
+
+
+@query("secret_tokens", rf"WITH s AS ({_SECRETS}), f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_\-]{{8,}}')) AS token FROM s) SELECT doc_id, token FROM f WHERE length(token) >= 20 AND NOT regexp_matches(token, '^[0-9a-f]{{40}}$') AND {_ENTROPY} >= 3.0")
+def secret_tokens(spark, sf):
     return redact.secret_tokens(_planted(spark, sf), "text", "doc_id", 3.0)
 
 
-_COMMANDS = "SELECT event_id, CASE event_type WHEN 'view' THEN 'vault kv get secret/' || user_id WHEN 'click' THEN 'aws s3 ls' WHEN 'error' THEN 'gh auth token' ELSE event_type END AS command FROM events"
+_COMMANDS = "SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'vault kv get secret/' || user_id WHEN 1 THEN 'aws s3 ls s3://bucket/' || user_id WHEN 2 THEN 'gh auth token' WHEN 3 THEN 'gpg --decrypt=' || event_id || '.asc --output a/rather/long/path/for/the/plain/text' WHEN 4 THEN 'op vault list' WHEN 5 THEN 'op signin ' || event_id ELSE 'echo vault kv ' || event_type END AS command FROM events"
 
 
 def _commands(spark, sf):
-    kind = F.col("event_type")
-    command = F.when(kind == "view", F.concat(F.lit("vault kv get secret/"), F.col("user_id").cast("string"))).when(kind == "click", "aws s3 ls").when(kind == "error", "gh auth token").otherwise(kind)
-    return table(spark, sf, "events").select("event_id", command.alias("command"))
+    user, event = (F.col(c).cast("string") for c in ("user_id", "event_id"))
+    kinds = [
+        F.concat(F.lit("vault kv get secret/"), user), F.concat(F.lit("aws s3 ls s3://bucket/"), user), F.lit("gh auth token"),
+        F.concat(F.lit("gpg --decrypt="), event, F.lit(".asc --output a/rather/long/path/for/the/plain/text")), F.lit("op vault list"), F.concat(F.lit("op signin "), event), F.concat(F.lit("echo vault kv "), "event_type"),
+    ]
+    return table(spark, sf, "events").select("event_id", F.array(*kinds)[(F.col("user_id") % 7).cast("int")].alias("command"))
+
 
+#: The rule of the denylist: a listed program, and one of its risky arguments anywhere in the command.
+_DENIED = "CASE " + " ".join(f"WHEN string_split_regex(trim(command), '\\s+')[1] = '{p}' AND (" + " OR ".join(f"contains(command, '{w}')" for w in words) + f") THEN '{p} [REDACTED:denylisted_command]'" for p, words in redact.RISKY.items()) + " ELSE command END"
 
-@query("redact_denylist", f"SELECT event_id, CASE WHEN starts_with(command, 'vault kv') THEN 'vault [REDACTED:denylisted_command]' WHEN command = 'gh auth token' THEN 'gh [REDACTED:denylisted_command]' ELSE command END AS command FROM ({_COMMANDS})")
+
+def _damaged(column: str) -> str:
+    return f"coalesce(list_sum(list_transform(regexp_extract_all({column}, '\\[REDACTED:[^\\]]*\\]'), lambda x: octet_length(encode(x)))), 0) / CAST(greatest(octet_length(encode({column})), 1) AS DOUBLE) > 0.5"
+
+
+@query("redact_denylist", f"SELECT event_id, {_DENIED} AS command FROM ({_COMMANDS})")
 def redact_denylist(spark, sf):
     return _commands(spark, sf).withColumn("command", redact.redact_denylist("command"))
 
 
-@query("redact_damage_cap", f"SELECT event_id, CASE WHEN starts_with(command, 'vault kv') THEN 'vault [REDACTED:damage_cap]' WHEN command = 'gh auth token' THEN 'gh [REDACTED:damage_cap]' ELSE command END AS command, command LIKE 'vault kv%' OR command = 'gh auth token' AS dropped FROM ({_COMMANDS})")
+@query("redact_damage_cap", f"WITH d AS (SELECT event_id, {_DENIED} AS command FROM ({_COMMANDS})) SELECT event_id, CASE WHEN {_damaged('command')} THEN string_split_regex(trim(command), '\\s+')[1] || ' [REDACTED:damage_cap]' ELSE command END AS command, {_damaged('command')} AS dropped FROM d")
 def redact_damage_cap(spark, sf):
     rows = _commands(spark, sf).withColumn("command", redact.redact_denylist("command"))
     text, dropped = redact.redact_damage_cap("command", True)
     return rows.select("event_id", text.alias("command"), dropped.alias("dropped"))
 
 
-@query("redact_pipeline")
+@query("redact_pipeline", f"WITH s AS ({_SECRETS}), a AS (SELECT doc_id, {' AND '.join(f'NOT regexp_matches(text, {_q(p)})' for _, p in redact.KNOWN_TOKENS)} AS embedding_safe, {_arguments(_replaced('text'))} AS text FROM s), e AS (SELECT doc_id, embedding_safe, {_entropic('text', 4.5)} AS text FROM a) SELECT doc_id, embedding_safe, {_damaged('text')} AS dropped, md5(CASE WHEN {_damaged('text')} THEN '[REDACTED:damage_cap]' ELSE text END) AS text FROM e")
 def redact_pipeline(spark, sf):
-    return redact.redact_pipeline(_planted(spark, sf), "text", "doc_id")
+    return redact.redact_pipeline(_planted(spark, sf), "text").withColumn("text", F.md5("text"))
+
+
+def _counted() -> str:
+    """Counts of each format after the formats before it were replaced."""
+    steps, column = [], "text"
+    for kind, pattern in redact.KNOWN_TOKENS:
+        steps.append(f"SELECT {_q(kind)} AS kind, len(regexp_extract_all({column}, {_q(pattern)})) AS n FROM s")
+        column = f"regexp_replace({column}, {_q(pattern)}, '[REDACTED:{kind}]', 'g')"
+    return " UNION ALL ".join(steps)
 
 
-@query("findings_by_kind", f"WITH s AS ({_SECRETS}) SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT {_q(k)} AS kind, len(regexp_extract_all(text, {_q(p)})) AS n FROM s" for k, p in redact.KNOWN_TOKENS) + ") GROUP BY kind")
+@query("findings_by_kind", f"WITH s AS ({_SECRETS}) SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM ({_counted()}) GROUP BY kind")
 def findings_by_kind(spark, sf):
-    counts = _planted(spark, sf).select(*redact.known_token_counts("text"))
+    counts = redact.known_token_counts(_planted(spark, sf), "text")
     kinds = [k for k, _ in redact.KNOWN_TOKENS]
     sums = counts.agg(*[F.sum(k).alias(k) for k in kinds])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("x")).select("x.kind", "x.n")
 
 
-@query("redaction_report", f"WITH s AS ({_COMMANDS}) SELECT count(*) AS parsed, count(*) FILTER (WHERE starts_with(command, 'vault kv') OR command = 'gh auth token') AS redacted, count(*) - count(DISTINCT command) AS duplicates FROM s")
+@query("redaction_report", f"WITH s AS ({_COMMANDS}) SELECT count(*) AS parsed, count(*) FILTER (WHERE {_DENIED} <> command) AS redacted, count(*) - count(DISTINCT command) AS duplicates FROM s")
 def redaction_report(spark, sf):
     rows = _commands(spark, sf).withColumn("clean", redact.redact_denylist("command"))
     return rows.agg(F.count("*").alias("parsed"), F.count_if(F.col("clean") != F.col("command")).alias("redacted"), (F.count("*") - F.count_distinct("command")).alias("duplicates"))

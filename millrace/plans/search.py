@@ -30,9 +30,9 @@ def list_skills(spark, sf):
     return lists.list_rows(view(spark, sf, "skills_v"), newest="name").select("id", "project", "name")
 
 
-@query("list_nodes", with_views("SELECT uri, name, abstract FROM nodes_v WHERE parent_uri = 'contextfs://tpch/ASIA' ORDER BY uri LIMIT 200"))
+@query("list_nodes", with_views("SELECT uri, name, abstract FROM nodes_v WHERE parent_uri = 'node://tpch/ASIA' ORDER BY uri LIMIT 200"))
 def list_nodes(spark, sf):
-    return lists.list_nodes(view(spark, sf, "nodes_v"), "contextfs://tpch/ASIA").select("uri", "name", "abstract")
+    return lists.list_nodes(view(spark, sf, "nodes_v"), "node://tpch/ASIA").select("uri", "name", "abstract")
 
 
 @query("filter_project", with_views("SELECT id, project, owner FROM memories_v WHERE project = 'src7'"))
@@ -144,10 +144,10 @@ def fuzzy_terms(spark, sf):
     return ranking.fuzzy_terms(view(spark, sf, "skills_v"), "description", ["stel", "brnd"], 1, "Brand#1", 0.5).select("id", "score")
 
 
-@query("code_search", with_views("SELECT regexp_replace(uri, '^contextfs://tpch/?', '') AS path FROM nodes_v WHERE starts_with(uri, 'contextfs://tpch') AND contains(lower(name), 'a') ORDER BY uri LIMIT 100"))
+@query("code_search", with_views("SELECT regexp_replace(uri, '^node://tpch/?', '') AS path FROM nodes_v WHERE starts_with(uri, 'node://tpch') AND contains(lower(name), 'a') ORDER BY uri LIMIT 100"))
 def code_search(spark, sf):
-    rows = view(spark, sf, "nodes_v").filter(F.col("uri").startswith("contextfs://tpch") & F.lower("name").contains("a"))
-    return rows.orderBy("uri").limit(100).select(F.regexp_replace("uri", "^contextfs://tpch/?", "").alias("path"))
+    rows = view(spark, sf, "nodes_v").filter(F.col("uri").startswith("node://tpch") & F.lower("name").contains("a"))
+    return rows.orderBy("uri").limit(100).select(F.regexp_replace("uri", "^node://tpch/?", "").alias("path"))
 
 
 @query("find_symbol_rows", with_views("SELECT uri, name FROM nodes_v WHERE contains(lower(name), 'customer#00000001') OR lower(name) = 'china' ORDER BY CASE WHEN lower(name) = 'china' THEN 0 ELSE 1 END, name, uri LIMIT 10"))

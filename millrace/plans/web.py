@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import history, web
+from millrace.functions.redact import SECRET_NAMES
+from millrace.operators import code, history, web
 from millrace.plans.registry import query
-from millrace.sources import logs
+from millrace.sources import issues, logs
 from millrace.sources.views import table, view, with_views
 
 _U = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)'"
@@ -26,7 +29,7 @@ def normalize_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.normalize_url("url").alias("clean"))
 
 
-_URI = f"'contextfs://scraped/' || {_SLUG} || list_aggregate(list_prepend('', list_transform(list_filter(string_split(regexp_extract(url, {_U}, 3), '/'), lambda p: p <> ''), lambda p: '/' || url_encode(lower(p)))), 'string_agg', '')"
+_URI = f"'node://scraped/' || {_SLUG} || list_aggregate(list_prepend('', list_transform(list_filter(string_split(regexp_extract(url, {_U}, 3), '/'), lambda p: p <> ''), lambda p: '/' || url_encode(lower(p)))), 'string_agg', '')"
 
 
 @query("url_to_uri", f"SELECT page_id, {_URI} AS uri FROM pages")
@@ -83,15 +86,16 @@ def page_rank_lookup(spark, sf):
     return web.page_rank_lookup(pages.select("page_id", F.length("html").alias("score")), pages, web.html_sections(pages))
 
 
-_PARTS = "(SELECT page_id, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'code' ELSE 'list' END AS kind, substr(html, 1 + k * 900, 900) AS text FROM pages, (SELECT unnest(range(0, 3)) AS k))"
+#: Sections of the whole page by tags: kind and expression.
+_SECTION_FORMS = {"heading": r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", "code": r"(?is)<pre\b[^>]*>(.*?)</pre>", "list": r"(?is)<li\b[^>]*>(.*?)</li>", "paragraph": r"(?is)<p\b[^>]*>(.*?)</p>"}
+_PARTS = "(" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(html, '{form}', 1)) AS text FROM pages" for k, form in _SECTION_FORMS.items()) + ")"
 
 
-@query("page_importance", f"WITH s AS (SELECT page_id, least(sum(octet_length(encode(text))) / 2500.0, 2.0) + least(sum(CASE kind WHEN 'heading' THEN 0.3 WHEN 'code' THEN 0.5 ELSE 0.2 END), 1.5) AS content FROM {_PARTS} GROUP BY page_id) SELECT page_id, round(least(content + CASE WHEN page_id % 2 = 0 THEN 2.0 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 1.0 ELSE 0 END + least(page_id * 900 / 1000.0 / 40.0, 1.5) + least(page_id % 30 / 20.0, 1.0), 10.0), 6) AS importance FROM s")
+@query("page_importance", f"WITH s AS (SELECT page_id, least(sum(octet_length(encode(text))) / 2500.0, 2.0) + least(sum(CASE kind WHEN 'heading' THEN 0.3 WHEN 'code' THEN 0.5 WHEN 'list' THEN 0.2 ELSE 0 END), 1.5) AS content FROM {_PARTS} GROUP BY page_id) SELECT p.page_id AS page_id, round(least(coalesce(content, 0) + CASE WHEN p.page_id % 2 = 0 THEN 2.0 ELSE 0 END + CASE WHEN p.page_id % 3 = 0 THEN 1.0 ELSE 0 END + least(p.page_id * 900 / 1000.0 / 40.0, 1.5) + least(p.page_id % 30 / 20.0, 1.0), 10.0), 6) AS importance FROM pages p LEFT JOIN s ON p.page_id = s.page_id")
 def page_importance(spark, sf):
     pages = table(spark, sf, "pages")
-    parts = pages.select("page_id", "html", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    kind = F.when(F.col("k") == 0, "heading").when(F.col("k") == 1, "code").otherwise("list")
-    sections = parts.select("page_id", kind.alias("kind"), F.substr(F.col("html"), F.col("k") * 900 + 1, F.lit(900)).alias("text"))
+    each = [pages.select("page_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("html", F.lit(form), 1)).alias("text")) for kind, form in _SECTION_FORMS.items()]
+    sections = functools.reduce(DataFrame.unionByName, each)
     p = F.col("page_id")
     signals = pages.select("page_id", (p % 2 == 0).alias("selection"), F.lit(False).alias("active"), (p % 3 == 0).alias("console_errors"), F.lit(None).cast("boolean").alias("network_errors"), (p * 900).alias("dwell_ms"), (p % 30).alias("interactions"))
     return web.page_importance(sections, signals)
@@ -122,11 +126,11 @@ def stream_minute_dedup(spark, sf):
     return web.minute_dedup(view(spark, sf, "sessions_v"))
 
 
-@query("unchanged_pages", "SELECT page_id, url FROM pages p WHERE page_id % 3 <> 0")
+@query("unchanged_pages", "WITH p AS (SELECT page_id, url || '#' || page_id AS url, html FROM pages), c AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN 'other' ELSE sha1(html) END AS sha1 FROM p WHERE page_id % 7 <> 0) SELECT p.page_id AS page_id, p.url AS url FROM p JOIN c ON p.url = c.url WHERE sha1(p.html) = c.sha1")
 def unchanged_pages(spark, sf):
     pages = table(spark, sf, "pages").withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
-    cache = pages.select("url", F.when(F.col("page_id") % 3 == 0, F.lit("other")).otherwise(F.sha1("html")).alias("sha1"))
-    return web.unchanged_pages(pages, cache).withColumn("url", F.regexp_replace("url", "#[0-9]+$", ""))
+    cache = pages.filter("page_id % 7 <> 0").select("url", F.when(F.col("page_id") % 3 == 0, F.lit("other")).otherwise(F.sha1("html")).alias("sha1"))
+    return web.unchanged_pages(pages, cache)
 
 
 @query("pending_sync", with_views("SELECT page_id FROM sessions_v WHERE md5(html) NOT IN (SELECT md5(html) FROM sessions_v WHERE page_id % 4 = 0)"))
@@ -135,11 +139,19 @@ def pending_sync(spark, sf):
     return pages.join(pages.filter("page_id % 4 = 0").select("print"), "print", "left_anti").select("page_id")
 
 
-@query("stuck_runs")
+_RUNS = "WITH r AS (SELECT actor, {call} AS tool, row_number() OVER (PARTITION BY actor ORDER BY seq DESC) AS back FROM calls_v), w AS (SELECT * FROM r WHERE back <= 20), f AS (SELECT actor, max(CASE WHEN back = 1 THEN tool END) AS a, max(CASE WHEN back = 2 THEN tool END) AS b, max(back) AS n FROM w GROUP BY actor), g AS (SELECT w.actor AS actor, a, b, n, coalesce(min(CASE WHEN tool <> a THEN back - 1 END), n) AS run, coalesce(min(CASE WHEN tool <> CASE WHEN back % 2 = 1 THEN a ELSE b END THEN back - 1 END), n) // 2 * 2 AS pairs FROM w JOIN f ON w.actor = f.actor GROUP BY w.actor, a, b, n), v AS (SELECT actor, CAST(run AS INT) AS run, CAST(CASE WHEN a = b THEN 0 ELSE pairs END AS INT) AS alternating FROM g) SELECT *, CASE WHEN run >= 8 THEN 'stop' WHEN run >= 4 THEN 'nudge' WHEN alternating >= 8 THEN 'stop' WHEN alternating >= 6 THEN 'nudge' ELSE 'ok' END AS verdict FROM v"
+
+
+@query("stuck_runs", with_views(_RUNS.format(call="tool")))
 def stuck_runs(spark, sf):
     return history.stuck_runs(view(spark, sf, "calls_v"))
 
 
+@query("stuck_runs_arguments", with_views(_RUNS.format(call="tool || ' ' || (seq // 5)")))
+def stuck_runs_arguments(spark, sf):
+    return history.stuck_runs(view(spark, sf, "calls_v").withColumn("args_hash", F.floor(F.col("seq") / 5).cast("string")))
+
+
 _FILES = "SELECT p_partkey, 'f' || p_partkey AS path, p_size AS f, p_type AS h FROM part"
 
 
@@ -151,9 +163,17 @@ def incremental_diff(spark, sf):
     return history.incremental_diff(files.filter("p_partkey % 5 <> 0").drop("p_partkey"), old.drop("p_partkey"))
 
 
-@query("kv_diff", with_views("SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' WHEN a.value <> b.value THEN 'changed' ELSE 'unchanged' END AS status FROM kv_a_v a FULL JOIN kv_b_v b ON a.key = b.key"))
+def _masked(key: str, value: str) -> str:
+    secret = " OR ".join(f"contains(lower({key}), '{n}')" for n in SECRET_NAMES)
+    safe = f"lower(trim({value})) IN ('true', 'false', '1', '0') OR starts_with(lower(trim({value})), 'http://localhost') OR starts_with(lower(trim({value})), 'http://127.0.0.1') OR octet_length(encode({value})) < 8"
+    return f"CASE WHEN {value} IS NULL OR NOT ({secret}) AND ({safe}) THEN {value} ELSE '***HIDDEN***' END"
+
+
+@query("kv_diff", with_views(f"WITH a AS (SELECT CASE WHEN hash_bit = 0 THEN 'API_KEY_' ELSE '' END || key AS key, value FROM (SELECT key, value, ascii(right(key, 1)) % 2 AS hash_bit FROM kv_a_v)), b AS (SELECT CASE WHEN ascii(right(key, 1)) % 2 = 0 THEN 'API_KEY_' ELSE '' END || key AS key, CASE WHEN value = 'x' THEN 'a longer value' ELSE value END AS value FROM kv_b_v) SELECT coalesce(a.key, b.key) AS key, {_masked('coalesce(a.key, b.key)', 'a.value')} AS before, {_masked('coalesce(a.key, b.key)', 'b.value')} AS after, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' WHEN a.value <> b.value THEN 'changed' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.key = b.key"))
 def kv_diff(spark, sf):
-    return history.kv_diff(view(spark, sf, "kv_a_v"), view(spark, sf, "kv_b_v")).select("key", "status")
+    secret = F.when(F.ascii(F.right("key", F.lit(1))) % 2 == 0, "API_KEY_").otherwise("")
+    a, b = (view(spark, sf, v).withColumn("key", F.concat(secret, "key")) for v in ("kv_a_v", "kv_b_v"))
+    return history.kv_diff(a, b.withColumn("value", F.when(F.col("value") == "x", "a longer value").otherwise(F.col("value"))))
 
 
 @query("snapshot_reuse", with_views("SELECT hash, file FROM commits_v WHERE hash || file NOT IN (SELECT hash || file FROM commits_v WHERE author % 3 = 0)"))
@@ -168,12 +188,12 @@ def commit_file_cap(spark, sf):
     return view(spark, sf, "commits_v").withColumn("place", place).filter("place <= 50").select("file", "hash")
 
 
-@query("git_nodes", with_views("SELECT 'contextfs://p/git/commit/' || hash AS uri, 'contextfs://p/git' AS parent_uri FROM commits_v UNION ALL SELECT 'contextfs://p/git/snapshot/' || hash || '/' || file, 'contextfs://p/git/commit/' || hash FROM commits_v"))
+@query("git_nodes", with_views("SELECT 'node://p/git/commit/' || hash AS uri, 'node://p/git' AS parent_uri FROM commits_v UNION ALL SELECT 'node://p/git/snapshot/' || hash || '/' || file, 'node://p/git/commit/' || hash FROM commits_v"))
 def git_nodes(spark, sf):
     commits = view(spark, sf, "commits_v")
-    commit = F.concat(F.lit("contextfs://p/git/commit/"), "hash")
-    snapshot = F.concat(F.lit("contextfs://p/git/snapshot/"), "hash", F.lit("/"), "file")
-    return commits.select(commit.alias("uri"), F.lit("contextfs://p/git").alias("parent_uri")).union(commits.select(snapshot, commit))
+    commit = F.concat(F.lit("node://p/git/commit/"), "hash")
+    snapshot = F.concat(F.lit("node://p/git/snapshot/"), "hash", F.lit("/"), "file")
+    return commits.select(commit.alias("uri"), F.lit("node://p/git").alias("parent_uri")).union(commits.select(snapshot, commit))
 
 
 @query("resolve_project", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'work' WHEN user_id % 3 = 1 THEN 'u' || user_id ELSE 'deep' END AS project FROM events")
@@ -247,3 +267,54 @@ def project_promote_metadata(spark, sf):
 def stream_shell_windows(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+_ISSUES = "SELECT doc_id AS number, 'Doc ' || doc_id AS title, text AS body, CASE WHEN doc_id % 2 = 0 THEN 'open' ELSE 'closed' END AS state, doc_id % 3 = 0 AS pr, source, lang FROM documents"
+
+
+@query("read_issues_github", f"SELECT 'node://p/github/issues/' || number AS uri, CASE WHEN pr THEN 'PR' ELSE 'Issue' END || ' #' || number || ': ' || title AS name, 'GitHub ' || CASE WHEN pr THEN 'PR' ELSE 'Issue' END || ' [' || state || '] | Labels: ' || lang || ', all' AS abstract, md5(CASE WHEN length(body) > 5000 THEN left(body, 5000) || chr(10) || '...(truncated)' ELSE body END) AS content FROM ({_ISSUES} WHERE lang IS NOT NULL)")
+def read_issues_github(spark, sf):
+    d = table(spark, sf, "documents").filter("lang is not null")
+    exported = F.to_json(F.struct(
+        F.col("doc_id").alias("number"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 2 == 0, "open").otherwise("closed").alias("state"),
+        F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.lit("all").alias("name"))).alias("labels"),
+    ))
+    rows = d.select(F.from_json(exported, issues.GITHUB).alias("x")).select("x.*")
+    return issues.issues_to_nodes(rows, "p").select("uri", "name", "abstract", F.md5("content").alias("content"))
+
+
+@query("read_issues_linear", f"SELECT 'node://p/linear/issues/D-' || number AS uri, 'Issue D-' || number || ': ' || title AS name, 'Linear Issue [open]' || CASE WHEN number % 5 > 0 THEN ' | Priority: ' || (number % 5) ELSE '' END AS abstract, md5(CASE WHEN length(body) > 5000 THEN left(body, 5000) || chr(10) || '...(truncated)' ELSE body END) AS content FROM ({_ISSUES}) WHERE state = 'open'")
+def read_issues_linear(spark, sf):
+    key = F.col("doc_id").cast("string")
+    exported = F.to_json(F.struct(
+        F.concat(F.lit("D-"), key).alias("identifier"), F.concat(F.lit("Doc "), key).alias("title"), F.col("text").alias("description"), F.struct(F.when(F.col("doc_id") % 2 == 0, "open").otherwise("closed").alias("name")).alias("state"),
+        (F.col("doc_id") % 5).alias("priority"),
+    ))
+    rows = table(spark, sf, "documents").select(F.from_json(exported, issues.LINEAR).alias("x")).select("x.*")
+    return issues.linear_to_nodes(rows, "p", "Open").select("uri", "name", "abstract", F.md5("content").alias("content"))
+
+
+def _sources(spark, sf):
+    key = F.col("p_partkey").cast("string")
+    source = F.concat(F.lit("class C"), key, F.lit(" {\n  m"), key, F.lit("() {}\n  private x() {}\n}\nfunction f"), key, F.lit("() { if (g()) return h(1); }\ndef _d"), key, F.lit("(a): pass\n"))
+    return table(spark, sf, "part").select(F.concat(F.lit("src/"), key, F.lit(".ts")).alias("path"), source.alias("source"))
+
+
+_SYMBOLS = "SELECT 'src/' || k || '.ts' AS path, CASE kind WHEN 'mtd' THEN 'mtd:C' || k || '.' || name ELSE kind || ':' || name END AS id, kind, name FROM (SELECT p_partkey AS k, unnest(['cls', 'fn', 'fn', 'mtd', 'mtd']) AS kind, unnest(['C' || p_partkey, 'f' || p_partkey, '_d' || p_partkey, 'm' || p_partkey, 'x']) AS name FROM part)"
+
+
+@query("extract_symbols", _SYMBOLS)
+def extract_symbols(spark, sf):
+    return code.extract_symbols(_sources(spark, sf))
+
+
+@query("outline_symbols", f"WITH s AS ({_SYMBOLS}) SELECT path, id, kind, name, CASE WHEN kind = 'cls' THEN 'm' || substr(name, 2) || ',x' ELSE '' END AS methods FROM s WHERE kind <> 'mtd' AND NOT starts_with(name, '_')")
+def outline_symbols(spark, sf):
+    return code.outline(code.extract_symbols(_sources(spark, sf)), exports_only=True).withColumn("methods", F.array_join("methods", ","))
+
+
+@query("file_summary_text", "SELECT 'src/' || p_partkey || '.ts' AS path, 'File: src/' || p_partkey || '.ts' || chr(10) || 'Language: ts' || chr(10) || 'Symbols: 5' || chr(10) || 'Edges: 1' || chr(10) || 'cls:C' || p_partkey || ', fn:_d' || p_partkey || ', fn:f' || p_partkey || ', mtd:C' || p_partkey || '.m' || p_partkey || ', mtd:C' || p_partkey || '.x' AS overview, '## [cls] C' || p_partkey || chr(10) || '## [fn] _d' || p_partkey || chr(10) || '## [fn] f' || p_partkey || chr(10) || '## [mtd] m' || p_partkey || chr(10) || '## [mtd] x' || chr(10) || 'f' || p_partkey || ' -> g' AS content FROM part")
+def file_summary_text(spark, sf):
+    files = _sources(spark, sf)
+    edges = files.select("path", F.concat(F.lit("f"), F.regexp_extract("path", "([0-9]+)", 1)).alias("src"), F.lit("g").alias("dst"))
+    return code.file_summary_text(files, code.extract_symbols(files), edges)

@@ -30,7 +30,7 @@ def _body(c: str) -> Column:
 def issues_to_nodes(issues: DataFrame, project: str) -> DataFrame:
     """Rows read with the GITHUB schema; pull requests are told apart."""
     kind = F.when(F.col("pull_request").isNotNull(), "PR").otherwise("Issue")
-    root = f"contextfs://{project}/github"
+    root = f"node://{project}/github"
     overview = F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("URL: "), "html_url"), F.concat(F.lit("Author: "), "user.login"), F.concat(F.lit("Created: "), "created_at"), F.concat(F.lit("Updated: "), "updated_at"), _optional("Assignees: ", _names(F.col("assignees"), "login")))
     return issues.select(
         F.concat(F.lit(f"{root}/issues/"), F.col("number").cast("string")).alias("uri"), F.lit(root).alias("parent_uri"),
@@ -43,7 +43,7 @@ def issues_to_nodes(issues: DataFrame, project: str) -> DataFrame:
 def linear_to_nodes(issues: DataFrame, project: str, state: str = "") -> DataFrame:
     """Rows read with the LINEAR schema; an empty state keeps all."""
     rows = issues.filter(F.lower("state.name") == state.lower()) if state else issues
-    root = f"contextfs://{project}/linear"
+    root = f"node://{project}/linear"
     priority = F.when(F.col("priority") > 0, F.concat(F.lit("Priority: "), F.col("priority").cast("string")))
     overview = F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("URL: "), "url"), F.concat(F.lit("Created: "), "createdAt"), F.concat(F.lit("Updated: "), "updatedAt"), _optional("Assignee: ", F.col("assignee.name")))
     return rows.select(

@@ -16,13 +16,13 @@ FROM documents""",
 SELECT concat('skill_', CAST(p_partkey AS STRING)) AS id, p_brand AS project, p_name AS name, concat(p_type, ' ', p_brand) AS description
 FROM part""",
     "nodes_v": """
-SELECT 'contextfs://tpch' AS uri, CAST(NULL AS STRING) AS parent_uri, 'tpch' AS name, 'root' AS abstract
-UNION ALL SELECT concat('contextfs://tpch/', r_name), 'contextfs://tpch', r_name, concat('region ', r_name)
+SELECT 'node://tpch' AS uri, CAST(NULL AS STRING) AS parent_uri, 'tpch' AS name, 'root' AS abstract
+UNION ALL SELECT concat('node://tpch/', r_name), 'node://tpch', r_name, concat('region ', r_name)
 FROM region
-UNION ALL SELECT concat('contextfs://tpch/', r_name, '/', n_name), concat('contextfs://tpch/', r_name), n_name, concat('nation ', n_name)
+UNION ALL SELECT concat('node://tpch/', r_name, '/', n_name), concat('node://tpch/', r_name), n_name, concat('nation ', n_name)
 FROM nation
 JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT concat('contextfs://tpch/', r_name, '/', n_name, '/', c_name), concat('contextfs://tpch/', r_name, '/', n_name), c_name, concat('customer ', c_mktsegment)
+UNION ALL SELECT concat('node://tpch/', r_name, '/', n_name, '/', c_name), concat('node://tpch/', r_name, '/', n_name), c_name, concat('customer ', c_mktsegment)
 FROM customer
 JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey""",

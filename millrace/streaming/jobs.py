@@ -23,13 +23,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def redacted(records: DataFrame) -> DataFrame:
-    """Commands and outputs through the expression layers of redaction; records that it hollows out go."""
+    """Commands and outputs through all layers of redaction; records whose command or output it hollows out go."""
     rows = records.filter("_corrupt_record is null and command is not null")
-    for c in ("command", "output"):
-        rows = rows.withColumn(c, redact.redact_arguments(redact.redact_known_tokens(F.col(c))))
-    rows = rows.withColumn("command", redact.redact_denylist("command"))
-    _, dropped = redact.redact_damage_cap("command", True)
-    return rows.filter(~dropped).withColumn("importance", F.lit(5))
+    rows = redact.redact_pipeline(rows, "command", command=True).filter(~F.col("dropped")).drop("dropped", "embedding_safe")
+    rows = redact.redact_pipeline(rows, "output").filter(~F.coalesce("dropped", F.lit(False))).drop("dropped", "embedding_safe")
+    return rows.withColumn("importance", F.lit(5))
 
 
 def stream_redact_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
@@ -70,8 +68,8 @@ class PageSessions(StatefulProcessor):
         seq = self.count.get()[0] if self.count.exists() else 0
         out = []
         arrived = pd.concat(list(rows)).sort_values(["ts", "page_id"])
+        kept = {k[0]: v for k, v in self.pages.iterator()}
         for page_id, url, print_ in zip(arrived["page_id"], arrived["url"], arrived["simhash"]):
-            kept = {k[0]: v for k, v in self.pages.iterator()}
             mine = kept.get(url)
             alike = lambda v: ((int(v[1]) ^ int(print_)) & 0xFFFFFFFFFFFFFFFF).bit_count() <= self.max_bits
             if mine is not None:
@@ -87,7 +85,8 @@ class PageSessions(StatefulProcessor):
                     self.pages.removeKey((oldest,))
                     del kept[oldest]
             seq += 1
-            self.pages.updateValue((url,), (int(page_id), int(print_), int(revision), int(seq)))
+            kept[url] = (int(page_id), int(print_), int(revision), int(seq))
+            self.pages.updateValue((url,), kept[url])
             out.append((key[0], int(page_id), url, revision))
         self.count.update((seq,))
         yield pd.DataFrame(out, columns=["session_id", "page_id", "url", "revision"])
@@ -134,7 +133,7 @@ def stream_feedback(events: DataFrame) -> DataFrame:
 
 
 class Stuck(StatefulProcessor):
-    """Per actor: its last calls and the verdict on them; a call of reset clears them."""
+    """Per actor: its last calls, by tool and a hash of their arguments where rows have one, and the verdict on them; a call of reset clears them."""
 
     def __init__(self, window: int = 20):
         self.window = window
@@ -157,8 +156,10 @@ class Stuck(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = [c[0] for c in self.calls.get()]
-        for tool in pd.concat(list(rows)).sort_values("seq")["tool"]:
-            calls = [] if tool == "reset" else [*calls, tool][-self.window :]
+        arrived = pd.concat(list(rows)).sort_values("seq")
+        arguments = arrived["args_hash"].fillna("") if "args_hash" in arrived else [""] * len(arrived)
+        for tool, hashed in zip(arrived["tool"], arguments):
+            calls = [] if tool == "reset" else [*calls, f"{tool} {hashed}"][-self.window :]
         self.calls.put([(c,) for c in calls])
         yield pd.DataFrame({"actor": [key[0]], "verdict": [self.verdict(calls) if calls else "ok"]})
 

@@ -42,7 +42,7 @@ def test_symbols_and_outline(spark):
 def test_issue_readers(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"number": 7, "title": "t", "body": "b" * 6000, "state": "open", "html_url": "u", "user": {"login": "me"}, "labels": [{"name": "x"}, {"name": "y"}], "assignees": []}))
     r = issues.issues_to_nodes(spark.read.schema(issues.GITHUB).json(str(tmp_path / "g.json")), "p").first()
-    assert (r.uri, r.name, r.abstract) == ("contextfs://p/github/issues/7", "Issue #7: t", "GitHub Issue [open] | Labels: x, y")
+    assert (r.uri, r.name, r.abstract) == ("node://p/github/issues/7", "Issue #7: t", "GitHub Issue [open] | Labels: x, y")
     assert r.content.endswith("\n...(truncated)") and "Assignees" not in r.overview
     (tmp_path / "l.json").write_text(json.dumps({"identifier": "A-1", "title": "t", "description": "d", "url": "u", "state": {"name": "Done"}, "priority": 2, "assignee": {"name": "z"}, "labels": {"nodes": []}}))
     df = spark.read.schema(issues.LINEAR).json(str(tmp_path / "l.json"))

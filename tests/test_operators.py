@@ -30,12 +30,17 @@ def test_metrics_by_hand(spark):
 def test_redaction_layers(spark):
     rows = [(0, "curl -u me:pw https://u:p@h/x --token=abc"), (1, "vault kv get a/b"), (2, "aws s3 ls"), (3, "x " + "aB3dE5gH7jK9mN1pQ2sT4vX6"), (4, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (5, None)]
     df = spark.createDataFrame(rows, "id int, command string")
-    got = {r.id: r for r in redact.redact_pipeline(df, "command", "id", command=True).collect()}
+    got = {r.id: r for r in redact.redact_pipeline(df, "command", command=True).collect()}
     assert "pw" not in got[0].command.split() and "abc" not in got[0].command and "u:p@" not in got[0].command and not got[0].embedding_safe
     assert got[1].command == "vault [REDACTED:damage_cap]" and got[1].dropped
     assert got[2].command == "aws s3 ls" and got[2].embedding_safe
     assert got[3].command.startswith("x [REDACTED:") and got[4].command == rows[4][1]
     assert got[5].command is None
+    risky = spark.createDataFrame([("gpg --decrypt=x",), ("vault kv-get a",), ("gpg --verify x",), ("echo vault kv",)], "c string")
+    assert [r.c for r in risky.select(redact.redact_denylist("c").alias("c")).collect()] == ["gpg [REDACTED:denylisted_command]", "vault [REDACTED:denylisted_command]", "gpg --verify x", "echo vault kv"]
+    secret = "aB3dE5gH7jK9mN1pQ2sT4vX6"
+    row = spark.createDataFrame([(f"{secret} {secret}-REDACTED-x {secret}.",)], "t string").select(redact.redact_entropy(F.col("t")).alias("t")).first()
+    assert row.t == f"[REDACTED:high_entropy] {secret}-REDACTED-x [REDACTED:high_entropy]."
 
 
 def test_moderation(spark):

@@ -32,11 +32,15 @@ def collected(stream, path, mode="append"):
 
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    rows = [{"command": "curl -u me:pw https://example.org/a/rather/long/path", "project": "p", "timestamp": "2024-01-01T00:00:00Z", "output": "ok"}, {"command": "vault kv get x", "project": "p", "timestamp": "2024-01-01T00:00:00Z"}]
+    rows = [{"command": "curl -u me:pw https://example.org/a/rather/long/path", "project": "p", "timestamp": "2024-01-01T00:00:00Z", "output": "ok"}, {"command": "echo done with it all", "project": "p", "timestamp": "2024-01-01T00:00:00Z", "output": "the secret is aB3dE5gH7jK9mN1pQ2sT4vX6 in a long line of words that are not"}, {"command": "vault kv get x", "project": "p", "timestamp": "2024-01-01T00:00:00Z"}]
     (tmp_path / "in/a.json").write_text("\n".join([*map(json.dumps, rows), "{bad"]))
     jobs.stream_redact_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.command, r.importance) for r in got] == [("curl -u [REDACTED:basic_auth] https://example.org/a/rather/long/path", 5)]
+    assert {(r.command, r.output) for r in got} == {
+        ("curl -u [REDACTED:basic_auth] https://example.org/a/rather/long/path", "ok"),
+        ("echo done with it all", "the secret is [REDACTED:high_entropy] in a long line of words that are not"),
+    }
+    assert {r.importance for r in got} == {5}
 
 
 def test_projector(spark, sf, tmp_path):
