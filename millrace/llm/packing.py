@@ -368,8 +368,12 @@ def _packed(items: DataFrame, group: int, islands: int, rounds: int, population:
 def pack(
     cut: DataFrame, capacity: int = 4096, group: int = 2048, islands: int = 2, rounds: int = 2, population: int = 6, generations: int = 24, well_filled: float = 0.98
 ) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a column length, from 1 to the capacity. Other columns pass through."""
-    cut = stored(cut.withColumn("item", F.monotonically_increasing_id()))
+    """Adds sequence_id and offset to rows that have a column length, from 1 to the capacity.
+
+    Other columns pass through, but for ``item``, ``sequence_id`` and ``offset``, which are replaced. Equal lengths and
+    repeated rows are packed each; no rows give no rows.
+    """
+    cut = stored(cut.drop("item", "sequence_id", "offset").withColumn("item", F.monotonically_increasing_id()))
     full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("item") * 2 + 1, "offset": F.lit(0).cast("long")})
     settings = {"group": group, "islands": islands, "rounds": rounds, "population": population, "generations": generations, "capacity": capacity}
     first = stored(_packed(cut.filter(F.col("length") < capacity).select("item", "length"), **settings, seed=1))

@@ -213,3 +213,17 @@ def test_pipeline_stages(spark, sf):
             want = components_by_hand([(r.doc_id, r.text) for r in before.collect()], 80)
             assert {r.doc_id for r in docs.collect()} == {i for i, x in want.items() if x[2]}
     assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] == sizes[4] <= sizes[5]
+
+
+def test_pipeline_of_odd_rows(spark, sf):
+    docs = documents(spark, sf)
+    odd = spark.createDataFrame([(None, "the story of an hour in the house", None, None, None), (-1, None, "en", "s", 0), (-2, "", None, "s", 0), (-3, "the word of the day was not that", "en", "s", 1), (-3, "the word of the day was not this", "en", "s", 1)], docs.schema)
+    for given in (docs.unionByName(odd).unionByName(docs.limit(3)), docs.limit(0)):
+        rows = given
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stored(stage(spark, rows, sf))
+            assert name == "packing" or rows.columns == docs.columns
+            if name == "near_duplicates":
+                kept = [r.doc_id for r in rows.collect() if r.doc_id is not None]
+                assert len(kept) == len(set(kept))
+        assert rows.count() > 0 or given.isEmpty()

@@ -282,3 +282,34 @@ def test_packing_beats_plain_best_fit_where_it_can(spark):
     sizes = [6, 6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2, 2, 2] * 4  # 15 a bin of 20
     best = packing.evolved(sizes, 20, 1, [], 6, 60)
     assert max(best) + 1 == -(-sum(sizes) // 20)
+
+
+def test_islands_improve_on_best_fit_after_migration(spark):
+    """Bins of three pieces that fill them exactly, where best fit falls short by a few."""
+    rng, sizes = np.random.default_rng(0), []
+    for _ in range(20):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        sizes += [a, b, 1000 - a - b]
+    plain = packing.Packing(sizes, 1000)
+    plain.fit([*range(60)])
+    first = [packing.evolved(sizes, 1000, k, [], 8, 200) for k in range(3)]
+    second = [packing.evolved(sizes, 1000, 10 + k, [first[k], first[k - 1]], 8, 200) for k in range(3)]
+    bins = [[max(x) + 1 for x in found] for found in (first, second)]
+    assert max(bins[0]) < len(plain.bins) and sum(bins[1]) < sum(bins[0]) and all(b <= a for a, b in zip(*bins))
+    rows = spark.createDataFrame([(k, size, "x", 7, 9) for k, size in enumerate(sizes)], "name long, length long, item string, offset int, sequence_id int")
+    out = packing.pack(rows, capacity=1000, group=100, islands=3, rounds=3, population=8, generations=200).collect()
+    assert len({r.sequence_id for r in out}) < len(plain.bins) and sorted(r.name for r in out) == [*range(60)]
+    assert all(sum(r.length for r in out if r.sequence_id == s) <= 1000 for s in {r.sequence_id for r in out})
+
+
+def test_very_long_texts_are_encoded_part_by_part(spark):
+    from tokenizers import Tokenizer
+
+    text = "word, don't stop " * 300_000 + "x" * 50
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    ids = library.encode(text, add_special_tokens=False).ids + [1]
+    rows = packing.pieces(docs_of(spark, ["a b", text, None])).orderBy("doc_id", "piece").collect()
+    long = [r for r in rows if r.doc_id == 1]
+    assert [r.ids_crc32 for r in long] == [zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes()) for s in range(0, len(ids), 4096)]
+    assert [(r.length, r.start) for r in rows if r.doc_id != 1] == [(3, 0), (1, 0)]
