@@ -23,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of a similarity of 0.8. Rows of one id are one document; rows without an id stay."""
+    """Keeps the first document of each group of a similarity of 0.8. Of rows of one id the smallest stays; rows without an id stay."""
     copies = near_dups.near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    whole = docs.join(copies, "doc_id", "left_anti").filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return whole.unionByName(docs.filter("doc_id is null"))
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
