@@ -169,13 +169,14 @@ def _block_links(blocks: DataFrame, percent: int, kind: str) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, percent: int = 80, size: int = 5, k: int = 32, short: int = 32, cold: int = 24, first: int = 8, floor: float = 0.38, partners: int = 3, block: int = 512
+    df: DataFrame, percent: int = 80, size: int = 5, k: int = 32, short: int = 32, cold: int = 24, first: int = 8, floor: float = 0.38, partners: int = 3, block: int = 512, room: int = 1 << 20
 ) -> DataFrame:
     """One row for each row of (doc_id, text): n_shingles, component_id and whether the document is its component's first.
 
     Documents link if 100 * |A and B| >= percent * |A or B| for their sets of distinct word shingles. Null, empty and
     wordless texts have empty sets and link with nothing. Repeated rows give repeated rows, all of them kept or none;
-    other columns are not read.
+    other columns are not read. A block holds about ``block`` documents or ``room`` shingles of either side, whichever
+    are fewer; only a document that is longer by itself exceeds them.
     """
     df = df.select("doc_id", "text")
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -209,9 +210,17 @@ def near_duplicates(
     direct = by_list.select(F.explode(F.expr(f"flatten(transform(m, x -> {inner}))")).alias("p")).select("p.*").distinct()
     links = links.union(stored(_confirmed(stored(_likely(stored(direct), few, k, floor)), sets, percent)))
 
-    warm = placed.filter("warm").select("doc_id", "component", F.explode(F.slice("sketch", 1, first)).alias("value"))
-    mains = warm.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("components"), F.max("count").alias("most"))
-    mains = stored(mains.filter("components > 1").select("value", "main", F.expr(f"cast(ceil(members / {block}) as int)").alias("parts"), F.expr(f"cast(ceil((members - most) / {block}) as int)").alias("asking")))
+    warm = placed.filter("warm").select("doc_id", "n", "component", F.explode(F.slice("sketch", 1, first)).alias("value"))
+    each = warm.groupBy("value", "component").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+    mains = each.groupBy("value").agg(
+        F.max_by(F.struct("component", "count", "shingles"), F.struct("count", "component")).alias("main"),
+        F.sum("count").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("components"),
+    )
+    blocks = lambda rows, sizes: F.expr(f"cast(ceil(greatest(({rows}) / {block}, ({sizes}) / {room})) as int)")
+    mains = mains.filter("components > 1").select(
+        "value", "main.component", blocks("members", "shingles").alias("parts"), blocks("members - main.count", "shingles - main.shingles").alias("asking")
+    )
+    mains = stored(mains.withColumnRenamed("component", "main"))
     dealt = warm.join(mains, "value").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id, value), parts) as int)")).withColumn("ask", F.expr("if(component = main, -1, cast(pmod(xxhash64(doc_id, value, 1), asking) as int))"))
     as_other = dealt.select("value", "part", F.explode(F.expr("sequence(0, asking - 1)")).alias("i"), "doc_id", "component", F.lit(False).alias("asks"))
     as_asking = dealt.filter("ask >= 0").select("value", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("ask").alias("i"), "doc_id", "component", F.lit(True).alias("asks"))

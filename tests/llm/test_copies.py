@@ -65,7 +65,7 @@ def test_near_duplicates_equal_brute_force(spark):
     random.shuffle(docs)
     docs += docs[:5]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("sketch", F.lit(1))
-    for settings in ({}, {"percent": 85}, {"percent": 85, "block": 32, "short": 6}):
+    for settings in ({}, {"percent": 85}, {"percent": 85, "block": 32, "room": 3000, "short": 6}):
         want = components_by_hand(docs, settings.get("percent", 80))
         rows = near_dups.near_duplicates(df, **settings).collect()
         assert len(rows) == len(docs)
