@@ -120,7 +120,13 @@ def tfidf_search(spark, sf):
     return similarity.tfidf_search(table(spark, sf, "documents"), ["the", "über", "tion", "que"])
 
 
-@query("tfidf_stemmed")
+_STEM = "regexp_replace({t}, '^(.{{3,}}?)(?:ations?|ments?|ings?|edly|ed|ies|es|s|ly)$', '\\1')"
+_STEMMED = f"""WITH {_TF}, l AS (SELECT doc_id, len({_WORDS}) AS length FROM documents), s AS (SELECT doc_id, {_STEM.format(t='term')} AS stem, sum(tf) AS n FROM c GROUP BY ALL),
+q AS (SELECT s.doc_id AS doc_id, stem, n / CAST(length AS DOUBLE) AS tf FROM s JOIN l ON s.doc_id = l.doc_id WHERE stem IN (SELECT {_STEM.format(t='t')} FROM (VALUES ('ers'), ('tioned'), ('over')) v(t))),
+d AS (SELECT stem, ln((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)) + 1 AS idf FROM q GROUP BY stem) SELECT doc_id, round(sum(tf * idf), 6) AS score FROM q JOIN d ON q.stem = d.stem GROUP BY doc_id"""
+
+
+@query("tfidf_stemmed", _STEMMED)
 def tfidf_stemmed(spark, sf):
     return similarity.tfidf_stemmed(table(spark, sf, "documents"), ["ers", "tioned", "over"])
 

@@ -113,7 +113,15 @@ def conversation_transcript(spark, sf):
     return scan.transcripts(table(spark, sf, "conversations"), 4)
 
 
-@query("distill_errors")
+_DISTILLED = """WITH r AS (SELECT doc_id, line_no, line, starts_with(line, ' ') AS indented, regexp_matches(line, 'token|[0-9]{16}') AS hit, sum(CASE WHEN starts_with(line, ' ') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM lines_v),
+a AS (SELECT *, max(CASE WHEN NOT indented OR hit THEN CAST(hit AS INT) ELSE 0 END) OVER (PARTITION BY doc_id, run) AS below FROM r),
+h AS (SELECT doc_id, run, max(CAST(hit AS INT)) AS head FROM r WHERE NOT indented OR run = 0 GROUP BY doc_id, run),
+t AS (SELECT a.doc_id AS doc_id, line_no, line, lag(line) OVER (PARTITION BY a.doc_id ORDER BY line_no) AS before FROM a LEFT JOIN h ON a.doc_id = h.doc_id AND a.run = h.run - 1 WHERE (below = 1 OR (indented AND coalesce(head, 0) = 1) OR hit) AND trim(line, ' ') <> ''),
+e AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS place FROM lines_v WHERE doc_id NOT IN (SELECT doc_id FROM t))
+SELECT doc_id, line_no, line FROM t WHERE before IS NULL OR before <> line UNION ALL SELECT doc_id, line_no, line FROM e WHERE place <= 30"""
+
+
+@query("distill_errors", with_views(_DISTILLED))
 def distill_errors(spark, sf):
     return scan.distill_errors(view(spark, sf, "lines_v"), pattern="token|[0-9]{16}")
 
