@@ -151,18 +151,25 @@ def _mapped(rows: DataFrame, f, name: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*fields, f"{name} double"]))
 
 
-def train(rows: DataFrame, ridge: float = 1e-3, bins: int = 512) -> QualityModel | None:
-    """A model from all rows (statistics, quality 0 or 1), or None without any."""
-    rows = stored(rows.select("statistics", F.col("quality").cast("double").alias("quality")))
+def train(rows: DataFrame, ridge: float = 1e-3, bins: int = 512, share: int = 4) -> QualityModel | None:
+    """A model from all rows (doc_id, statistics, quality from 0 to 1), or None without any.
+
+    By the crc32 of its id one row of ``share`` is held back from the ridge regression and fits the isotonic steps; where
+    either part is empty all rows serve for both.
+    """
+    held_back = F.expr(f"crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 5 % {share} = 0")
+    rows = stored(rows.select("statistics", F.col("quality").cast("double").alias("quality"), held_back.alias("held_back")))
     each = [f(F.get("statistics", F.lit(k))).alias(f"{n}{k}") for k in range(STATISTICS) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
-    got = rows.agg(F.count("*").alias("n"), *each).first()
+    got = rows.agg(F.count("*").alias("n"), F.count_if("held_back").alias("back"), *each).first()
     if not got["n"]:
         return None
+    both = 0 < got["back"] < got["n"]
+    fitted, steady = (rows.filter("not held_back"), rows.filter("held_back")) if both else (rows, rows)
     kernel = Kernel(np.array([got[f"m{k}"] for k in range(STATISTICS)]), np.array([got[f"d{k}"] for k in range(STATISTICS)]))
-    a, b = normal_equations(rows, kernel)
-    weights = np.linalg.solve(a + ridge * got["n"] / len(b) * np.eye(len(b)), b)
+    a, b = normal_equations(fitted, kernel)
+    weights = np.linalg.solve(a + ridge * (got["n"] - got["back"] if both else got["n"]) / len(b) * np.eye(len(b)), b)
     plain = QualityModel(kernel, weights, np.array([0.0]), np.array([0.0]))
-    raw = _mapped(rows, plain.raw, "raw")
+    raw = _mapped(steady.drop("held_back"), plain.raw, "raw")
     binned = raw.withColumn("bin", F.expr(f"cast(floor((least(greatest(raw, -0.5D), 1.5D) + 0.5D) * {bins / 2}D) as int)"))
     sums = sorted(map(tuple, binned.groupBy("bin").agg(F.avg("raw"), F.avg("quality"), F.count("*")).collect()))
     steps = isotonic(np.array([s[2] for s in sums]), np.array([float(s[3]) for s in sums]))
@@ -184,7 +191,7 @@ def predict(df: DataFrame, model: QualityModel | None, into: str = "score") -> D
 def train_on(df: DataFrame, labels: DataFrame) -> tuple[QualityModel | None, DataFrame]:
     """The model from labelled rows whose crc32 of the id isn't 0 modulo 5, and the statistics of all rows."""
     rows = stored(with_statistics(df))
-    known = labels.filter("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     return train(rows.filter(crc_fold() != 0).join(known, "doc_id")), rows
 
 
@@ -192,7 +199,8 @@ def score_quality(df: DataFrame, labels: DataFrame, keep_from: float = 0.3) -> D
     """One row for each row of (doc_id, text): held_out, score and predicted.
 
     Trains on labelled rows whose crc32 of the id isn't 0 modulo 5. Null and empty texts have zero statistics and a
-    score like others; without any labels scores are 0.5. Repeated rows give repeated rows; other columns are not read.
+    score like others; without any labels scores are 0.5. Texts of any length are read whole; repeated rows give repeated
+    rows, repeated labels of a document count as their mean; other columns, ``score`` and ``predicted`` too, are not read.
     """
     model, rows = train_on(df, labels)
     scored = _mapped(rows, lambda x: model.scores(x) if model else np.full(len(x), 0.5), "score")

@@ -32,11 +32,26 @@ _REACHED = "r AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b F
 _VECTOR_LINKS = f"""WITH RECURSIVE {_VECTORS}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9), {_REACHED},
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id"""
 
-_SHINGLE_LINKS = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+_SHINGLE_LINKS = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
 g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, any_value(x.n) AS m, any_value(y.n) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
 l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (m + n - shared)), {_REACHED} SELECT s.doc_id AS doc_id, len(s) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept FROM s LEFT JOIN c ON c.node = s.doc_id"""
 
+_TEMPLATE_ROWS = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASE_ROWS = ", ".join(f"('{label}', {words.split()})" for words, label in licenses.PHRASES.items())
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows that begin with a word of a template are as long as it with a tenth of other words between; the scan's share is 0.9.
+_LICENSES = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT t, label, {_WORDS} AS u FROM (VALUES {_TEMPLATE_ROWS}) v(t, label, text)),
+t2 AS (SELECT t, label, list_distinct(u) AS s, ceil(0.9 * len(list_distinct(u)) - 1e-9) AS need, ceil(len(u) / 0.9 - 1e-9) AS wide FROM t), tw AS (SELECT t, label, need, wide, len(s) AS size, unnest(s) AS word FROM t2),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM w), h AS (SELECT doc_id, place, word, t, label, need, wide, size FROM p JOIN tw USING (word)),
+m AS (SELECT doc_id, t FROM h GROUP BY doc_id, t HAVING count(DISTINCT word) >= any_value(need)), k AS (SELECT h.* FROM h JOIN m USING (doc_id, t)),
+c AS (SELECT a.doc_id AS doc_id, a.t, a.place, any_value(a.label) AS label, any_value(a.need) AS need, count(DISTINCT b.word) / any_value(a.size) AS held, count(DISTINCT b.word) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.t = b.t AND b.place >= a.place AND b.place < a.place + a.wide GROUP BY a.doc_id, a.t, a.place),
+b AS (SELECT doc_id, f.label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(f.words) - 1] = f.words)) - 1 AS place FROM w, (VALUES {_PHRASE_ROWS}) f(label, words)),
+b2 AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(held) AS score FROM (SELECT doc_id, label, held FROM c WHERE n >= need UNION ALL SELECT doc_id, label, 1.0 FROM b) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN b2 USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
 
 def queries() -> dict:
     return dict(_QUERIES)
@@ -44,4 +59,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; models, tokenizers, packing, discovered spans and page trees have tests instead."""
-    return {"op3_nearest_neighbours": _NEAREST, "op4_embedding_near_dups": _VECTOR_LINKS, "op6_minhash_near_dups": _SHINGLE_LINKS}
+    return {"op2_license_scan": _LICENSES, "op3_nearest_neighbours": _NEAREST, "op4_embedding_near_dups": _VECTOR_LINKS, "op6_minhash_near_dups": _SHINGLE_LINKS}
