@@ -90,28 +90,32 @@ def _array(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of z z' and z y over rows (statistics, quality): added up in each partition, then row by row of the matrix."""
+def normal_equations(rows: DataFrame, kernel: Kernel, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each fold the sums of z z' and z y over rows (statistics, quality, fold), and its number of rows.
+
+    They are added up in each partition, then row by row of the matrix; the last row of z z' counts, as z ends in one.
+    """
     size = len(kernel.shift) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((folds, size, size + 1))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                z = kernel(_array(part.column("statistics")))
-                total += z.T @ np.concatenate([z, part.column("quality").to_numpy()[:, None]], axis=1)
+                z, y, fold = kernel(_array(part.column("statistics"))), part.column("quality").to_numpy(), part.column("fold").to_numpy()
+                for k in range(folds):
+                    total[k] += z[fold == k].T @ np.concatenate([z, y[:, None]], axis=1)[fold == k]
         sums = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), size + 1).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), sums], names=["i", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(folds * size)), sums], names=["i", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         sums = np.add.reduce([np.asarray(x.values) for x in table.column("sums")])
         return pa.table({"i": table.column("i").slice(0, 1), "sums": pa.array([sums])})
 
-    parts = rows.select("statistics", F.col("quality").cast("double").alias("quality")).mapInArrow(run, "i long, sums array<double>")
+    parts = rows.select("statistics", "quality", "fold").mapInArrow(run, "i long, sums array<double>")
     table = parts.groupBy("i").applyInArrow(add, "i long, sums array<double>").toArrow().sort_by("i")
-    whole = np.array(table.column("sums").to_pylist()).reshape(-1, size + 1)
-    return whole[:, :-1], whole[:, -1]
+    whole = np.array(table.column("sums").to_pylist()).reshape(folds, size, size + 1)
+    return whole[:, :, :-1], whole[:, :, -1], whole[:, -1, -2]
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -140,36 +144,42 @@ class QualityModel:
 
 
 def _mapped(rows: DataFrame, f, name: str) -> DataFrame:
+    """Rows with statistics replaced by f of them and of the rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 keep = [c for c in part.schema.names if c != "statistics"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(f(_array(part.column("statistics"))))], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(f(_array(part.column("statistics")), part))], names=[*keep, name])
 
     fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != "statistics"]
     return rows.mapInArrow(run, ", ".join([*fields, f"{name} double"]))
 
 
-def train(rows: DataFrame, ridge: float = 1e-3, bins: int = 512, share: int = 4) -> QualityModel | None:
+def train(rows: DataFrame, ridge: float = 1e-3, bins: int = 512, folds: int = 4) -> QualityModel | None:
     """A model from all rows (doc_id, statistics, quality from 0 to 1), or None without any.
 
-    By the crc32 of its id one row of ``share`` is held back from the ridge regression and fits the isotonic steps; where
-    either part is empty all rows serve for both.
+    All rows teach the ridge regression. The isotonic steps are fitted on scores of rows that the scoring weights haven't
+    seen: each fold, by the crc32 of the id, is scored by weights from the sums of the others. A fold without others is
+    scored by the weights of all.
     """
-    held_back = F.expr(f"crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 5 % {share} = 0")
-    rows = stored(rows.select("statistics", F.col("quality").cast("double").alias("quality"), held_back.alias("held_back")))
+    fold = F.expr(f"cast(crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 5 % {folds} as int)")
+    rows = stored(rows.select("statistics", F.col("quality").cast("double").alias("quality"), fold.alias("fold")))
     each = [f(F.get("statistics", F.lit(k))).alias(f"{n}{k}") for k in range(STATISTICS) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
-    got = rows.agg(F.count("*").alias("n"), F.count_if("held_back").alias("back"), *each).first()
+    got = rows.agg(F.count("*").alias("n"), *each).first()
     if not got["n"]:
         return None
-    both = 0 < got["back"] < got["n"]
-    fitted, steady = (rows.filter("not held_back"), rows.filter("held_back")) if both else (rows, rows)
     kernel = Kernel(np.array([got[f"m{k}"] for k in range(STATISTICS)]), np.array([got[f"d{k}"] for k in range(STATISTICS)]))
-    a, b = normal_equations(fitted, kernel)
-    weights = np.linalg.solve(a + ridge * (got["n"] - got["back"] if both else got["n"]) / len(b) * np.eye(len(b)), b)
-    plain = QualityModel(kernel, weights, np.array([0.0]), np.array([0.0]))
-    raw = _mapped(steady.drop("held_back"), plain.raw, "raw")
+    a, b, n = normal_equations(rows, kernel, folds)
+
+    def solved(parts: list[int]) -> np.ndarray:
+        return np.linalg.solve(a[parts].sum(axis=0) + ridge * n[parts].sum() / b.shape[1] * np.eye(b.shape[1]), b[parts].sum(axis=0))
+
+    weights = solved([*range(folds)])
+    others = [[j for j in range(folds) if j != k and n[j]] for k in range(folds)]
+    unseen = np.stack([solved(parts) if parts else weights for parts in others], axis=1)
+    raw = _mapped(rows, lambda x, part: (kernel(x) @ unseen)[np.arange(len(x)), part.column("fold").to_numpy()], "raw")
     binned = raw.withColumn("bin", F.expr(f"cast(floor((least(greatest(raw, -0.5D), 1.5D) + 0.5D) * {bins / 2}D) as int)"))
     sums = sorted(map(tuple, binned.groupBy("bin").agg(F.avg("raw"), F.avg("quality"), F.count("*")).collect()))
     steps = isotonic(np.array([s[2] for s in sums]), np.array([float(s[3]) for s in sums]))
@@ -203,7 +213,7 @@ def score_quality(df: DataFrame, labels: DataFrame, keep_from: float = 0.3) -> D
     rows, repeated labels of a document count as their mean; other columns, ``score`` and ``predicted`` too, are not read.
     """
     model, rows = train_on(df, labels)
-    scored = _mapped(rows, lambda x: model.scores(x) if model else np.full(len(x), 0.5), "score")
+    scored = _mapped(rows, lambda x, _: model.scores(x) if model else np.full(len(x), 0.5), "score")
     return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= keep_from).cast("int").alias("predicted"))
 
 
