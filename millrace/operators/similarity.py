@@ -31,16 +31,17 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
-    m = np.stack(rows) if rows else np.zeros((0, 1))
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n > 0, n, 1)
 
 
 def _blocked(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
-    """Rows of both sides in blocks: each pair of blocks is one group (i, j), so that a task holds two blocks at most."""
+    """Rows of both sides in blocks: each pair of blocks is one group (i, j), so that a task holds two blocks at most. Null vectors take no part."""
     n_left, n_right = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
+    left, right = left.filter("vec is not null"), right.filter("vec is not null")
     a = left.select("id", "vec", F.lit(0).alias("side"), F.expr(f"pmod(xxhash64(id), {n_left})").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))).alias("j"))
     b = right.select("id", "vec", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("i"), F.expr(f"pmod(xxhash64(id), {n_right})").alias("j"))
     return a.unionByName(b)
@@ -73,7 +74,7 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = 8192)
 
 
 def pairs_cosine_ge(rows: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(a, b, score) with a < b of rows (id, vec) whose cosine reaches the threshold."""
+    """(a, b, score) with a < b of rows (id, vec) whose cosine reaches the threshold. Two blocks meet once."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def near(table: pa.Table) -> pa.Table:
@@ -82,10 +83,11 @@ def pairs_cosine_ge(rows: DataFrame, threshold: float, block: int = 4096) -> Dat
         x, y = (table.filter(pc.equal(table.column("side"), s)) for s in (0, 1))
         a, b = x.column("id").to_numpy(), y.column("id").to_numpy()
         score = _unit(x.column("vec")) @ _unit(y.column("vec")).T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        i, j = np.nonzero((score >= threshold) & (a[:, None] < b[None, :]))
-        return pa.table({"a": a[i], "b": b[j], "score": score[i, j]})
+        own = bool(len(table)) and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        i, j = np.nonzero((score >= threshold) & ((a[:, None] < b[None, :]) if own else (a[:, None] != b[None, :])))
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": score[i, j]})
 
-    return _blocked(rows, rows, block).groupBy("i", "j").applyInArrow(near, f"a {kind}, b {kind}, score double")
+    return _blocked(rows, rows, block).filter("i <= j").groupBy("i", "j").applyInArrow(near, f"a {kind}, b {kind}, score double")
 
 
 _PRIME, _START = np.uint64(1099511628211), np.uint64(14695981039346656037)

@@ -152,3 +152,12 @@ def test_stemmed_search(spark):
     got = {r.doc_id: r.score for r in similarity.tfidf_stemmed(docs, ["walks"]).collect()}
     idf = np.log(3 / 2) + 1
     assert got == {1: round(2 / 3 * idf, 6), 2: round(idf / 2, 6)}
+
+
+def test_cosine_pairs_over_several_blocks(spark):
+    x = np.random.default_rng(5).standard_normal((90, 4))
+    rows = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (90, None)], "id long, vec array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.6, 1))
+    got = sorted((r.a, r.b) for r in similarity.pairs_cosine_ge(rows, 0.6, block=20).collect())
+    assert got == sorted(zip(i.tolist(), j.tolist()))
