@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: survives lost executors and is dropped with its last reference."""
     shared_dir(df.sparkSession)
@@ -34,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for tables that are read several times by some columns only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

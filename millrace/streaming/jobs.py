@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from millrace.functions import redact
 from millrace.operators import history
+from millrace.operators.sessions import EVENT, OpenPages
+from millrace.sources.keyed import KeyedTable
 
 RECORD = "command string, exit_code int, duration_ms int, cwd string, timestamp timestamp, project string, output string"
 
@@ -35,70 +37,122 @@ def stream_redact_ingest(spark: SparkSession, source: str, sink: str, checkpoint
     return rows.writeStream.format("parquet").partitionBy("project", "day").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_projector(outbox: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest state of each entity: each batch's last operations replace the index's rows of the same key.
+OUTBOX = "entity_type string, entity_id string, payload string, id long"
 
-    A batch writes a new version of the index beside the old one and is skipped if its version is there already.
+
+def index_table(spark: SparkSession, path: str, buckets: int = 64, most_parts: int = 8) -> KeyedTable:
+    """The index that a projector keeps: the latest payload of each entity by the id of its last operation."""
+    return KeyedTable(spark, path, OUTBOX, ["entity_type", "entity_id"], "id", buckets, most_parts)
+
+
+def project(index: KeyedTable, operations: DataFrame, number: int) -> bool:
+    """Takes a batch of outbox operations into the index. Each batch number counts once; operations may come in any order."""
+    rows = operations.select("entity_type", F.col("entity_id").cast("string").alias("entity_id"), "payload", F.col("id").cast("long").alias("id"), "op_type")
+    return index.apply(rows, number, F.col("op_type") == "delete")
+
+
+def stream_projector(outbox: DataFrame, index_path: str, checkpoint: str, buckets: int = 64, most_parts: int = 8, every: str | None = None) -> StreamingQuery:
+    """Keeps the latest state of each entity. A batch writes the buckets of its own keys only.
+
+    ``every`` is the time between batches, such as "3 seconds"; without it the stream ends with what is there.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{index_path}/v={number - 1}"
-        last = batch.groupBy("entity_type", "entity_id").agg(F.max_by(F.struct("op_type", "payload"), "id").alias("x"), F.max("id").alias("id"))
-        live = last.filter("x.op_type <> 'delete'").select("entity_type", "entity_id", F.col("x.payload").alias("payload"), "id")
-        if number:
-            old = spark.read.parquet(before)
-            live = old.join(last.select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti").unionByName(live)
-        live.write.mode("overwrite").parquet(f"{index_path}/v={number}")
+        project(index_table(batch.sparkSession, index_path, buckets, most_parts), batch, number)
 
-    return outbox.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return outbox.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-class PageSessions(StatefulProcessor):
-    """Per session: pages by address with fingerprint and revision; near-duplicates of kept pages are dropped, the oldest go."""
+class Expiring(StatefulProcessor):
+    """State that goes when a key has been idle for so many milliseconds of the machine's clock; never, if that is 0.
 
-    def __init__(self, max_pages: int = 100, max_bits: int = 3):
-        self.max_pages, self.max_bits = max_pages, max_bits
+    Timers keep a stream going: with an idle time its trigger has to be a processing time, not all that is available now.
+    """
+
+    def __init__(self, idle_ms: int = 0):
+        self.idle_ms = idle_ms
+
+    def watch(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.idle_ms:
+            self.until = handle.getValueState("until", "at long")
+
+    def touch(self, timerValues) -> None:
+        """Sets the timer anew. State whose time is up before its timer has fired goes now."""
+        if self.idle_ms:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            if self.until.exists():
+                (old,) = self.until.get()
+                if old <= now:
+                    self.forget()
+                self.handle.deleteTimer(old)
+            self.until.update((now + self.idle_ms,))
+            self.handle.registerTimer(now + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.until.exists() and self.until.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.forget()
+            self.until.clear()
+        yield from ()
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _mode(idle_ms: int) -> str:
+    return "ProcessingTime" if idle_ms else "None"
+
+
+class PageSessions(Expiring):
+    """Per session: the pages that it holds, in the order in which they came first."""
+
+    def __init__(self, max_pages: int = 100, max_bytes: int = 8 << 20, max_bits: int = 3, idle_ms: int = 0):
+        super().__init__(idle_ms)
+        self.bounds = max_pages, max_bytes, max_bits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pages = handle.getMapState("pages", "url string", "page_id long, print long, revision int, seq long")
+        self.watch(handle)
+        self.pages = handle.getMapState("pages", "url string", "page_id long, print long, revision int, bytes long, at long")
         self.count = handle.getValueState("count", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.touch(timerValues)
         seq = self.count.get()[0] if self.count.exists() else 0
-        out = []
+        held = sorted(((k[0], v) for k, v in self.pages.iterator()), key=lambda x: x[1][4])
+        places = {url: v[4] for url, v in held}
+        before = {url: tuple(map(int, v[:4])) for url, v in held}
+        open_ = OpenPages(before.items(), seq, *self.bounds)
         arrived = pd.concat(list(rows)).sort_values(["ts", "page_id"])
-        kept = {k[0]: v for k, v in self.pages.iterator()}
-        for page_id, url, print_ in zip(arrived["page_id"], arrived["url"], arrived["simhash"]):
-            mine = kept.get(url)
-            alike = lambda v: ((int(v[1]) ^ int(print_)) & 0xFFFFFFFFFFFFFFFF).bit_count() <= self.max_bits
-            if mine is not None:
-                if alike(mine):
-                    continue
-                revision = mine[2] + 1
-            elif any(alike(v) for v in kept.values()):
-                continue
-            else:
-                revision = 1
-                while len(kept) >= self.max_pages:
-                    oldest = min(kept, key=lambda k: kept[k][3])
-                    self.pages.removeKey((oldest,))
-                    del kept[oldest]
-            seq += 1
-            kept[url] = (int(page_id), int(print_), int(revision), int(seq))
-            self.pages.updateValue((url,), kept[url])
-            out.append((key[0], int(page_id), url, revision))
-        self.count.update((seq,))
-        yield pd.DataFrame(out, columns=["session_id", "page_id", "url", "revision"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_page_session(pages: DataFrame, max_pages: int = 100) -> DataFrame:
-    """(session_id, page_id, url, ts, simhash) to the pages that are kept, with their revision."""
-    schema = "session_id long, page_id long, url string, revision int"
-    return pages.groupBy("session_id").transformWithStateInPandas(PageSessions(max_pages), outputStructType=schema, outputMode="Append", timeMode="None")
+        sizes = arrived["bytes"].fillna(0) if "bytes" in arrived else [0] * len(arrived)
+        events = []
+        for page_id, url, print_, size in zip(arrived["page_id"], arrived["url"], arrived["simhash"], sizes):
+            made = open_.add(int(page_id), url, int(print_), int(size))
+            if made[0][2] == "added":
+                places[url] = made[0][4]
+            events += made
+        for url in before.keys() - open_.held.keys():
+            self.pages.removeKey((url,))
+        for url, page in open_.held.items():
+            if before.get(url) != page:
+                self.pages.updateValue((url,), (*page, places[url]))
+        self.count.update((open_.seq,))
+        yield pd.DataFrame([(key[0], *e) for e in events], columns=["session_id", "page_id", "url", "action", "revision", "seq"]).astype({"revision": "int32"})
+
+    def forget(self) -> None:
+        self.pages.clear()
+        self.count.clear()
+
+
+def stream_page_session(pages: DataFrame, max_pages: int = 100, max_bytes: int = 8 << 20, idle_ms: int = 0) -> DataFrame:
+    """(session_id, page_id, url, ts, simhash, bytes if there) to the events of each session, as ``sessions.session_events`` has them.
+
+    A session without pages for ``idle_ms`` milliseconds begins anew; 0 keeps all. A null fingerprint is not allowed here.
+    """
+    return pages.groupBy("session_id").transformWithStateInPandas(PageSessions(max_pages, max_bytes, 3, idle_ms), outputStructType=f"session_id long, {EVENT}", outputMode="Append", timeMode=_mode(idle_ms))
 
 
 class Importance(StatefulProcessor):
@@ -132,13 +186,15 @@ def stream_feedback(events: DataFrame) -> DataFrame:
     return events.groupBy("id").transformWithStateInPandas(Importance(), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
-class Stuck(StatefulProcessor):
+class Stuck(Expiring):
     """Per actor: its last calls, by tool and a hash of their arguments where rows have one, and the verdict on them; a call of reset clears them."""
 
-    def __init__(self, window: int = 20):
+    def __init__(self, window: int = 20, idle_ms: int = 0):
+        super().__init__(idle_ms)
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.watch(handle)
         self.calls = handle.getListState("calls", "tool string")
 
     @staticmethod
@@ -155,6 +211,7 @@ class Stuck(StatefulProcessor):
         return "ok"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.touch(timerValues)
         calls = [c[0] for c in self.calls.get()]
         arrived = pd.concat(list(rows)).sort_values("seq")
         arguments = arrived["args_hash"].fillna("") if "args_hash" in arrived else [""] * len(arrived)
@@ -163,12 +220,13 @@ class Stuck(StatefulProcessor):
         self.calls.put([(c,) for c in calls])
         yield pd.DataFrame({"actor": [key[0]], "verdict": [self.verdict(calls) if calls else "ok"]})
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.calls.clear()
 
 
-def stream_stuck_detector(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("actor").transformWithStateInPandas(Stuck(), outputStructType="actor long, verdict string", outputMode="Update", timeMode="None")
+def stream_stuck_detector(calls: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """The verdict of each actor after each batch. An actor without calls for ``idle_ms`` milliseconds begins anew; 0 keeps all."""
+    return calls.groupBy("actor").transformWithStateInPandas(Stuck(idle_ms=idle_ms), outputStructType="actor long, verdict string", outputMode="Update", timeMode=_mode(idle_ms))
 
 
 def stream_minute_dedup(pages: DataFrame, lateness: str = "2 minutes") -> DataFrame:
@@ -177,17 +235,66 @@ def stream_minute_dedup(pages: DataFrame, lateness: str = "2 minutes") -> DataFr
     return rows.withColumn("minute", F.date_trunc("minute", "ts")).withColumn("content", F.sha1("html")).dropDuplicatesWithinWatermark(["url", "content", "minute"])
 
 
-def stream_file_changes(files: DataFrame, snapshot_path: str, checkpoint: str, seen: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Each batch of (path, fingerprint, content_hash, seq) against the snapshot that batches build up."""
+class Settled(StatefulProcessor):
+    """Per path: its latest change, put out when no further one has come for the window, on the clock of the changes."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("path").agg(F.max_by(F.struct("fingerprint", "content_hash"), "seq").alias("x")).select("path", "x.*")
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{snapshot_path}/v={number - 1}") if number else latest.limit(0)
-        seen(history.incremental_diff(latest, before.join(latest.select("path"), "path", "left_semi")), number)
-        before.join(latest.select("path"), "path", "left_anti").unionByName(latest).write.mode("overwrite").parquet(f"{snapshot_path}/v={number}")
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
 
-    return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "fingerprint int, content_hash string, seq long, due long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        newest = arrived.loc[arrived["seq"].idxmax()]
+        due = int(arrived["ts"].max().timestamp() * 1000) + self.window_ms
+        state = (int(newest["fingerprint"]), newest["content_hash"], int(newest["seq"]))
+        if self.last.exists():
+            *old, old_due = self.last.get()
+            self.handle.deleteTimer(old_due)
+            state, due = max(tuple(old), state, key=lambda x: x[2]), max(due, old_due)
+        self.last.update((*state, due))
+        self.handle.registerTimer(due)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fingerprint, content_hash, seq, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"path": [key[0]], "fingerprint": [fingerprint], "content_hash": [content_hash], "seq": [seq]}).astype({"fingerprint": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+SNAPSHOT = "path string, fingerprint int, content_hash string, seq long"
+
+
+def settled_changes(files: DataFrame, window: str, lateness: str = "0 seconds") -> DataFrame:
+    """(path, fingerprint, content_hash, seq, ts timestamp): changes of a path that follow each other within the window are one."""
+    millis = int(files.sparkSession.sql(f"SELECT CAST(INTERVAL {window} AS INTERVAL DAY TO SECOND) AS w").first()["w"].total_seconds() * 1000)
+    rows = files.withWatermark("ts", lateness).select("path", "fingerprint", "content_hash", F.col("seq").cast("long").alias("seq"), "ts")
+    return rows.groupBy("path").transformWithStateInPandas(Settled(millis), outputStructType=SNAPSHOT, outputMode="Append", timeMode="EventTime")
+
+
+def stream_file_changes(files: DataFrame, snapshot_path: str, checkpoint: str, seen: Callable[[DataFrame, int], None], window: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Each batch of (path, fingerprint, content_hash, seq) against the snapshot that batches build up.
+
+    A batch reads and writes the buckets of its own paths only. With ``window``, such as "'500' MILLISECOND", changes have
+    a timestamp ``ts`` and a path is compared when it has been quiet for that long. ``seen`` gets the differences before
+    the snapshot takes them in, so that a batch that is done again gives the same ones.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        snapshot = KeyedTable(batch.sparkSession, snapshot_path, SNAPSHOT, ["path"], "seq", buckets)
+        latest = batch.groupBy("path").agg(F.max_by(F.struct("fingerprint", "content_hash", "seq"), "seq").alias("x")).select("path", "x.fingerprint", "x.content_hash", F.col("x.seq").cast("long").alias("seq"))
+        there = [v[0] for v in snapshot.versions() if v[0] < number]
+        before = snapshot.of_keys(latest, there[-1] if there else None) if there or not snapshot.versions() else latest.limit(0)
+        seen(history.incremental_diff(latest, before), number)
+        snapshot.apply(latest, number)
+
+    rows = settled_changes(files, window) if window else files
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_shell_windows(stream: DataFrame, window: str, lateness: str, slide: str | None = None, gap: str | None = None) -> DataFrame:
