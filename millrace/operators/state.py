@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import stored
+
 # The operations that a plan may hold.
 KNOWN_OPS = ("create_memory", "update_memory", "delete_memory", "create_skill", "update_skill", "delete_skill", "create_node", "update_node", "delete_node")
 
@@ -32,32 +36,84 @@ def delete_keys(current: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return current.join(keys.select(key), key, "left_anti")
 
 
+def _in_ranges(events: DataFrame, *columns: str) -> DataFrame:
+    """Events dealt by ranges of (id, ts, event_id), so that an id with many events lies in several ranges, one after another."""
+    return events.select("id", "ts", "event_id", *columns).repartitionByRange("id", "ts", "event_id")
+
+
+def _moved(importance: Column, reward: Column, alpha: float) -> Column:
+    return F.least(F.greatest(F.floor(importance + F.lit(alpha) * (reward - importance) + 0.5).cast("int"), F.lit(1)), F.lit(10))
+
+
+def _composed(alpha: float):
+    """Of each id in a sorted range: its first reward, and where the rewards after it take each importance from 1 to 10."""
+    values = np.arange(1, 11)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # (id, ts, event_id, first reward, map, number) of the id that the next batch may go on with
+        kinds = None
+
+        def made(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "ts", "event_id", "first", "onto", "n"])
+
+        for batch in batches:
+            kinds = [*batch.schema.types[:3], pa.float64(), pa.list_(pa.int32()), pa.int64()]
+            out = []
+            ids, rewards = batch.column("id").to_pylist(), batch.column("reward").to_numpy(zero_copy_only=False)
+            steps = np.clip(np.floor(values + alpha * (rewards[:, None] - values) + 0.5), 1, 10).astype(np.int32)
+            for k, key in enumerate(ids):
+                if held and held[0] == key:
+                    held[4], held[5] = steps[k][held[4] - 1], held[5] + 1
+                else:
+                    if held:
+                        out.append(held)
+                    held = [key, batch.column("ts")[k].as_py(), batch.column("event_id")[k].as_py(), float(rewards[k]), values.astype(np.int32), 1]
+            if out:
+                yield made(out)
+        if held:
+            yield made([held])
+
+    return run
+
+
 def feedback_update(rows: DataFrame, feedback: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """Each reward moves the importance half-way towards it, in order of time, between 1 and 10."""
-    seen = feedback.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "reward"))).alias("seen"))
-    fold = F.aggregate(
-        F.transform("seen", lambda x: x["reward"]), F.col("importance").cast("int"),
-        lambda old, reward: F.least(F.greatest(F.floor(old + F.lit(alpha) * (reward - old) + 0.5).cast("int"), F.lit(1)), F.lit(10)),
-    )
-    return rows.join(seen, "id").select("id", fold.alias("importance"), F.size("seen").alias("feedback_count"))
+    """Each reward moves the importance half-way towards it, in order of time, between 1 and 10.
+
+    What a stretch of rewards does to an importance is a map of ten values to ten after its first reward, and maps of
+    stretches compose. So the events of an id are folded where they lie, and only one map of each range meets in a task.
+    Events without a reward don't count.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in feedback.schema}
+    events = _in_ranges(feedback.filter("reward is not null").withColumn("reward", F.col("reward").cast("double")), "reward").sortWithinPartitions("id", "ts", "event_id", "reward")
+    parts = events.mapInArrow(_composed(alpha), f"id {kinds['id']}, ts {kinds['ts']}, event_id {kinds['event_id']}, first double, onto array<int>, n long")
+    # as many maps of an id as there are ranges at most; its own row comes first
+    place = Window.partitionBy("id").orderBy("ts", "event_id")
+    numbered = parts.withColumn("at", F.row_number().over(place))
+    whole = numbered.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("at", F.struct("first", "onto")))).alias("maps"), F.sum("n").alias("n"))
+    through = lambda v, x: F.element_at(x["onto"], _moved(v, x["first"], alpha))
+    fold = F.aggregate(F.sequence(F.lit(1), F.size("maps")), F.col("importance").cast("int"), lambda v, at: through(v, F.element_at("maps", at)))
+    return rows.join(whole, "id").select("id", fold.alias("importance"), F.col("n").cast("int").alias("feedback_count"))
 
 
 def retrieval_decay(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Counts retrievals and feedback in order; every tenth retrieval without reward lets an importance over 3 sink."""
-    seen = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("seen"))
-    start = F.struct(F.col("importance").cast("int").alias("imp"), F.lit(0).alias("got"), F.lit(0).alias("fed"))
-
-    def step(s: Column, x: Column) -> Column:
-        hit = x["kind"] == "retrieval"
-        got = s["got"] + F.when(hit, 1).otherwise(0)
-        fed = s["fed"] + F.when(hit, 0).otherwise(1)
-        idle = got - 10 * fed
-        sinks = hit & (s["imp"] > 3) & (idle > 0) & (idle % 10 == 0)
-        sunk = F.greatest(F.floor(s["imp"] + F.lit(0.1) * (3 - s["imp"]) + 0.5).cast("int"), F.lit(1))
-        return F.struct(F.when(sinks, sunk).otherwise(s["imp"]).alias("imp"), got.alias("got"), fed.alias("fed"))
-
-    out = rows.join(seen, "id").withColumn("s", F.aggregate("seen", start, step))
-    return out.select("id", F.col("s.imp").alias("importance"), F.col("s.got").alias("retrieval_count"), F.col("s.fed").alias("feedback_count"))
+    """Counts retrievals and feedback in order; every tenth retrieval without reward lets an importance over 3 sink.
+
+    When an importance sinks depends on the counts before alone. Ranges of events are counted first, each range then
+    counts on from those before it, and an id's importance sinks as often as its ranges found.
+    """
+    hit = F.col("kind") == "retrieval"
+    part = stored(_in_ranges(events, "kind").withColumn("part", F.spark_partition_id()))
+    counts = part.groupBy("id", "part").agg(F.count_if(hit).alias("got"), F.count_if(~hit).alias("fed"))
+    earlier = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("id", "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("got", "fed")])
+    running = Window.partitionBy("id", "part").orderBy("ts", "event_id", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    got, fed = (F.col(f"{c}_before") + F.sum(F.when(k, 1).otherwise(0)).over(running) for c, k in (("got", hit), ("fed", ~hit)))
+    idle = part.join(before, ["id", "part"]).withColumn("idle", got - 10 * fed)
+    sinks = idle.groupBy("id").agg(F.count_if(hit & (F.col("idle") > 0) & (F.col("idle") % 10 == 0)).alias("sinks"), F.count_if(hit).alias("got"), F.count_if(~hit).alias("fed"))
+    sunk = lambda v: F.when(v > 3, F.greatest(F.floor(v + F.lit(0.1) * (3 - v) + 0.5).cast("int"), F.lit(1))).otherwise(v)
+    # an int of any size stands still after 256 steps of a tenth each
+    fold = F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(256)), 1, F.least("sinks", F.lit(256)).cast("int")), F.col("importance").cast("int"), lambda v, _: sunk(v))
+    return rows.join(sinks, "id").select("id", fold.alias("importance"), F.col("got").cast("int").alias("retrieval_count"), F.col("fed").cast("int").alias("feedback_count"))
 
 
 def outbox_backlog(outbox: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:

@@ -246,22 +246,30 @@ class Settled(StatefulProcessor):
         self.last = handle.getValueState("last", "fingerprint int, content_hash string, seq long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))
-        newest = arrived.loc[arrived["seq"].idxmax()]
-        due = int(arrived["ts"].max().timestamp() * 1000) + self.window_ms
-        state = (int(newest["fingerprint"]), newest["content_hash"], int(newest["seq"]))
+        arrived = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        state, out = None, []
         if self.last.exists():
-            *old, old_due = self.last.get()
-            self.handle.deleteTimer(old_due)
-            state, due = max(tuple(old), state, key=lambda x: x[2]), max(due, old_due)
-        self.last.update((*state, due))
-        self.handle.registerTimer(due)
-        yield from ()
+            state = self.last.get()
+            self.handle.deleteTimer(state[3])
+        for fingerprint, content_hash, seq, ts in zip(arrived["fingerprint"], arrived["content_hash"], arrived["seq"], arrived["ts"]):
+            at = int(ts.timestamp() * 1000)
+            if state and at >= state[3]:  # it was quiet before this change
+                out.append(state[:3])
+                state = None
+            state = (*max((int(fingerprint), content_hash, int(seq)), tuple(state[:3]) if state else (0, "", -1), key=lambda x: x[2]), max(at + self.window_ms, state[3] if state else 0))
+        self.last.update(state)
+        self.handle.registerTimer(state[3])
+        if out:
+            yield self.settled(key, out)
+
+    @staticmethod
+    def settled(key, changes: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *c) for c in changes], columns=["path", "fingerprint", "content_hash", "seq"]).astype({"fingerprint": "int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fingerprint, content_hash, seq, _ = self.last.get()
+        state = self.last.get()
         self.last.clear()
-        yield pd.DataFrame({"path": [key[0]], "fingerprint": [fingerprint], "content_hash": [content_hash], "seq": [seq]}).astype({"fingerprint": "int32"})
+        yield self.settled(key, [state[:3]])
 
     def close(self) -> None:
         pass
