@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import lists, ranking
+from millrace.operators.trigrams import TrigramIndex
 from millrace.plans.registry import query
+from millrace.sources.shared import new_folder
 from millrace.sources.views import table, view, with_views
 
 AS_OF = "2024-02-15 00:00:00"
@@ -119,6 +121,29 @@ def text_search(spark, sf):
     return ranking.text_search(view(spark, sf, "memories_v"), "tion", "memory", ["content"], _now(), 10).select("id", "project", "score")
 
 
+def _indexed(df, columns, key="id"):
+    return TrigramIndex.build(df, new_folder(df.sparkSession, "trigrams"), columns, key, per_block=64)
+
+
+@query("indexed_text_search", with_views(_TEXT))
+def indexed_text_search(spark, sf):
+    """text_search over the rows that an index of trigrams leaves."""
+    index = _indexed(view(spark, sf, "memories_v"), ["content"])
+    return ranking.text_search(index.containing("tion", ["content"], "id"), "tion", "memory", ["content"], _now(), 10).select("id", "project", "score")
+
+
+@query("indexed_substring_filter", with_views("SELECT id, name FROM skills_v WHERE contains(lower(name), 'part 1') OR contains(lower(description), 'brand#1')"))
+def indexed_substring_filter(spark, sf):
+    index = _indexed(view(spark, sf, "skills_v"), ["name", "description"])
+    return index.containing("Brand#1", ["description"], "id").unionByName(index.containing("part 1", ["name"], "id")).dropDuplicates(["id"]).select("id", "name")
+
+
+@query("indexed_grep_lines", with_views(r"SELECT doc_id, line_no, replace(line, chr(9), '  ') AS line FROM lines_v WHERE regexp_matches(line, '(?i)(?:license|licen[cs]ed) under|[0-9]+ token')"))
+def indexed_grep_lines(spark, sf):
+    index = _indexed(table(spark, sf, "documents"), ["text"], "doc_id")
+    return index.grep("(?:license|licen[cs]ed) under|[0-9]+ token", ignore_case=True).select("doc_id", "line_no", "line")
+
+
 @query("highlight", with_views("SELECT id, CASE WHEN strpos(lower(name), 'zz') > 0 THEN 'never' WHEN strpos(lower(name), 'art') > 0 THEN substr(name, 1, strpos(lower(name), 'art') - 1) || '<mark>' || substr(name, strpos(lower(name), 'art'), 3) || '</mark>' || substr(name, strpos(lower(name), 'art') + 3) ELSE name END AS marked FROM skills_v"))
 def highlight(spark, sf):
     return view(spark, sf, "skills_v").select("id", ranking.highlight("name", ["zz", "art"]).alias("marked"))
