@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.stems import porter2, with_stems
 from millrace.sources.shared import cut, stored
 
 # Synonyms of query terms.
@@ -263,3 +265,27 @@ def tfidf_stemmed(docs: DataFrame, query_terms: Sequence[str], key: str = "doc_i
     total = docs.agg(F.count("*").alias("n_docs"))
     idf = tf.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("stem", (F.ln(F.col("n_docs") / F.col("df")) + 1).alias("idf"))
     return tf.join(idf, "stem").groupBy(key).agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
+
+
+def stemmed_terms(query: str, synonyms: dict[str, list[str]] = SYNONYMS) -> list[str]:
+    """Stems of the query's words, and of their synonyms: words with the same stem have the same synonyms."""
+    of = {}
+    for word, others in synonyms.items():
+        of.setdefault(porter2(word), []).extend(map(porter2, others))
+    words = [porter2(w) for w in re.findall(r"[^\W_]+", query.lower()) if len(w.encode()) > 1]
+    return list(dict.fromkeys([*words, *[s for w in words for s in of.get(w, [])]]))
+
+
+def stemmed_search(docs: DataFrame, query: str, key: str = "doc_id", synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
+    """(key, score) of documents with a word of one of the query's stems or their synonyms: sum of tf / length * (ln(N / df) + 1).
+
+    The different words of all documents are stemmed once; only those with a wanted stem are joined back.
+    """
+    wanted = stemmed_terms(query, synonyms)
+    counts = term_counts(docs, key)
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("length"))
+    vocabulary = with_stems(counts.select("term").distinct()).filter(F.col("stem").isin(wanted))
+    tf = counts.join(vocabulary, "term").groupBy(key, "stem").agg(F.sum("tf").alias("n")).join(lengths, key).withColumn("tf", F.col("n") / F.col("length"))
+    total = docs.agg(F.count("*").alias("n_docs"))
+    idf = tf.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("stem", (F.ln(F.col("n_docs") / F.col("df")) + 1).alias("idf"))  # a row for each wanted stem
+    return tf.join(F.broadcast(idf), "stem").groupBy(key).agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
