@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.schemas import compiled
 from millrace.functions.text import is_json
 
 
@@ -89,6 +92,12 @@ def check_json_schema(actual: str, fields: dict[str, str]) -> Column:
     return ok
 
 
+def matches_json_schema(actual: str, schema: dict | str) -> Column:
+    """Whether an answer is JSON, a code fence around it apart, that meets a JSON Schema."""
+    fenced = rf"try_parse_json(regexp_replace({actual}, '(?s)^\\s*```[a-z]*\\s*(.*?)\\s*```\\s*$', '$1'))"
+    return F.expr(compiled(schema, fenced))
+
+
 def answer_summary(df: DataFrame) -> DataFrame:
     """Counts, pass rate, cost and tokens of rows (passed, tokens, price)."""
     cost = F.round(F.sum(F.col("tokens") * F.col("price") / 1000), 6)
@@ -100,17 +109,71 @@ def snapshot_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("removed")).unionByName(b.exceptAll(a).withColumn("side", F.lit("added")))
 
 
-def json_field_diff(a: DataFrame, b: DataFrame, key: str, column: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """Added, removed and changed fields of JSON objects with the same key; ignored names go at the first level."""
+def _same(a, b) -> bool:
+    """Equality of JSON values: numbers by value, and true is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    return a == b
+
+
+def _json_text(value) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
-    def fields(df: DataFrame, name: str) -> DataFrame:
-        entries = F.map_entries(F.from_json(column, "map<string, string>"))
-        rows = df.select(key, F.explode(entries).alias("e")).select(key, F.col("e.key").alias("field"), F.col("e.value").alias(name))
-        return rows.filter(~F.col("field").isin(*ignore)) if ignore else rows
 
-    both = fields(a, "before").join(fields(b, "after"), [key, "field"], "full_outer")
-    status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
-    return both.withColumn("status", status).filter("status is not null")
+def _differences(a, b, ignore: frozenset[str]) -> Iterator[tuple[str, str | None, str | None, str]]:
+    """(path, before, after, status): objects by name, arrays by index, to any depth."""
+
+    def kept(value):
+        if isinstance(value, dict):
+            return {k: kept(v) for k, v in value.items() if k not in ignore}
+        return [kept(v) for v in value] if isinstance(value, list) else value
+
+    todo = [("", a, b)]
+    while todo:
+        path, x, y = todo.pop()
+        if isinstance(x, dict) and isinstance(y, dict):
+            pairs = [(f"{path}.{k}" if path else k, k in x, k in y, x.get(k), y.get(k)) for k in {**x, **y} if k not in ignore]
+        elif isinstance(x, list) and isinstance(y, list):
+            pairs = [(f"{path}[{k}]", k < len(x), k < len(y), x[k] if k < len(x) else None, y[k] if k < len(y) else None) for k in range(max(len(x), len(y)))]
+        else:
+            x, y = kept(x), kept(y)
+            if not _same(x, y):
+                yield path, _json_text(x), _json_text(y), "changed"
+            continue
+        for at, before, after, v, w in pairs:
+            if before and after:
+                todo.append((at, v, w))
+            elif before:
+                yield at, _json_text(kept(v)), None, "removed"
+            else:
+                yield at, None, _json_text(kept(w)), "added"
+
+
+def json_field_diff(a: DataFrame, b: DataFrame, key: str, column: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """(key, field, before, after, status): what differs between the JSON trees of one key, to any depth.
+
+    Fields are paths such as ``meta.tags[2]``. A branch that one side lacks is one row with its whole text. Names in
+    ``ignore`` are left out at every depth. Strings are shown bare, other values as JSON text with sorted names. A text
+    that is missing or no JSON counts as an empty object. Keys should differ within a side.
+    """
+    left_out = frozenset(ignore)
+    kind = a.schema[key].dataType.simpleString()
+
+    def read(text: str | None):
+        try:
+            value = json.loads(text) if text is not None else None
+        except ValueError:
+            value = None
+        return {} if value is None else value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *d) for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for d in _differences(read(x), read(y), left_out)]
+            types = [batch.schema.field(0).type, *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "field", "before", "after", "status"])
+
+    both = a.select(key, F.col(column).alias("__a")).join(b.select(key, F.col(column).alias("__b")), key, "full_outer")
+    return both.filter(~F.col("__a").eqNullSafe(F.col("__b"))).mapInArrow(run, f"`{key}` {kind}, field string, before string, after string, status string")
 
 
 def quality_checks(df: DataFrame, checks: Sequence[tuple[str, str, str]]) -> DataFrame:

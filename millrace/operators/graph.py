@@ -120,16 +120,54 @@ def clusters(edges: DataFrame) -> DataFrame:
     return components(edges, "src", "dst").withColumnRenamed("component", "cluster")
 
 
+def _climbed(nodes: DataFrame, sums: bool) -> DataFrame:
+    """(uri, up, top, depth) of nodes (uri, parent_uri, leaf), and with ``sums`` size, leaves and height.
+
+    Pointers to ancestors double in each round: after round k ``up`` is the ancestor 2^k steps above, ``top`` the highest
+    one so far and ``depth`` the steps to it, while size, leaves and height take in the descendants within less than 2^k
+    steps. A tree of depth n takes about log2(n) rounds. Nodes in a ring or below one never arrive: when pointers are
+    longer than there are nodes, those left are dropped.
+    """
+    there = nodes.select(F.col("uri").alias("parent_uri"), F.lit(True).alias("there"))
+    start = [F.lit(1).cast("long").alias("size"), F.col("leaf").cast("long").alias("leaves"), F.lit(0).cast("long").alias("height")] if sums else []
+    rows = nodes.join(there, "parent_uri", "left").select("uri", F.when(F.col("there"), F.col("parent_uri")).alias("up"), F.when(F.col("there"), 1).otherwise(0).alias("depth"), *start)
+    rows, n = counted(rows.withColumn("top", F.coalesce("up", "uri")))
+    length = 1
+    while True:
+        (climbing,) = rows.agg(F.count_if(F.col("up").isNotNull())).first()
+        if not climbing or length > n:
+            return rows.filter("up is null")
+        going = rows.filter("up is not null")
+        if sums:  # added up before they are sent, so that a node above most others is no burden
+            below = going.groupBy(F.col("up").alias("uri")).agg(F.sum("size").alias("size_"), F.sum("leaves").alias("leaves_"), (F.max("height") + length).alias("height_"))
+            more = [(F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in ("size", "leaves")]
+            rows = stored(rows.join(below, "uri", "left").select("uri", "up", "depth", *more, F.greatest("height", "height_").alias("height"), "top"))
+            going = rows.filter("up is not null")
+        above = rows.select(F.col("uri").alias("up"), F.col("up").alias("next"), F.col("depth").alias("further"), F.col("top").alias("higher"))
+        kept = [c for c in rows.columns if c not in ("uri", "up", "depth", "top")]
+        moved = going.join(above, "up").select("uri", F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"), *kept, F.col("higher").alias("top"))
+        rows = stored(moved.unionByName(rows.filter("up is null")))  # nodes that have arrived take no part in the join
+        length *= 2
+
+
+def _rooted(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.join(nodes.filter("parent_uri is null").select(F.col("uri").alias("top")), "top", "left_semi")
+
+
 def node_depth(nodes: DataFrame) -> DataFrame:
     """(uri, depth) by parent links, to any depth; nodes below none without a parent are left out, those in a ring too."""
-    front = cut(nodes.filter("parent_uri is null").select("uri", F.lit(0).alias("depth")))
-    out = front
-    for depth in itertools.count(1):
-        front = cut(nodes.select("uri", "parent_uri").join(front.select(F.col("uri").alias("parent_uri")), "parent_uri").select("uri", F.lit(depth).alias("depth")))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+    return _rooted(nodes, _climbed(stored(nodes.select("uri", "parent_uri")), False)).select("uri", "depth")
+
+
+def tree_stats(nodes: DataFrame) -> DataFrame:
+    """(uri, depth, children, size, leaves, height): the nodes and the leaves of the tree below a node, itself included, and its longest way down.
+
+    Nodes below none without a parent are left out, those in a ring too. Uris should differ.
+    """
+    counts = children(nodes)
+    rows = stored(nodes.select("uri", "parent_uri").join(counts, "uri").withColumn("leaf", (F.col("children") == 0).cast("int")))
+    found = _rooted(nodes, _climbed(rows, True))
+    return found.join(rows.select("uri", "children"), "uri").select("uri", "depth", "children", "size", "leaves", "height")
 
 
 def subtree(nodes: DataFrame, uri: str) -> DataFrame:

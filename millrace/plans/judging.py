@@ -205,6 +205,11 @@ def node_depth(spark, sf):
     return graph.node_depth(view(spark, sf, "nodes_v"))
 
 
+@query("tree_stats", with_views("WITH RECURSIVE up(uri, anc, steps) AS (SELECT uri, uri, 0 FROM nodes_v UNION ALL SELECT up.uri, n.parent_uri, up.steps + 1 FROM up JOIN nodes_v n ON n.uri = up.anc WHERE n.parent_uri IS NOT NULL), c AS (SELECT n.uri AS uri, count(m.uri) AS children FROM nodes_v n LEFT JOIN nodes_v m ON m.parent_uri = n.uri GROUP BY n.uri), d AS (SELECT uri, CAST(max(steps) AS INT) AS depth FROM up GROUP BY uri), b AS (SELECT anc AS uri, count(*) AS size, count(*) FILTER (WHERE l.children = 0) AS leaves, CAST(max(steps) AS BIGINT) AS height FROM up JOIN c l ON l.uri = up.uri GROUP BY anc) SELECT c.uri AS uri, depth, children, size, leaves, height FROM c JOIN d ON d.uri = c.uri JOIN b ON b.uri = c.uri"))
+def tree_stats(spark, sf):
+    return graph.tree_stats(view(spark, sf, "nodes_v"))
+
+
 @query("node_subtree", with_views("SELECT uri, name FROM nodes_v WHERE uri = 'node://tpch/ASIA' OR starts_with(uri, 'node://tpch/ASIA/')"))
 def node_subtree(spark, sf):
     return graph.subtree(view(spark, sf, "nodes_v"), "node://tpch/ASIA").select("uri", "name")
@@ -307,6 +312,26 @@ def check_json_schema(spark, sf):
     return table(spark, sf, "events").select("event_id", answer.alias("answer")).select("event_id", evaluation.check_json_schema("answer", {"k": "int"}).alias("ok"))
 
 
+_SCHEMA = {
+    "type": "object", "required": ["user", "items"], "additionalProperties": False,
+    "properties": {
+        "user": {"$ref": "#/$defs/user"}, "kind": {"enum": ["view", "click", None]},
+        "items": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0, "exclusiveMaximum": 5}}, "required": ["n"]}},
+    },
+    "$defs": {"user": {"type": "string", "pattern": "^u[0-9]+$", "maxLength": 3}},
+}
+
+
+@query("json_schema_nested", "SELECT event_id, length('u' || user_id) <= 3 AND coalesce(event_type IN ('view', 'click'), false) AND event_id % 6 < 5 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AS ok FROM events")
+def json_schema_nested(spark, sf):
+    """Answers in code fences against a schema with references, arrays of objects and closed names."""
+    n, number = F.col("event_id"), F.format_string("%s", F.col("event_id") % 6)
+    items = F.when(n % 7 == 0, "[]").when(n % 11 == 0, '[{"n": 1}, {"m": 1}]').otherwise(F.concat(F.lit('[{"n": 0}, {"n": '), number, F.lit(".0}]")))
+    more = F.when(n % 13 == 0, ', "more": 1').otherwise("")
+    answer = F.concat(F.lit('```json\n{"user": "u'), F.col("user_id").cast("string"), F.lit('", "kind": "'), F.col("event_type"), F.lit('", "items": '), items, more, F.lit("}\n```"))
+    return table(spark, sf, "events").select("event_id", answer.alias("answer")).select("event_id", evaluation.matches_json_schema("answer", _SCHEMA).alias("ok"))
+
+
 @query("json_array_in_text", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '[' || props || ', ' || user_id || ']' END AS found FROM events")
 def json_array_in_text(spark, sf):
     array = F.concat(F.lit("["), F.col("props"), F.lit(", "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 5 == 0, ", ]").otherwise("]"))
@@ -340,10 +365,27 @@ def snapshot_diff_rows(spark, sf):
 @query("json_field_diff", "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS before, CAST(user_id AS VARCHAR) AS after, 'changed' AS status FROM events WHERE json_extract_string(props, '$.k') <> CAST(user_id AS VARCHAR)")
 def json_field_diff(spark, sf):
     events = table(spark, sf, "events")
-    after = events.select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("k"), F.lit("x").alias("noise"))).alias("props"))
+    after = events.select("event_id", F.to_json(F.struct(F.col("user_id").alias("k"), F.lit("x").alias("noise"))).alias("props"))
     return evaluation.json_field_diff(events.select("event_id", "props"), after, "event_id", "props", ["noise"])
 
 
+_TREES = """SELECT event_id, 'meta.k' AS field, json_extract_string(props, '$.k') AS before, CAST(user_id AS VARCHAR) AS after, 'changed' AS status FROM events WHERE json_extract_string(props, '$.k') <> CAST(user_id AS VARCHAR)
+UNION ALL SELECT event_id, 'list[1].n', CAST(event_id % 2 AS VARCHAR), CAST(event_id % 3 AS VARCHAR), 'changed' FROM events WHERE event_id % 2 <> event_id % 3
+UNION ALL SELECT event_id, 'list[2]', NULL, '{"tags":["x",null]}', 'added' FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, 'old', '[1,{"y":true}]', NULL, 'removed' FROM events"""
+
+
+@query("json_tree_diff", _TREES)
+def json_tree_diff(spark, sf):
+    """Nested trees: a changed member, a changed element, an added branch and a removed one; noise goes at every depth."""
+    e, text_of = table(spark, sf, "events"), lambda c: c.cast("string")
+    n = F.col("event_id")
+    before = F.concat(F.lit('{"meta": {"k": '), text_of(F.get_json_object("props", "$.k")), F.lit(', "noise": 1, "same": 1.0}, "list": ["a", {"n": '), text_of(n % 2), F.lit('}], "old": [1, {"y": true, "noise": 0}]}'))
+    added = F.when(n % 5 == 0, ', {"tags": ["x", null], "noise": []}').otherwise("")
+    after = F.concat(F.lit('{"list": ["a", {"noise": "z", "n": '), text_of(n % 3), F.lit("}"), added, F.lit('], "meta": {"same": 1, "k": '), text_of(F.col("user_id")), F.lit("}}"))
+    return evaluation.json_field_diff(e.select("event_id", before.alias("j")), e.select("event_id", after.alias("j")), "event_id", "j", ["noise"])
+
+
 @query("quality_checks", "SELECT 'price' AS \"check\", count(*) AS rows, count(*) FILTER (WHERE NOT l_extendedprice > 50000) AS violations FROM lineitem UNION ALL SELECT 'returned', count(*) FILTER (WHERE l_returnflag = 'R'), count(*) FILTER (WHERE l_returnflag = 'R' AND NOT l_quantity < 40) FROM lineitem")
 def quality_checks(spark, sf):
     return evaluation.quality_checks(table(spark, sf, "lineitem"), [("price", "true", "l_extendedprice > 50000"), ("returned", "l_returnflag = 'R'", "l_quantity < 40")])
