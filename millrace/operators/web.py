@@ -55,52 +55,151 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-class _Sections(HTMLParser):
-    """Headings, paragraphs, code, tables, lists and links in page order; menus, scripts and hidden parts are skipped."""
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements whose text is one section, and its kind.
+_WHOLE = {**{f"h{k}": "heading" for k in range(1, 7)}, **dict.fromkeys(("summary", "legend", "figcaption"), "heading"), "p": "paragraph", "blockquote": "paragraph", "pre": "code", "table": "table", "ul": "list", "ol": "list", "dl": "list", "a": "link", "button": "paragraph", "svg": "paragraph"}
+#: A new block ends a paragraph that wasn't closed.
+_BLOCKS = set(_WHOLE) - {"a", "button", "svg"} | {"div", "section", "article", "main", "form", "hr", "fieldset", "details", "figure", "address"}
+_NEVER = {"script", "style", "noscript", "canvas", "map", "template", "object", "embed", "math"}
+_AROUND = {"nav", "footer", "header", "aside"}
 
-    KINDS = {**{f"h{k}": "heading" for k in range(1, 7)}, "p": "paragraph", "pre": "code", "table": "table", "ul": "list", "ol": "list", "blockquote": "paragraph"}
-    SKIP = {"script", "style", "noscript", "nav", "footer", "header", "aside", "template", "svg"}
 
-    def __init__(self):
-        super().__init__()
-        self.out, self.open, self.text, self.skipped = [], None, [], 0
+def _hidden(tag: str, a: dict[str, str | None]) -> bool:
+    style = {k.strip(): v.strip() for k, _, v in (d.partition(":") for d in (a.get("style") or "").split(";"))}
+    shown = style.get("display") != "none" and style.get("visibility") != "hidden" and style.get("opacity") != "0"
+    return not shown or a.get("aria-hidden") == "true" or "hidden" in a or (tag == "dialog" and "open" not in a)
 
-    def close_section(self):
+
+class _Sections(HTMLParser):
+    """Sections of a page in order: (kind, depth of a heading, text)."""
+
+    def __init__(self, around: bool):
+        super().__init__()
+        self.never = _NEVER if around else _NEVER | _AROUND
+        self.out: list[tuple[str, int | None, str]] = []
+        self.stack: list[str] = []
+        self.skip_at = self.hold_at = None  # heights of the stack where a skipped part and a section begin
+        self.held: tuple[str, str, dict] = ("", "", {})
+        self.text: list[str] = []
+        self.title: list[str] | None = None
+
+    def _put(self, kind: str, text: str, depth: int | None = None) -> None:
+        if text:
+            self.out.append((kind, depth, text))
+
+    def _settle(self) -> None:
+        """Ends the open section, or stray text: that counts if it is longer than a few words."""
         text = " ".join("".join(self.text).split())
-        if self.open and text:
-            self.out.append((self.KINDS[self.open], int(self.open[1]) if self.KINDS[self.open] == "heading" else None, text))
-        self.open, self.text = None, []
+        tag, kind, a = self.held
+        self.text = []
+        if self.hold_at is None:
+            self._put("paragraph", text if len(text) > 20 else "")
+            return
+        self.hold_at = None
+        if tag in ("summary", "legend", "figcaption"):
+            text = text and f"[{tag}: {text}]"
+        elif tag == "a":
+            text = text and f"{text} ({a.get('href') or ''})"
+        elif tag == "button" or a.get("role") == "button":
+            text = text and f"[Button: {text}]"
+        elif a.get("role") == "link":
+            text = text and f"{text} (link role)"
+        elif tag == "svg":
+            label = a.get("aria-label") or " ".join("".join(self.title or ()).split())
+            text, self.title = label and f"[Icon: {label}]", None
+        self._put(kind, text, int(tag[1]) if kind == "heading" and tag[0] == "h" else None)
+
+    def _alone(self, tag: str, a: dict[str, str | None]) -> None:
+        """Elements that are a section by what their attributes say."""
+        of = lambda name: a.get(name) or ""
+        if tag == "hr":
+            self._put("paragraph", "---")
+        elif tag == "img":
+            label = of("alt") or of("aria-label")
+            self._put("paragraph", label and f"[Image: {label}]")
+        elif tag in ("input", "textarea", "select") and of("type") != "hidden":
+            said = [f'{n}="{of(n)}"' for n in ("name", "id", "placeholder", "value") if of(n)]
+            self._put("paragraph", f"[Form Element: {' '.join([tag, *said])}]")
+        elif tag == "iframe" and of("src"):
+            self._put("paragraph", f"[Iframe: {of('title')}]({of('src')})" if of("title") else f"[Iframe]({of('src')})")
+        elif tag in ("video", "audio"):
+            self._put("paragraph", f"[{tag}: {of('aria-label') or of('title') or tag}]" + (f"({of('src')})" if of("src") else ""))
+        elif tag == "form":
+            self._put("paragraph", "[Form Start]")
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipped += 1
-        elif tag in self.KINDS and not self.skipped and not (self.open in ("ul", "ol", "table", "pre") and tag in ("p", "ul", "ol")):
-            self.close_section()
-            self.open = tag
-        elif tag in ("li", "td", "th", "tr", "br"):
-            self.text.append(" ")
+        a = dict(attrs)
+        if self.skip_at is None:
+            if self.hold_at is not None and self.held[0] == "p" and tag in _BLOCKS:
+                self.handle_endtag("p")
+            inside = self.hold_at is not None
+            if tag in self.never or _hidden(tag, a):
+                if tag not in _VOID:
+                    self.skip_at = len(self.stack)
+            elif inside:
+                if tag in ("li", "td", "th", "tr", "br", "dt", "dd") or tag in _BLOCKS:
+                    self.text.append(" ")
+                elif tag == "title" and self.held[0] == "svg":
+                    self.title = []
+            else:
+                role = a.get("role") if tag not in ("a", "button") else None
+                if tag in _WHOLE or role in ("button", "link"):
+                    self._settle()
+                    self.hold_at = len(self.stack)
+                    self.held = (tag, {"button": "paragraph", "link": "link"}.get(role) or _WHOLE[tag], a) if role in ("button", "link") else (tag, _WHOLE[tag], {k: v for k, v in a.items() if k != "role"})
+                else:
+                    if tag in _BLOCKS or tag in ("img", "iframe", "video", "audio", "input", "textarea", "select", "body"):
+                        self._settle()
+                    self._alone(tag, a)
+                    if tag in ("iframe", "video", "audio", "textarea", "select"):
+                        self.skip_at = len(self.stack)
+        if tag not in _VOID:
+            self.stack.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag in ("svg", "canvas", "math") or (tag not in _VOID and "svg" in self.stack):
+            self.handle_endtag(tag)  # elsewhere the slash has no meaning
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == self.open:
-            self.close_section()
+        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k] == tag), None)
+        if at is None:
+            return
+        if self.hold_at is not None and at < self.hold_at and self.skip_at is None and tag not in _BLOCKS and tag != "body":
+            return  # an inline end that a section doesn't hold
+        del self.stack[at:]
+        if self.skip_at is not None and at <= self.skip_at:
+            self.skip_at = None
+        if self.hold_at is not None and at <= self.hold_at:
+            self._settle()
+        elif self.hold_at is None and self.skip_at is None and tag in _BLOCKS:
+            self._settle()
 
     def handle_data(self, data):
-        if self.open and not self.skipped:
-            self.text.append(data)
+        if self.skip_at is None:
+            if self.title is not None and self.stack and self.stack[-1] == "title":
+                self.title.append(data)
+            elif self.held[0] != "svg" or self.hold_at is None:
+                if "title" not in self.stack:
+                    self.text.append(data)
+
 
+def html_sections(pages: DataFrame, around: bool = False) -> DataFrame:
+    """(page_id, pos, kind, depth, text): one row for each section of a page, in order.
 
-def html_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, depth, text): one row for each section of a page."""
+    Headings, paragraphs, code, tables, lists and links; images, buttons, form elements, frames and media by their
+    labels; text outside of these if it has more than 20 characters. Hidden parts, scripts and styles go, and menus,
+    headers, footers and sidebars too unless ``around`` keeps them. Null and empty pages have no sections.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for page, html in zip(part["page_id"], part["html"]):
-                parser = _Sections()
+                parser = _Sections(around)
                 parser.feed(html or "")
-                parser.close_section()
+                parser.close()
+                parser._settle()
                 rows += [(page, i, kind, depth, text) for i, (kind, depth, text) in enumerate(parser.out)]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "depth", "text"]).astype({"depth": "Int32"})
 
