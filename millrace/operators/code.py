@@ -39,9 +39,16 @@ def extract_calls(files: DataFrame) -> DataFrame:
 
 
 def outline(symbols: DataFrame, exports_only: bool = False, full: bool = False) -> DataFrame:
-    """(path, id, kind, name, methods): top-level symbols with the methods of each class; plain values only if full."""
+    """(path, id, kind, name, methods): top-level symbols with the methods of each class; plain values only if full.
+
+    Exported are names with a capital in Go files and those without a leading underscore in Python files; elsewhere those
+    that a column ``exported`` marks, or, without that column, those without a leading underscore.
+    """
     rows = symbols if full else symbols.filter(~F.col("kind").isin("var", "const", "field", "prop"))
-    rows = rows.filter(F.col("name").rlike("^[A-Z]") | ~F.col("name").startswith("_")) if exports_only else rows
+    if exports_only:
+        marked = F.coalesce("exported", F.lit(False)) if "exported" in rows.columns else F.lit(False)
+        plain, kind = ~F.col("name").startswith("_"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+        rows = rows.filter(marked | F.when(kind == "go", F.col("name").rlike(r"^\p{Lu}")).when(kind == "py", plain).otherwise(F.lit("exported" not in rows.columns) & plain))
     inner = rows.filter("kind = 'mtd'").withColumn("owner", F.regexp_extract("id", r"^mtd:([^.]*)\.", 1))
     methods = inner.groupBy("path", "owner").agg(F.array_sort(F.collect_list("name")).alias("methods"))
     top = rows.filter("kind <> 'mtd'").withColumn("owner", F.when(F.col("kind") == "cls", F.col("name")))

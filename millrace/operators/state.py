@@ -123,6 +123,27 @@ def outbox_backlog(outbox: DataFrame, as_of: Column, limit: int = 50) -> DataFra
     return due.select("id", "op_type", retry.alias("retry_count"), F.when(retry >= 8, "dead").otherwise("pending").alias("state"), F.pow(F.lit(2), F.least(F.lit(6), retry)).cast("int").alias("delay_s"))
 
 
+def outbox_effects(outbox: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """The outbox after attempts (id, ok, error): done ones, failed ones that wait for their next attempt, and dead letters.
+
+    A failed row waits 2^n seconds after its n-th attempt, for n up to 6, and is dead after eight; its error is cut to
+    800 characters. Several results of one row count as one failure if one of them failed; without a result nothing changes.
+    """
+    tried = results.groupBy("id").agg(F.min("ok").alias("__ok"), F.max_by("error", ~F.col("ok")).alias("__error"))
+    rows = outbox.join(tried, "id", "left")
+    failed, retry = F.coalesce(~F.col("__ok"), F.lit(False)), F.col("retry_count") + 1
+    wait = F.make_dt_interval(secs=F.pow(F.lit(2), F.least(F.lit(6), retry)))
+    status = F.when(F.col("__ok"), "done").when(failed & (retry >= 8), "dead_letter").otherwise(F.col("status"))
+    return rows.withColumns({
+        "status": status, "retry_count": F.when(failed, retry).otherwise(F.col("retry_count")), "next_attempt_at": F.when(failed, as_of + wait).otherwise(F.col("next_attempt_at")),
+        "last_error": F.when(failed, F.substring("__error", 1, 800)),
+    }).drop("__ok", "__error")
+
+
+def outbox_counts(outbox: DataFrame) -> DataFrame:
+    return outbox.groupBy("status").agg(F.count("*").alias("n"), F.max("retry_count").alias("most_retries"))
+
+
 def cdc_latest_state(outbox: DataFrame) -> DataFrame:
     """The last operation of each entity; deleted ones are gone."""
     last = outbox.groupBy("entity_type", "entity_id").agg(F.max_by(F.struct("op_type", "payload"), "id").alias("x"), F.max("id").alias("id"))

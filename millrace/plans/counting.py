@@ -170,6 +170,23 @@ def outbox_backlog(spark, sf):
     return state.outbox_backlog(view(spark, sf, "outbox_v"), _now())
 
 
+_ATTEMPTS = "SELECT id, id % 3 <> 0 AS ok, CASE WHEN id % 3 = 0 THEN repeat('no answer ', 90 + id % 5) END AS error FROM outbox_v WHERE id % 4 <> 1"
+
+
+@query("outbox_effects", with_views(f"SELECT o.id AS id, CASE WHEN ok THEN 'done' WHEN NOT ok AND retry_count + 1 >= 8 THEN 'dead_letter' ELSE 'pending' END AS status, retry_count + CASE WHEN NOT ok THEN 1 ELSE 0 END AS retry_count, CASE WHEN NOT ok THEN TIMESTAMP '{AS_OF}' + to_seconds(CAST(pow(2, least(6, retry_count + 1)) AS INT)) ELSE CAST(next_attempt_at AS TIMESTAMP) END AS next_attempt_at, CASE WHEN NOT ok THEN length(left(error, 800)) END AS error_length FROM outbox_v o LEFT JOIN ({_ATTEMPTS}) a ON a.id = o.id"))
+def outbox_effects(spark, sf):
+    box = view(spark, sf, "outbox_v")
+    results = box.filter("id % 4 <> 1").selectExpr("id", "id % 3 <> 0 as ok", "case when id % 3 = 0 then repeat('no answer ', cast(90 + id % 5 as int)) end as error")
+    return state.outbox_effects(box, results, _now()).select("id", "status", "retry_count", F.col("next_attempt_at").cast("timestamp"), F.length("last_error").alias("error_length"))
+
+
+@query("outbox_counts", with_views(f"SELECT status, count(*) AS n, max(retry_count) AS most_retries FROM (SELECT CASE WHEN ok THEN 'done' WHEN NOT ok AND retry_count + 1 >= 8 THEN 'dead_letter' ELSE 'pending' END AS status, retry_count + CASE WHEN NOT ok THEN 1 ELSE 0 END AS retry_count FROM outbox_v o LEFT JOIN ({_ATTEMPTS}) a ON a.id = o.id) GROUP BY status"))
+def outbox_counts(spark, sf):
+    box = view(spark, sf, "outbox_v")
+    results = box.filter("id % 4 <> 1").selectExpr("id", "id % 3 <> 0 as ok", "cast(null as string) as error")
+    return state.outbox_counts(state.outbox_effects(box, results, _now()))
+
+
 @query("cdc_latest_state", with_views("SELECT entity_type, entity_id, payload, id FROM (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY id DESC) AS r FROM outbox_v) WHERE r = 1 AND op_type <> 'delete'"))
 def cdc_latest_state(spark, sf):
     return state.cdc_latest_state(view(spark, sf, "outbox_v"))

@@ -196,6 +196,19 @@ def git_nodes(spark, sf):
     return commits.select(commit.alias("uri"), F.lit("node://p/git").alias("parent_uri")).union(commits.select(snapshot, commit))
 
 
+_DIFF = "CASE WHEN ascii(right(hash, 1)) % 4 <> 0 THEN '--- a' || chr(10) || '+++ b' || chr(10) || '+' || subject || chr(10) || '-x' || chr(10) || '+y' END"
+_HEAD = "SELECT hash, file, subject, ts, 'package ' || author AS content, " + _DIFF + " AS diff FROM commits_v"
+
+
+@query("git_diff_nodes", with_views(f"WITH h AS ({_HEAD}) SELECT 'node://p/git/commit/' || hash AS uri, 'node://p/git' AS parent_uri, 'git_commit' AS kind, left(hash, 7) AS name, subject AS abstract, left(subject, 40) AS content, NULL AS additions, NULL AS deletions FROM h UNION ALL SELECT 'node://p/git/snapshot/' || hash || '/' || file, 'node://p/git/commit/' || hash, 'git_snapshot', string_split(file, '/')[-1], subject, content, NULL, NULL FROM h UNION ALL SELECT 'node://p/git/diff/' || hash || '/' || file, 'node://p/git/commit/' || hash, 'git_diff', string_split(file, '/')[-1], 'Changed ' || file || ': ' || subject, CASE WHEN length(c) > 60 THEN left(c, 60) || chr(10) || chr(10) || '...TRUNCATED' ELSE c END, CASE WHEN diff IS NULL THEN 0 ELSE 2 END, CASE WHEN diff IS NULL THEN 0 ELSE 1 END FROM (SELECT *, coalesce(diff, '') || chr(10) || chr(10) || '--- AST Summary ---' || chr(10) || chr(10) || content AS c FROM h)"))
+def git_diff_nodes(spark, sf):
+    """Commits, files and diffs as nodes; a diff in four is missing, and contents are cut at 60 characters."""
+    commits = view(spark, sf, "commits_v")
+    files = commits.select("hash", "file", F.concat(F.lit("package "), F.col("author").cast("string")).alias("content"))
+    diffs = commits.filter(F.ascii(F.substring("hash", -1, 1)) % 4 != 0).select("hash", "file", F.concat(F.lit("--- a\n+++ b\n+"), "subject", F.lit("\n-x\n+y")).alias("diff"))
+    return history.git_nodes(commits.select("hash", "subject", "ts"), files, diffs, "p", 60).drop("created_at").withColumn("content", F.when(F.col("kind") == "git_commit", F.substring("content", 1, 40)).otherwise(F.col("content")))
+
+
 @query("resolve_project", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'work' WHEN user_id % 3 = 1 THEN 'u' || user_id ELSE 'deep' END AS project FROM events")
 def resolve_project(spark, sf):
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))

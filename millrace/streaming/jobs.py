@@ -17,24 +17,52 @@ from millrace.sources.keyed import KeyedTable
 RECORD = "command string, exit_code int, duration_ms int, cwd string, timestamp timestamp, project string, output string"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Newline-delimited JSON shell records; a line that doesn't parse keeps its text in _corrupt_record."""
-    lines = spark.readStream.text(path)
-    parsed = F.from_json("value", f"{RECORD}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.select(parsed.alias("r")).select("r.*")
+def read_records(spark: SparkSession, path: str, ends_at_bad_line: bool = False) -> DataFrame:
+    """Newline-delimited JSON shell records; a line that doesn't parse keeps its text in _corrupt_record.
+
+    Each file is a connection. With ``ends_at_bad_line`` its first bad line ends it: that line and those after it are not
+    read. A file is then read as one row, so it has to fit in a task.
+    """
+    parse = lambda line: F.from_json(line, f"{RECORD}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    if not ends_at_bad_line:
+        return spark.readStream.text(path).select(parse("value").alias("r")).select("r.*")
+    whole = spark.readStream.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    bad = F.array_position(F.transform(lines, lambda line: F.coalesce(F.try_parse_json(line).isNull() | ~F.trim(line).startswith("{"), F.lit(True))), True)
+    good = F.when(bad > 0, F.slice(lines, F.lit(1), (bad - 1).cast("int"))).otherwise(lines)
+    return whole.select(F.explode(good).alias("line")).select(parse("line").alias("r")).select("r.*")
 
 
 def redacted(records: DataFrame) -> DataFrame:
-    """Commands and outputs through all layers of redaction; records whose command or output it hollows out go."""
+    """Commands and outputs through all layers of redaction. A record whose command that hollows out goes; an output gives way to a marker."""
     rows = records.filter("_corrupt_record is null and command is not null")
     rows = redact.redact_pipeline(rows, "command", command=True).filter(~F.col("dropped")).drop("dropped", "embedding_safe")
-    rows = redact.redact_pipeline(rows, "output").filter(~F.coalesce("dropped", F.lit(False))).drop("dropped", "embedding_safe")
-    return rows.withColumn("importance", F.lit(5))
+    return redact.redact_pipeline(rows, "output").drop("dropped", "embedding_safe")
+
+
+def append_history(rows: DataFrame, path: str, batch: int, importance: int = 5) -> None:
+    """Appends shell records (project, timestamp, ...) as one batch of the history, with an importance where they have none.
+
+    Each batch number counts once: a batch that is written again takes its own place. Readers of ``path`` get the columns
+    batch, project and day with the rows; records without a project or a time lie in Spark's default partition.
+    """
+    given = F.coalesce(F.col("importance"), F.lit(importance)) if "importance" in rows.columns else F.lit(importance)
+    dated = rows.withColumn("importance", given.cast("int")).withColumn("day", F.to_date("timestamp"))
+    dated.write.mode("overwrite").partitionBy("project", "day").parquet(f"{path}/batch={batch}")
+
+
+def stream_redact_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, markers: DataFrame | None = None, ends_at_bad_line: bool = False) -> StreamingQuery:
+    """Shell records, redacted, to a history. A record without a project gets that of its folder, by ``markers`` (root, marker) and as ``history.resolve_project`` finds it."""
 
+    def take(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if markers is not None:
+            found = history.resolve_project(batch.drop("project").filter("cwd is not null").select("cwd").distinct(), markers).withColumnRenamed("project", "__found")
+            rows = batch.join(found, "cwd", "left").withColumn("project", F.coalesce(F.nullif("project", F.lit("")), "__found")).drop("__found")
+        append_history(rows, sink, number)
 
-def stream_redact_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
-    rows = redacted(read_records(spark, source)).withColumn("day", F.to_date("timestamp"))
-    return rows.writeStream.format("parquet").partitionBy("project", "day").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = redacted(read_records(spark, source, ends_at_bad_line))
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 OUTBOX = "entity_type string, entity_id string, payload string, id long"

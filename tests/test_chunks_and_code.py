@@ -61,3 +61,12 @@ def test_enrichers_that_fail_leave_nulls(spark):
     df = spark.range(3)
     out = chunks.enriched(df, [lambda d: d.withColumn("a", F.lit(1)), lambda d: d.withColumn("b", F.col("missing"))], {"a": "int", "b": "int"})
     assert [(r.a, r.b) for r in out.collect()] == [(1, None)] * 3
+
+
+def test_exports_by_language(spark):
+    names = [(path, f"fn:{n}", "fn", n, n == "_marked") for path in ("a.go", "b.py", "c.ts") for n in ("Big", "small", "_marked", "Élan")]
+    symbols = spark.createDataFrame(names, "path string, id string, kind string, name string, exported boolean")
+    got = {p: sorted(r.name for r in code.outline(symbols, exports_only=True).collect() if r.path == p) for p in ("a.go", "b.py", "c.ts")}
+    assert got == {"a.go": ["Big", "_marked", "Élan"], "b.py": ["Big", "_marked", "small", "Élan"], "c.ts": ["_marked"]}
+    bare = {r.name for r in code.outline(symbols.drop("exported"), exports_only=True).collect() if r.path == "a.go"}
+    assert bare == {"Big", "Élan"}

@@ -46,6 +46,27 @@ def test_ingest(spark, tmp_path):
     assert {r.importance for r in got} == {5}
 
 
+def test_ingest_keeps_hollow_outputs_and_finds_projects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    token = "aB3dE5gH7jK9mN1pQ2sT4vX6"
+    record = lambda **r: json.dumps({"command": "make all of it now", "timestamp": "2024-01-01T00:00:00Z", **r})
+    (tmp_path / "in/a.json").write_text("\n".join([record(cwd="/w/app/src", output=f"{token} {token[::-1]}"), record(cwd="/tmp/deep"), "{bad", record(cwd="/w/app", project="own")]))
+    (tmp_path / "in/b.json").write_text("\n".join([record(cwd="/w/app", project="given"), "[]", record(project="after")]))
+    markers = spark.createDataFrame([("/w/app", "git")], "root string, marker string")
+    jobs.stream_redact_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), markers, ends_at_bad_line=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.project, r.output or "") for r in got) == [("app", "[REDACTED:damage_cap]"), ("deep", ""), ("given", "")]
+    assert {r.importance for r in got} == {5} and {str(r.day) for r in got} == {"2024-01-01"}
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p", None), ("b", None, 7)], "command string, project string, importance int").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    for batch in (0, 1, 1, 0):  # a restart between write and commit sends a batch again
+        jobs.append_history(rows, str(tmp_path / "h"), batch)
+    got = spark.read.parquet(str(tmp_path / "h"))
+    assert sorted((r.batch, r.command, r.importance) for r in got.collect()) == [(0, "a", 5), (0, "b", 7), (1, "a", 5), (1, "b", 7)]
+
+
 def test_projector(spark, sf, tmp_path):
     box = view(spark, sf, "outbox_v")
     jobs.stream_projector(as_stream(spark, box.repartition(3), tmp_path / "in", 3), str(tmp_path / "i"), str(tmp_path / "c"), buckets=4, most_parts=2).awaitTermination()
