@@ -83,13 +83,13 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def labelled_sample(df: DataFrame, each: int, most: int, longest: int = 1 << 16) -> DataFrame:
+def labelled_sample(df: DataFrame, each: int, most: int) -> DataFrame:
     """(doc_id, text, lang): up to ``each`` documents of each language, by a hash of their ids; ``most`` in all, or one of each language.
 
-    Repeated rows count once, and of a longer text ``longest`` characters teach; so rows and bytes of the sample are
-    bounded by the parameters and the number of languages. Rows are first thinned by the hash to about half as many
-    again as wanted, so that no language, however large, comes into one task to be ordered. A row is known by a hash of
-    its id, language and text.
+    Repeated rows count once, whole texts teach; so rows of the sample are bounded by the parameters and the number of
+    languages, and what a row sends to the driver by the number of features. Rows are first thinned by the hash to about
+    half as many again as wanted, so that no language, however large, comes into one task to be ordered. A row is known
+    by a hash of its id, language and text.
     """
     rows = df.filter("lang is not null and text is not null and doc_id is not null").withColumn("row", F.xxhash64("doc_id", "lang", "text"))
     keys = stored(rows.select("lang", "row").distinct())
@@ -99,7 +99,7 @@ def labelled_sample(df: DataFrame, each: int, most: int, longest: int = 1 << 16)
     placed = stored(thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("row", "lang", "place"))
     languages = placed.filter("place = 1").count()
     chosen = placed.orderBy("place", "lang").limit(max(most, languages)).select("row")
-    some = rows.join(F.broadcast(chosen), "row").select("row", "doc_id", "lang", F.substring("text", 1, longest).alias("text"))
+    some = rows.join(F.broadcast(chosen), "row").select("row", "doc_id", "lang", "text")
     return some.groupBy("row").agg(F.first(F.struct("doc_id", "text", "lang")).alias("x")).select("x.*")
 
 
