@@ -23,12 +23,11 @@ KNOWN_TOKENS = [
     ("pem_private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
 ]
 # Arguments that carry secrets; group 1 stays.
-_FLAG = "token|secret|key|password|passwd|pass|auth|credential|api[-_]?key|access[-_]?token|client[-_]?secret"
 ARGUMENTS = [
     ("auth_header", r"""(?i)(-H\s+["']?(?:Authorization|X-[A-Za-z-]*(?:Auth|Key|Token)[A-Za-z-]*):\s*)([^"'\s]+(?:\s+[^"'\s]+)?)""", "auth_header"),
     ("basic_auth", r"(-u\s+)([^\s:]+:[^\s]+)", "basic_auth"),
-    ("sensitive_flag_eq", rf"(?i)(--(?:{_FLAG})=)([^\s]+)", "sensitive_flag"),
-    ("sensitive_flag_sp", rf"(?i)(--(?:{_FLAG})\s+)([^\s]+)", "sensitive_flag"),
+    ("sensitive_flag_eq", r"(?i)(--(?:token|secret|key|password|passwd|pass|auth|credential|api[-_]?key|access[-_]?token|client[-_]?secret)=)([^\s]+)", "sensitive_flag"),
+    ("sensitive_flag_sp", r"(?i)(--(?:token|secret|key|password|passwd|pass|auth|credential|api[-_]?key|access[-_]?token|client[-_]?secret)\s+)([^\s]+)", "sensitive_flag"),
     ("env_prefix", r"(?i)((?:^|[;&|]\s*)[A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|PASSWD|PASS|AUTH|CREDENTIAL|APIKEY|ACCESS_TOKEN|PRIVATE)[A-Z0-9_]*=)([^\s]+)", "env_prefix"),
 ]
 # Programs whose arguments are secret with one of these words.
@@ -37,7 +36,7 @@ RISKY = {
     "gpg": ("--decrypt", "-d", "--export-secret-keys"), "aws": ("configure", "sso"), "gh": ("auth",), "doctl": ("auth",), "gcloud": ("auth",),
 }
 # What moderation looks for.
-INVISIBLE = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{2066}-\\x{2069}\\x{FEFF}\\x{FE00}-\\x{FE0F}]"
+INVISIBLE = r"[\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}\x{FE00}-\x{FE0F}]"
 INJECTION = [
     r"(?i)ignore\s+(?:all\s+)?previous\s+instructions", r"(?i)disregard\s+(?:all\s+)?(?:previous|prior|above)", r"(?i)you\s+are\s+now\s+a",
     r"(?i)override\s+your\s+(?:instructions|rules|guidelines)", r"(?i)forget\s+everything\s+(?:you|and)", r"(?i)new\s+instructions\s*:", r"(?i)system\s+prompt",
@@ -147,19 +146,29 @@ def redact_pipeline(df: DataFrame, column: str, command: bool = False) -> DataFr
     return rows.withColumn("dropped", dropped).withColumn(column, text)
 
 
+# What a warning says.
+WARNINGS = {
+    "invisible": "Invisible unicode characters detected (zero-width, directional override, or variation selector)", "injection": "Possible prompt injection pattern: ", "credential": "Possible exposed credential: ",
+    "personal": "Possible Personally Identifiable Information (PII) detected: ", "system": "Possible system command injection or sensitive file access: ", "web": "Possible web/SQL injection detected: ",
+    "exfiltration": "Possible exfiltration attempt: HTTP tool combined with secret/env variable reference", "encoded": "Suspicious encoded payload: long base64-like string (100+ chars)",
+}
+EXFILTRATION_TOOL = r"(?i)\b(?:curl|wget)\b|fetch\s*\("
+EXFILTRATION_SECRET = r"(?i)\$[A-Z_]*(?:SECRET|KEY|TOKEN|PASSWORD)|process\.env\b|\.env\b"
+LONG_BASE64 = r"[A-Za-z0-9+/=]{100,}"
+
+
 def scan_content(column: str) -> Column:
     """Warnings in order."""
-    c = F.col(column)
+    hit = F.col(column).rlike
     first = F.lit(None).cast("string")
     for p in reversed(INJECTION):
-        first = F.when(c.rlike(p), F.lit(f"Possible prompt injection pattern: {p}")).otherwise(first)
-    found = [F.when(c.rlike(INVISIBLE), "Invisible unicode characters detected"), first]
-    found += [F.when(c.rlike(p), f"Possible exposed credential: {n}") for n, p in CREDENTIALS]
-    found += [F.when(c.rlike(p), f"Possible personal data: {n}") for n, p in PERSONAL]
-    found += [F.when(c.rlike(p), f"Possible system command injection: {p}") for p in SYSTEM]
-    found += [F.when(c.rlike(p), f"Possible web injection: {p}") for p in WEB]
-    tool, secret = r"(?i)\b(?:curl|wget)\b|fetch\s*\(", r"(?i)\$[A-Z_]*(?:SECRET|KEY|TOKEN|PASSWORD)|process\.env\b|\.env\b"
-    found += [F.when(c.rlike(tool) & c.rlike(secret), "Possible exfiltration attempt"), F.when(c.rlike(r"[A-Za-z0-9+/=]{100,}"), "Suspicious encoded payload")]
+        first = F.when(hit(p), F.lit(WARNINGS["injection"] + p)).otherwise(first)
+    found = [F.when(hit(INVISIBLE), WARNINGS["invisible"]), first]
+    found += [F.when(hit(p), WARNINGS["credential"] + n) for n, p in CREDENTIALS]
+    found += [F.when(hit(p), WARNINGS["personal"] + n) for n, p in PERSONAL]
+    found += [F.when(hit(p), WARNINGS["system"] + p) for p in SYSTEM]
+    found += [F.when(hit(p), WARNINGS["web"] + p) for p in WEB]
+    found += [F.when(hit(EXFILTRATION_TOOL) & hit(EXFILTRATION_SECRET), WARNINGS["exfiltration"]), F.when(hit(LONG_BASE64), WARNINGS["encoded"])]
     return F.array_compact(F.array(*found))
 
 

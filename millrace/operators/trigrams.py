@@ -8,171 +8,17 @@ itself. A pattern that needs no trigram reads all texts.
 
 from __future__ import annotations
 
-import re
-import unicodedata
-import warnings
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from re import _constants as kinds
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.patterns import Needs, grams, needs_of, number
 from millrace.operators import scan
 from millrace.operators.lists import quick_filter
 
-#: Sets of alternatives that are multiplied out further count as unknown.
-_MOST = 64
-
-
-@dataclass(frozen=True)
-class Needs:
-    """Trigrams of a match: all of ``of`` (any=False) or one of them (any=True); parts are trigrams or Needs. Nothing is needed if there are none."""
-
-    of: tuple = ()
-    any: bool = False
-
-    @staticmethod
-    def all_of(parts: Sequence) -> Needs:
-        parts = [p for p in parts if not (isinstance(p, Needs) and not p.of)]
-        return parts[0] if len(parts) == 1 and isinstance(parts[0], Needs) else Needs(tuple(dict.fromkeys(parts)))
-
-    @staticmethod
-    def one_of(parts: Sequence) -> Needs:
-        if any(isinstance(p, Needs) and not p.of for p in parts):
-            return Needs()
-        return parts[0] if len(parts) == 1 and isinstance(parts[0], Needs) else Needs(tuple(dict.fromkeys(parts)), True)
-
-    def trigrams(self) -> set[str]:
-        return set().union(*(p.trigrams() if isinstance(p, Needs) else {p} for p in self.of))
-
-    def column(self, held: Column) -> Column:
-        """Whether an array of trigram numbers meets the needs."""
-        tests = [p.column(held) if isinstance(p, Needs) else F.array_contains(held, number(p)) for p in self.of]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out | t if self.any else out & t
-        return out
-
-
-def number(gram: str) -> int:
-    a, b, c = map(ord, gram)
-    return a << 42 | b << 21 | c
-
-
-def grams(text: str) -> Needs:
-    """The needs of a text that has to stand in the lower-cased text as it is."""
-    return Needs.all_of([text[k : k + 3] for k in range(len(text) - 2)])
-
-
-def _stable(c: str) -> str | None:
-    """The lower-case form of a character, if lower-casing any text changes it to that and nothing else to it."""
-    if ord(c) < 128:
-        return c.lower()
-    return c if unicodedata.category(c) == "Lo" and c.lower() == c == c.upper() else None
-
-
-class _Strings:
-    """What a part of a pattern can match: all strings, if they are few, and else their needs so far with the possible beginnings and ends."""
-
-    def __init__(self, exact: frozenset[str] | None = None, needs: Needs = Needs(), head: frozenset[str] = frozenset({""}), tail: frozenset[str] = frozenset({""})):
-        self.exact, self.needs, self.head, self.tail = exact, needs, head, tail
-
-    def ends(self) -> tuple[frozenset[str], frozenset[str]]:
-        if self.exact is None:
-            return self.head, self.tail
-        return self.exact, self.exact
-
-    def whole_needs(self) -> Needs:
-        if self.exact is None:
-            return self.needs
-        return Needs.one_of([grams(x) for x in sorted(self.exact)])
-
-    def then(self, other: _Strings) -> _Strings:
-        if self.exact is not None and other.exact is not None and len(self.exact) * len(other.exact) <= _MOST:
-            return _Strings(frozenset(a + b for a in self.exact for b in other.exact))
-        (head, tail), (next_head, next_tail) = self.ends(), other.ends()
-        across = Needs()
-        if len(tail) * len(next_head) <= _MOST:
-            across = Needs.one_of([grams(a[-2:] + b[:2]) for a in sorted(tail) for b in sorted(next_head)])
-        needs = Needs.all_of([self.whole_needs(), across, other.whole_needs()])
-        if self.exact is not None and len(head) * len(next_head) <= _MOST:
-            head = frozenset(a + b for a in head for b in next_head)
-        if other.exact is not None and len(tail) * len(next_tail) <= _MOST:
-            next_tail = frozenset(a + b for a in tail for b in next_tail)
-        return _Strings(None, needs, head, next_tail)
-
-    def either(self, other: _Strings) -> _Strings:
-        if self.exact is not None and other.exact is not None and len(self.exact | other.exact) <= _MOST:
-            return _Strings(self.exact | other.exact)
-        (a, b), (c, d) = self.ends(), other.ends()
-        few = lambda x: x if len(x) <= _MOST else frozenset({""})
-        return _Strings(None, Needs.one_of([self.whole_needs(), other.whole_needs()]), few(a | c), few(b | d))
-
-
-_ANY, _NOTHING = _Strings(), _Strings(frozenset({""}))
-
-
-def _of_items(items) -> _Strings:
-    out = _NOTHING
-    for kind, value in items:
-        out = out.then(_of(kind, value))
-    return out
-
-
-def _of(kind, value) -> _Strings:
-    if kind is kinds.LITERAL:
-        c = _stable(chr(value))
-        return _ANY if c is None else _Strings(frozenset({c}))
-    if kind is kinds.AT:
-        return _NOTHING
-    if kind is kinds.IN:
-        found = set()
-        for one, v in value:
-            span = range(v, v + 1) if one is kinds.LITERAL else range(v[0], v[1] + 1) if one is kinds.RANGE else ()
-            if not span or len(span) + len(found) > _MOST:
-                return _ANY
-            found |= {_stable(chr(x)) for x in span}
-        return _ANY if None in found else _Strings(frozenset(found))
-    if kind is kinds.SUBPATTERN:
-        return _of_items(value[3])
-    if kind is kinds.BRANCH:
-        out = _of_items(value[1][0])
-        for branch in value[1][1:]:
-            out = out.either(_of_items(branch))
-        return out
-    if kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT):
-        low, high, items = value
-        one = _of_items(items)
-        if low == 0:
-            return one.either(_NOTHING) if high == 1 and one.exact is not None else _ANY
-        out = one
-        for _ in range(min(low, 8) - 1):
-            out = out.then(one)
-        return out if low == high and low <= 8 else out.then(_ANY)
-    if kind is kinds.ATOMIC_GROUP:
-        return _of_items(value)
-    if kind in (kinds.ASSERT, kinds.ASSERT_NOT):
-        return _NOTHING
-    return _ANY
-
-
-def needs_of(pattern: str) -> Needs:
-    """Trigrams of the lower-cased text that every match of a Java regular expression needs; what isn't understood needs none."""
-    odd = re.search(r"\\[vQEpPRXhHGZ0]|&&|\(\?[a-z]*[ux]|\(\?<[A-Za-z]", pattern)
-    if odd:
-        return Needs()
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        try:
-            parsed = _parser.parse(pattern)
-        except (re.error, Warning, OverflowError, RecursionError):
-            return Needs()
-    return _of_items(parsed).whole_needs()
-
 
 def _postings(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
