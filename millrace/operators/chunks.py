@@ -83,7 +83,7 @@ def register_tables(spark: SparkSession) -> None:
     from pyspark.sql.functions import udtf
 
     from millrace.operators.code import DECLARATIONS
-    from millrace.operators.web import _Sections
+    from millrace.operators.web import sections_of
 
     class ChunkText:
         def eval(self, text: str, max_bytes: int):
@@ -91,10 +91,7 @@ def register_tables(spark: SparkSession) -> None:
 
     class PageSections:
         def eval(self, html: str):
-            parser = _Sections()
-            parser.feed(html or "")
-            parser.close_section()
-            for i, (kind, _, text) in enumerate(parser.out):
+            for i, (kind, _, text) in enumerate(sections_of(html)):
                 yield i, kind, text
 
     class SourceSymbols:

@@ -73,7 +73,7 @@ def _hidden(tag: str, a: dict[str, str | None]) -> bool:
 class _Sections(HTMLParser):
     """Sections of a page in order: (kind, depth of a heading, text)."""
 
-    def __init__(self, around: bool):
+    def __init__(self, around: bool = False):
         super().__init__()
         self.never = _NEVER if around else _NEVER | _AROUND
         self.out: list[tuple[str, int | None, str]] = []
@@ -184,6 +184,15 @@ class _Sections(HTMLParser):
                     self.text.append(data)
 
 
+def sections_of(html: str | None, around: bool = False) -> list[tuple[str, int | None, str]]:
+    """(kind, depth of a heading, text) of one page."""
+    parser = _Sections(around)
+    parser.feed(html or "")
+    parser.close()
+    parser._settle()
+    return parser.out
+
+
 def html_sections(pages: DataFrame, around: bool = False) -> DataFrame:
     """(page_id, pos, kind, depth, text): one row for each section of a page, in order.
 
@@ -196,11 +205,7 @@ def html_sections(pages: DataFrame, around: bool = False) -> DataFrame:
         for part in parts:
             rows = []
             for page, html in zip(part["page_id"], part["html"]):
-                parser = _Sections(around)
-                parser.feed(html or "")
-                parser.close()
-                parser._settle()
-                rows += [(page, i, kind, depth, text) for i, (kind, depth, text) in enumerate(parser.out)]
+                rows += [(page, i, kind, depth, text) for i, (kind, depth, text) in enumerate(sections_of(html, around))]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "depth", "text"]).astype({"depth": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, pos int, kind string, depth int, text string")

@@ -190,6 +190,18 @@ def blast_radius(spark, sf):
     return graph.blast_radius(edges, edges.select(F.col("dst").alias("path")).distinct())
 
 
+_SUFFIXES = "a AS (SELECT CAST(n_nationkey AS VARCHAR) AS path FROM nation UNION SELECT 'ion:' || n_nationkey FROM nation WHERE n_nationkey < 4 UNION SELECT 'nation:3' UNION SELECT 'nowhere')"
+
+
+@query("blast_radius_suffixes", with_views(f"WITH {_SUFFIXES}, h AS (SELECT DISTINCT path, src FROM a JOIN flow_edges_v f ON ends_with(f.dst, a.path) WHERE NOT ends_with(f.src, a.path)), n AS (SELECT a.path AS path, count(src) AS affected FROM a LEFT JOIN h ON h.path = a.path GROUP BY a.path) SELECT path, affected, CASE WHEN affected > 10 THEN 'HIGH' WHEN affected > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM n"))
+def blast_radius_suffixes(spark, sf):
+    """Changed paths that are endings of names, of sources too; symbols that end with them themselves are left out."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("n"))
+    more = spark.createDataFrame([("nation:3",), ("nowhere",)], "path string")
+    changed = n.select(F.col("n").alias("path")).union(n.filter("int(n) < 4").select(F.concat(F.lit("ion:"), "n"))).union(more)
+    return graph.blast_radius(view(spark, sf, "flow_edges_v"), changed.distinct())
+
+
 @query("graph_flows", with_views("WITH RECURSIVE f(entry, node, depth) AS (SELECT DISTINCT src, src, 0 FROM flow_edges_v WHERE src NOT IN (SELECT dst FROM flow_edges_v) UNION SELECT entry, dst, depth + 1 FROM f JOIN flow_edges_v e ON e.src = f.node) SELECT entry, node, min(depth) AS depth FROM f GROUP BY entry, node"))
 def graph_flows(spark, sf):
     return graph.flows(view(spark, sf, "flow_edges_v"))

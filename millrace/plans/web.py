@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.redact import SECRET_NAMES
-from millrace.operators import code, history, web
+from millrace.operators import code, history, sessions, similarity, web
 from millrace.plans.registry import query
 from millrace.sources import issues, logs
 from millrace.sources.views import table, view, with_views
@@ -116,6 +116,34 @@ def nav_history(spark, sf):
     return web.nav_history(view(spark, sf, "sessions_v"))
 
 
+def _visits(spark, sf):
+    """Pages of a session over and over: the same addresses with other contents, other addresses with the same ones."""
+    pages = view(spark, sf, "sessions_v")
+    url = F.concat("url", F.lit("#"), (F.col("page_id") % 7).cast("string"))
+    prints = similarity.simhash64(pages, "html")
+    return prints.select((F.col("page_id") % 5).alias("session_id"), "page_id", url.alias("url"), "ts", "simhash", F.octet_length("html").alias("bytes"))
+
+
+@query("session_events")
+def session_events(spark, sf):
+    return sessions.session_events(_visits(spark, sf), 20, 200_000)
+
+
+_VISITS = "v AS (SELECT page_id % 5 AS session_id, page_id, url || '#' || (page_id % 7) AS url, ts FROM sessions_v)"
+
+
+@query("session_open_pages", with_views(f"WITH {_VISITS} SELECT session_id, url, max_by(page_id, ts) AS page_id, CAST(count(*) AS INT) AS revision FROM v GROUP BY session_id, url"))
+def session_open_pages(spark, sf):
+    """Without bounds and near-duplicates: the latest page of each address, its revision the number of visits."""
+    return sessions.open_pages(sessions.session_events(_visits(spark, sf), 10**9, 10**15, -1))
+
+
+@query("session_navigation", with_views(f"WITH {_VISITS}, f AS (SELECT session_id, url, min_by(page_id, ts) AS page_id, min(ts) AS ts FROM v GROUP BY session_id, url) SELECT session_id, page_id, CAST(row_number() OVER w AS INT) AS seq, url, lag(url) OVER w AS referrer FROM f WINDOW w AS (PARTITION BY session_id ORDER BY ts)"))
+def session_navigation(spark, sf):
+    """An event for newly added pages alone."""
+    return sessions.navigation(sessions.session_events(_visits(spark, sf), 10**9, 10**15, -1))
+
+
 @query("summary_per_session", with_views("SELECT session_id, min(ts) AS started, count(*) AS pages, string_agg(url, ' ' ORDER BY ts, page_id) AS urls FROM sessions_v GROUP BY session_id"))
 def summary_per_session(spark, sf):
     return web.summary_per_session(view(spark, sf, "sessions_v"))

@@ -23,11 +23,7 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_sections(case):
     html, want = CASES[case]
-    parser = web._Sections(False)
-    parser.feed(html)
-    parser.close()
-    parser._settle()
-    assert parser.out == want
+    assert web.sections_of(html) == want
 
 
 def test_menus_on_demand_and_odd_pages(spark):
