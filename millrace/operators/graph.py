@@ -154,6 +154,123 @@ def _rooted(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(nodes.filter("parent_uri is null").select(F.col("uri").alias("top")), "top", "left_semi")
 
 
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links (src, dst) of a task: each strongly connected component by its smallest node. Walks with a stack of its own."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    names, code = np.unique(np.concatenate([table.column(k).to_numpy(zero_copy_only=False) for k in range(2)]), return_inverse=True)
+    src, dst = np.split(code.reshape(-1), 2)
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(len(names) + 1)).tolist()
+    dst = dst[order].tolist()
+    seen, low, component = [0] * len(names), [0] * len(names), [-1] * len(names)
+    stack: list[int] = []
+    clock = 0
+    for root in range(len(names)):
+        if seen[root]:
+            continue
+        clock += 1
+        seen[root] = low[root] = clock
+        stack.append(root)
+        path = [(root, first[root])]
+        while path:
+            node, at = path.pop()
+            while at < first[node + 1]:
+                to = dst[at]
+                at += 1
+                if not seen[to]:
+                    path.append((node, at))
+                    clock += 1
+                    seen[to] = low[to] = clock
+                    stack.append(to)
+                    path.append((to, first[to]))
+                    break
+                if component[to] < 0:
+                    low[node] = min(low[node], seen[to])
+            else:
+                if low[node] == seen[node]:
+                    start = len(stack) - 1
+                    while stack[start] != node:
+                        start -= 1
+                    least = min(stack[start:])
+                    for x in stack[start:]:
+                        component[x] = least
+                    del stack[start:]
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+    kind = table.schema.field(0).type
+    yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(names[component], kind)], names=["node", "component"])
+
+
+def strong_components(edges: DataFrame, few: int = 1 << 17) -> DataFrame:
+    """(node, component): the strongly connected component of each node of (src, dst), named by its smallest node.
+
+    Nodes without links in or out are components of their own and go first. What is left is coloured: each node takes the
+    smallest node that reaches it, and those nodes of a colour that reach their colour's node are its component. Links
+    between colours can't be in one. When no more than ``few`` links are left, one task, whose size that bounds, does
+    the rest. Colours take as many rounds as the longest of the shortest ways.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    links, n = counted(edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct())
+    nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).filter("node is not null").distinct())
+    found = None
+    while n > few:
+        before = n
+        ends = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
+        links, n = counted(links.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+        if n <= few or n < 0.9 * before:
+            continue
+        colours = stored(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("colour", F.col("node")))
+        moved = 1
+        while moved:
+            came = links.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("came"))
+            least = F.least("colour", F.coalesce("came", "colour"))
+            colours, moved = counted(colours.join(came, "node", "left").select("node", least.alias("colour"), (least != F.col("colour")).alias("moved")), F.count_if("moved"))
+            colours = colours.select("node", "colour")
+        inside = links.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst")
+        inside = stored(inside.filter("colour = other").select("src", "dst", "colour"))
+        whole = front = stored(colours.filter("node = colour"))
+        while True:  # backwards from each colour's node, within the colour
+            step = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            front, more = counted(step.join(whole.select("node"), "node", "left_anti"))
+            if not more:
+                break
+            whole = stored(whole.unionByName(front))
+        named = whole.select("node", F.col("colour").alias("component"))
+        found = named if found is None else found.union(named)
+        gone = whole.select("node")
+        links, n = counted(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    rest = links.coalesce(1).mapInArrow(_strong, f"node {kind}, component {kind}")
+    found = stored(rest if found is None else found.union(rest))
+    return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def reach(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entry, component) for each component that an entry reaches, its own among them, and the members (node, component).
+
+    Entries are the components that no other one leads to. A ring of many nodes is one row for each entry; ``expanded``
+    makes pairs of nodes of them. The components form no rings, so there are as many rounds as steps on the longest way.
+    """
+    members = stored(strong_components(edges))
+    ends = edges.join(members.toDF("src", "a"), "src").join(members.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b").distinct()
+    ends = stored(ends)
+    entries = members.select("component").distinct().join(ends.select(F.col("b").alias("component")).distinct(), "component", "left_anti")
+    front = seen = stored(entries.select(F.col("component").alias("entry"), "component"))
+    while True:
+        step = front.join(ends, front["component"] == ends["a"]).select("entry", F.col("b").alias("component")).distinct()
+        front, more = counted(step.join(seen, ["entry", "component"], "left_anti"))
+        if not more:
+            return seen, members
+        seen = stored(seen.unionByName(front))
+
+
+def expanded(reached: DataFrame, members: DataFrame) -> DataFrame:
+    """(entry, node): every node that an entry component reaches, under the entry's name."""
+    return reached.join(members, "component").select("entry", "node")
+
+
 def node_depth(nodes: DataFrame) -> DataFrame:
     """(uri, depth) by parent links, to any depth; nodes below none without a parent are left out, those in a ring too."""
     return _rooted(nodes, _climbed(stored(nodes.select("uri", "parent_uri")), False)).select("uri", "depth")

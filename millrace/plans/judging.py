@@ -207,6 +207,18 @@ def graph_flows(spark, sf):
     return graph.flows(view(spark, sf, "flow_edges_v"))
 
 
+_RINGS = "e AS (SELECT src, dst FROM flow_edges_v UNION ALL SELECT 'region:' || r_regionkey, 'region:' || ((r_regionkey + 2) % 4) FROM region WHERE r_regionkey < 4 UNION ALL SELECT 'region:4', 'nation:0')"
+
+
+@query("graph_reach", with_views(f"WITH RECURSIVE {_RINGS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), f(node, other) AS (SELECT node, node FROM n UNION SELECT f.node, e.dst FROM f JOIN e ON e.src = f.other), m AS (SELECT a.node AS node, min(b.node) AS component FROM f a JOIN f b ON a.other = b.node AND b.other = a.node GROUP BY a.node), i AS (SELECT DISTINCT y.component AS component FROM e JOIN m x ON x.node = e.src JOIN m y ON y.node = e.dst WHERE x.component <> y.component) SELECT DISTINCT m.component AS entry, f.other AS node FROM m JOIN f ON f.node = m.node WHERE m.component NOT IN (SELECT component FROM i)"))
+def graph_reach(spark, sf):
+    """What entries reach, through components with rings: regions lead to each other."""
+    r = F.col("r_regionkey")
+    rings = table(spark, sf, "region").filter("r_regionkey < 4").select(F.concat(F.lit("region:"), r.cast("string")).alias("src"), F.concat(F.lit("region:"), ((r + 2) % 4).cast("string")).alias("dst"))
+    edges = view(spark, sf, "flow_edges_v").select("src", "dst").union(rings).union(spark.createDataFrame([("region:4", "nation:0")], "src string, dst string"))
+    return graph.expanded(*graph.reach(edges))
+
+
 @query("graph_clusters", with_views("WITH RECURSIVE l AS (SELECT src AS a, dst AS b FROM edges_v UNION SELECT dst, src FROM edges_v), r(node, other) AS (SELECT a, b FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other) SELECT node, least(node, min(other)) AS cluster FROM r GROUP BY node"))
 def graph_clusters(spark, sf):
     return graph.clusters(view(spark, sf, "edges_v"))
