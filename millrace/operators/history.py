@@ -69,6 +69,10 @@ def resolve_project(records: DataFrame, markers: DataFrame) -> DataFrame:
     return records.join(best, "cwd", "left").withColumn("project", named).drop("p", "g")
 
 
+# Marks in the contents of nodes.
+SUMMARY_MARK, CUT_MARK = "\n\n--- AST Summary ---\n\n", "\n\n...TRUNCATED"
+
+
 def git_nodes(commits: DataFrame, files: DataFrame, diffs: DataFrame, project: str, max_chars: int = 16000) -> DataFrame:
     """Nodes (uri, parent_uri, kind, name, abstract, content, additions, deletions, created_at) of a history.
 
@@ -77,14 +81,14 @@ def git_nodes(commits: DataFrame, files: DataFrame, diffs: DataFrame, project: s
     patch. A file without a diff has a diff node without a text. Contents are cut to ``max_chars`` characters and say so.
     """
     root = f"node://{project}/git"
-    cut_off = lambda c: F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit("\n\n...TRUNCATED"))).otherwise(c)
+    cut_off = lambda c: F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit(CUT_MARK))).otherwise(c)
     commit = F.concat(F.lit(f"{root}/commit/"), "hash")
     place = lambda kind: F.concat(F.lit(f"{root}/{kind}/"), "hash", F.lit("/"), "file")
     nothing, name = F.lit(None).cast("int"), F.element_at(F.split("file", "/"), -1)
     of_commit = commits.select(commit.alias("uri"), F.lit(root).alias("parent_uri"), F.lit("git_commit").alias("kind"), F.substring("hash", 1, 7).alias("name"), F.col("subject").alias("abstract"), F.col("subject").alias("content"), nothing.alias("additions"), nothing.alias("deletions"), F.col("ts").alias("created_at"))
     whole = files.join(commits.select("hash", "subject", "ts"), "hash").join(diff_stats(diffs).select("hash", "file", "diff", "additions", "deletions"), ["hash", "file"], "left")
     patch = F.coalesce("diff", F.lit(""))
-    both = F.when(F.coalesce("content", F.lit("")) != "", F.concat(patch, F.lit("\n\n--- AST Summary ---\n\n"), "content")).otherwise(patch)
+    both = F.when(F.coalesce("content", F.lit("")) != "", F.concat(patch, F.lit(SUMMARY_MARK), "content")).otherwise(patch)
     snapshot = whole.select(place("snapshot").alias("uri"), commit.alias("parent_uri"), F.lit("git_snapshot").alias("kind"), name.alias("name"), F.col("subject").alias("abstract"), cut_off(F.coalesce("content", F.lit(""))).alias("content"), nothing.alias("additions"), nothing.alias("deletions"), F.col("ts").alias("created_at"))
     changed = F.concat(F.lit("Changed "), "file", F.lit(": "), "subject")
     diff = whole.select(place("diff").alias("uri"), commit.alias("parent_uri"), F.lit("git_diff").alias("kind"), name.alias("name"), changed.alias("abstract"), cut_off(both).alias("content"), F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"), F.col("ts").alias("created_at"))

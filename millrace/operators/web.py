@@ -55,6 +55,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+# Elements by kind, and how those without a text of their own are shown below.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose text is one section, and its kind.
 _WHOLE = {**{f"h{k}": "heading" for k in range(1, 7)}, **dict.fromkeys(("summary", "legend", "figcaption"), "heading"), "p": "paragraph", "blockquote": "paragraph", "pre": "code", "table": "table", "ul": "list", "ol": "list", "dl": "list", "a": "link", "button": "paragraph", "svg": "paragraph"}

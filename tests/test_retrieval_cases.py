@@ -2,6 +2,7 @@
 
 import functools
 
+import pytest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +34,19 @@ CASES = [
 PUBLISHED = {"mrr": 0.833, "recall": 0.75, "precision": 0.2, "ndcg": 0.769, "average_precision": 0.75}
 
 
-def test_published_figures(spark):
+def light(texts, query):
+    return similarity.tfidf_stemmed(texts, ranking.query_tokens(query))
+
+
+@pytest.mark.parametrize("find", [light, similarity.stemmed_search])
+def test_published_figures(spark, find):
     texts = spark.createDataFrame(TEXTS, "store string, doc_id string, text string")
     cases = spark.createDataFrame([c[:3] for c in CASES], "case_id string, store string, query string")
     expected = spark.createDataFrame([(c[0], x) for c in CASES for x in c[3]], "case_id string, id string")
 
     def search(cases: DataFrame, k: int) -> DataFrame:
         each = [
-            similarity.tfidf_stemmed(texts.filter(F.col("store") == c.store), ranking.query_tokens(c.query)).select(F.lit(c.case_id).alias("case_id"), F.col("doc_id").alias("id"), "score")
+            find(texts.filter(F.col("store") == c.store), c.query).select(F.lit(c.case_id).alias("case_id"), F.col("doc_id").alias("id"), "score")
             for c in cases.collect()
         ]
         order = Window.partitionBy("case_id").orderBy(F.desc("score"), "id")
