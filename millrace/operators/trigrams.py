@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.patterns import Needs, grams, needs_of, number
 from millrace.operators import scan
@@ -45,25 +46,29 @@ def _postings(kind: str):
 class TrigramIndex:
     """The texts of a table in blocks, and the posting lists of their trigrams, below ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.texts, self.lists = spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/lists")
+    def __init__(self, spark: SparkSession, path: str, texts: StructType | None = None):
+        """``texts`` is the schema of the texts with their block; without it Spark reads it from the files, so an index of no rows needs it."""
+        read = spark.read.schema(texts) if texts is not None else spark.read
+        self.texts = read.parquet(f"{path}/texts")
+        self.lists = spark.read.parquet(f"{path}/lists")
 
     @classmethod
     def build(cls, df: DataFrame, path: str, columns: Sequence[str], key: str = "doc_id", per_block: int = 65_536) -> TrigramIndex:
         """Writes the index. ``columns`` are searched; other columns are kept beside them.
 
         Rows are dealt to blocks by a hash of the key, about ``per_block`` to each; the texts are shuffled once, posting
-        lists are not. Null texts hold nothing. Keys should differ; rows of one key are found together.
+        lists are not. Null texts hold nothing. Keys should differ; rows of one key are found together, rows
+        without a key only by patterns that need no trigram. A column named ``block`` is replaced.
         """
         spark = df.sparkSession
         blocks = max(1, -(-df.count() // per_block))
         placed = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition("block").sortWithinPartitions("block", key)
         placed.write.partitionBy("block").parquet(f"{path}/texts")
-        held = spark.read.parquet(f"{path}/texts")
+        held = spark.read.schema(placed.schema).parquet(f"{path}/texts")
         run, schema = _postings(df.schema[key].dataType.simpleString())
         low = F.lower(F.concat_ws("\n", *[F.col(c) for c in columns]))  # a match lies in one column; trigrams across the border do no harm
         held.select(F.col(key).alias("id"), "block", low.alias("low")).mapInArrow(run, schema).sortWithinPartitions("gram", "block").write.parquet(f"{path}/lists")
-        return cls(spark, path)
+        return cls(spark, path, placed.schema)
 
     def candidates(self, needs: Needs) -> DataFrame:
         """(block, id) of the texts that hold the needed trigrams."""
