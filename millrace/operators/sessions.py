@@ -31,7 +31,7 @@ class OpenPages:
     def add(self, page_id: int, url: str, print_: int, size: int) -> list[tuple[int, str, str, int, int]]:
         """The events of one more page: duplicate, updated or added, and evicted ones."""
         old = self.held.get(url)
-        if self._alike(old[1], print_) if old else any(self._alike(v[1], print_) for v in self.held.values()):
+        if self.max_bits >= 0 and (self._alike(old[1], print_) if old else any(self._alike(v[1], print_) for v in self.held.values())):
             return [self._event(page_id, url, "duplicate", 0)]
         revision = old[2] + 1 if old else 1
         self.held[url] = (page_id, print_, revision, size)
