@@ -40,3 +40,25 @@ def test_without_near_duplicates_a_page_is_compared_with_none(monkeypatch):
     pages = sessions.OpenPages((), 0, 10**9, 10**15, -1)
     events = [pages.add(k, f"u{k % 50}", 0, 10)[0] for k in range(200)]
     assert not asked and [e[2] for e in events] == ["added"] * 50 + ["updated"] * 150 and events[-1][3] == 4
+
+
+def test_cases_judged_by_label_make_no_list_of_expected_rows(spark):
+    """Rows with one label were joined with all cases of it; the metrics are the same."""
+    from millrace.operators import evaluation
+
+    labels = spark.createDataFrame([(k, None if k == 9 else f"l{k % 3}" if k < 30 else f"own{k}") for k in range(32)], "id long, label string")
+    found = spark.createDataFrame([(c, (c + 7 * r) % 32, r) for c in (0, 9, 15, 30) for r in range(1, 8)], "case_id long, id long, rank int")
+    cases = labels.filter("id in (0, 9, 15, 30)")
+    expected = cases.withColumnRenamed("id", "case_id").join(labels, "label").filter("id <> case_id").select("case_id", "id")
+    wanted = evaluation.wanted_by_label(cases, labels)
+    got = evaluation.judged_metrics(evaluation.judged_by_label(found, labels), wanted, 5)
+    assert sorted(got.collect()) == sorted(evaluation.metrics(found, expected, 5).collect()) and {r.case_id: r.wanted for r in wanted.collect()} == {0: 8, 15: 8}
+
+
+def test_a_block_of_queries_is_scored_in_steps(spark):
+    """All ties and non-finite vectors come out as in one step."""
+    rows = spark.createDataFrame([(k, [float(k % 4), float(k % 3), 1.0] if k % 11 else [float("nan"), 0.0, 0.0]) for k in range(60)], "id long, vec array<float>")
+    one, few = (sorted(tuple(r)[:2] + (round(r.score, 9), r.rank) for r in similarity.knn_cosine(rows, rows, 5, step=s).collect()) for s in (1000, 7))
+    assert one == few and len(few) == 5 * 54
+    one, few = (sorted((r.a, r.b) for r in similarity.pairs_cosine_ge(rows, 0.9, step=s).collect()) for s in (1000, 7))
+    assert one == few and few
