@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import stored
+
 # Weights of vector, keyword, recency, importance and churn for each store.
 WEIGHTS = {
     "memory": {"vector": 0.6, "keyword": 0.2, "recency": 0.05, "importance": 0.15, "churn": 0.0},
@@ -155,28 +161,70 @@ def hybrid_search(
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def route_prompts(prompts: DataFrame, memories: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _prefixes(sets: DataFrame, words: str, common: list[int], threshold: float) -> DataFrame:
+    """(key, size, token, pos, short) of the first words of sets in a fixed order, the common ones last.
+
+    ``short`` says whether a larger set with enough in common must share this part alone.
+    """
+    order = np.array(common, np.int64)
+    by = np.argsort(order, kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                lists = batch.column("tokens")
+                size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                place = np.minimum(np.searchsorted(order, tokens, sorter=by), max(0, len(order) - 1))
+                rank = np.where(order[by[place]] == tokens, len(order) - by[place], 0) if len(order) else np.zeros(len(tokens), np.int64)
+                sorted_ = np.lexsort((tokens, rank, row))
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+                n = size[row]
+                keep = pos < n - np.ceil(n * threshold - 1e-9) + 1
+                short = pos < n - np.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+                key = batch.column("key").take(pa.array(row[keep]))
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(c) for c in (n[keep], tokens[sorted_][keep], pos[keep], short[keep]))], names=["key", "size", "token", "pos", "short"])
+
+    return sets.select("key", F.transform(words, lambda w: F.xxhash64(w)).alias("tokens")).mapInArrow(run, "key string, size long, token long, pos long, short boolean")
+
+
+def route_prompts(prompts: DataFrame, memories: DataFrame, threshold: float = 0.85, common: int = 1 << 17) -> DataFrame:
     """(prompt_id, op, target, importance): update a memory with nearly the same words, else create by what is said.
 
-    Candidates share at least one of the prompt's rarest words: to reach the threshold, two sets must share one of the
-    first |set| - ceil(threshold * |set|) + 1 words in any fixed order, here rarest first.
+    Equal sets of words are one, and a prompt with a memory of its own set is decided by that. Other candidates share
+    one of the first |set| - ceil(threshold * |set|) + 1 words in a fixed order, here the ``common`` most frequent ones
+    last; of the smaller set even the first |set| - ceil(2 threshold / (1 + threshold) |set|) + 1. Sizes and places of
+    the shared word must allow enough words in common; then the whole sets decide.
     """
     from millrace.operators.similarity import jaccard, word_set
 
-    m = memories.select("id", word_set("content").alias("w"))
-    p = prompts.select("prompt_id", "prompt", word_set("prompt").alias("v"))
-    counts = m.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-    def prefix(df: DataFrame, key: str, words: str) -> DataFrame:
-        rare = df.select(key, F.size(words).alias("size"), F.explode(words).alias("word")).join(counts, "word", "left")
-        ordered = rare.groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"))
-        first = F.slice("o", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
-        return ordered.select(key, F.explode(first).alias("x")).select(key, F.col("x.word").alias("word"))
-
-    pairs = prefix(p, "prompt_id", "v").join(prefix(m, "id", "w"), "word").select("prompt_id", "id").distinct()
-    scored = pairs.join(p, "prompt_id").join(m, "id").withColumn("score", jaccard("v", "w")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("prompt_id").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("target"))
+    identity = lambda w: F.sha2(F.array_join(F.array_sort(w), "\n"), 256)
+    m = stored(memories.select("id", word_set("content").alias("w")).filter(F.size("w") > 0).withColumn("key", identity("w")))
+    p = stored(prompts.select("prompt_id", "prompt", word_set("prompt").alias("v")).withColumn("key", identity("v")))
+    targets = m.groupBy("key").agg(F.min("id").alias("id"))
+    equal = p.select("prompt_id", "key").join(targets, "key").select("prompt_id", F.col("id").alias("target"))
+    open_ = p.filter(F.size("v") > 0).join(targets, "key", "left_anti").groupBy("key").agg(F.min("prompt_id").alias("prompt_id"))
+    ms = stored(m.join(targets, ["key", "id"]).dropDuplicates(["key"]).select("key", "id", "w"))
+    ps = stored(p.join(open_, ["key", "prompt_id"]).dropDuplicates(["key"]).select("key", "v"))
+
+    frequent = ms.select(F.explode("w").alias("word")).groupBy(F.xxhash64("word").alias("token")).count().orderBy(F.desc("count"), "token").limit(common)
+    ranks = [r["token"] for r in frequent.collect()]
+    width = max(-math.log(threshold), 1e-6) * (1 + 1e-9)  # sizes that fit lie on the same level or the next
+    level = F.floor(F.log("size") / width).cast("int")
+    left = _prefixes(ps, "v", ranks, threshold).withColumn("level", F.explode(F.array(level - 1, level, level + 1)))
+    right = _prefixes(ms, "w", ranks, threshold).withColumn("level", level)
+    x, y = left.alias("x"), right.alias("y")
+    n, k = F.col("x.size"), F.col("y.size")
+    shared = F.ceil((n + k) * (threshold / (1 + threshold)) - 1e-6)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level"))
+    fits = (n * threshold <= k + 1e-6) & (k * threshold <= n + 1e-6) & F.when(n <= k, F.col("x.short")).otherwise(F.col("y.short")) & (1 + F.least(n - 1 - F.col("x.pos"), k - 1 - F.col("y.pos")) >= shared)
+    pairs = x.join(y, met & fits).select(F.col("x.key").alias("key"), F.col("y.key").alias("other")).distinct()
+    scored = pairs.join(ps, "key").join(ms.select(F.col("key").alias("other"), "id", "w"), "other").withColumn("score", jaccard("v", "w")).filter(F.col("score") >= threshold)
+    near = scored.groupBy("key").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("target"))
+    best = equal.unionByName(p.select("prompt_id", "key").join(near, "key").select("prompt_id", "target"))
     low = F.lower("prompt")
     op = F.when(F.col("target").isNotNull(), "update_memory").when(low.contains("remember"), "create_memory").when(low.contains("skill"), "create_skill").otherwise("create_memory")
     importance = F.when(F.col("target").isNull() & low.contains("remember"), 5).when(F.col("target").isNull() & ~low.contains("skill"), 4)
-    return p.join(best, "prompt_id", "left").select("prompt_id", op.alias("op"), "target", importance.alias("importance"))
+    return p.select("prompt_id", "prompt").join(best, "prompt_id", "left").select("prompt_id", op.alias("op"), "target", importance.alias("importance"))
