@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -194,6 +194,19 @@ def sections_of(html: str | None, around: bool = False) -> list[tuple[str, int |
     return parser.out
 
 
+def _frames(parts: Iterable[pd.DataFrame], around: bool, most: int = 4096) -> Iterator[pd.DataFrame]:
+    """The sections of batches of pages, a frame as soon as there are ``most``: what is held is that and the sections of one page."""
+    frame = lambda rows: pd.DataFrame(rows, columns=["page_id", "pos", "kind", "depth", "text"]).astype({"depth": "Int32"})
+    for part in parts:
+        rows = []
+        for page, html in zip(part["page_id"], part["html"]):
+            rows += [(page, i, kind, depth, text) for i, (kind, depth, text) in enumerate(sections_of(html, around))]
+            if len(rows) >= most:
+                yield frame(rows)
+                rows = []
+        yield frame(rows)
+
+
 def html_sections(pages: DataFrame, around: bool = False) -> DataFrame:
     """(page_id, pos, kind, depth, text): one row for each section of a page, in order.
 
@@ -203,11 +216,7 @@ def html_sections(pages: DataFrame, around: bool = False) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for page, html in zip(part["page_id"], part["html"]):
-                rows += [(page, i, kind, depth, text) for i, (kind, depth, text) in enumerate(sections_of(html, around))]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "depth", "text"]).astype({"depth": "Int32"})
+        yield from _frames(parts, around)
 
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, pos int, kind string, depth int, text string")
 
