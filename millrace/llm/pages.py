@@ -12,12 +12,14 @@ inside an article where these words are all that the class says.
 from __future__ import annotations
 
 import html as references
+import math
 import re
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,74 +213,220 @@ def rebuilt(packed: bytes) -> list[Bone]:
     return bones
 
 
-def tree_match(a: Bone, b: Bone, found: list[tuple[Bone, Bone]], wide: int = 64, most: int = 50_000) -> float:
+class _Forms:
+    """Elements numbered by their form: tag, text and the forms of the kids. A form's kids have smaller numbers."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.tag: list[int] = []
+        self.text: list[int] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.plain: list[int] = []  # the form without texts
+        self.texts: list[frozenset[int] | None] = []  # those in and below a form, None where there are many
+
+    def number(self, tag: int, text: int, kids: tuple[int, ...]) -> int:
+        form = self.known.get((tag, text, kids))
+        if form is None:
+            bare = (tag, 0, tuple([self.plain[k] for k in kids]))
+            plain = self.number(*bare) if bare != (tag, text, kids) else None
+            form = self.known[tag, text, kids] = len(self.tag)
+            held = [self.texts[k] for k in set(kids)]
+            texts = None if None in held or sum(map(len, held)) > 64 else frozenset([text] if text else []).union(*held)
+            for column, value in ((self.tag, tag), (self.text, text), (self.kids, kids), (self.plain, form if plain is None else plain), (self.texts, texts)):
+                column.append(value)
+        return form
+
+    def below(self, form: int) -> list[int]:
+        """The form and those below it, kids first."""
+        seen, left = {form}, [form]
+        while left:
+            new = set(self.kids[left.pop()]) - seen
+            seen |= new
+            left += new
+        return sorted(seen)
+
+    def keeping(self, form: int, texts: set[int], done: dict[int, int]) -> int:
+        """The form with no other texts than these."""
+        if form not in done:
+            for f in self.below(form):
+                if f not in done:
+                    done[f] = self.number(self.tag[f], self.text[f] if self.text[f] in texts else 0, tuple([done[k] for k in self.kids[f]]))
+        return done[form]
+
+    def pair(self, x: int, y: int) -> tuple[int, int]:
+        """A pair of the same weight: texts count only where both have them."""
+        s, t = self.texts[x], self.texts[y]
+        return (x, y) if s is None or t is None or not s.isdisjoint(t) else (self.plain[x], self.plain[y])
+
+    def deep(self, x: int, y: int) -> bool:
+        return self.tag[x] == self.tag[y] and bool(self.kids[x]) and bool(self.kids[y])
+
+    def weight(self, x: int, y: int, known: dict[tuple[int, int], float]) -> float:
+        if self.tag[x] != self.tag[y]:
+            return 0
+        return known[self.pair(x, y)] if self.kids[x] and self.kids[y] else 1.5 if self.text[x] and self.text[x] == self.text[y] else 1
+
+
+class _Rows:
+    """The kids of two forms, each compared with each. ``needs`` are the pairs whose weights come first."""
+
+    def __init__(self, forms: _Forms, x: int, y: int):
+        self.forms, self.xs, self.ys = forms, forms.kids[x], forms.kids[y]
+        self.needs = {forms.pair(u, v) for u in set(self.xs) for v in set(self.ys) if forms.deep(u, v)}
+
+    def best(self, known: dict[tuple[int, int], float]) -> float:
+        return self._sums(known)[-1][-1]
+
+    def _sums(self, known: dict[tuple[int, int], float]) -> list[list[float]]:
+        weights = {u: [self.forms.weight(u, v, known) for v in self.ys] for u in set(self.xs)}
+        sums = [[0.0] * (len(self.ys) + 1)]
+        for u in self.xs:
+            above = sums[-1]
+            best = 0.0
+            row = [best]
+            for j, own in enumerate(weights[u]):
+                best = max(above[j + 1], best, above[j] + own)
+                row.append(best)
+            sums.append(row)
+        return sums
+
+    def matches(self, known: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+        """Places of the kids that are paired, the last first."""
+        return _traced(self._sums(known), len(self.ys))[0]
+
+
+def _traced(sums, j: int) -> tuple[list[tuple[int, int]], int]:
+    """Pairs (row, place) of the best sum up to place j, and the place that the first row leaves."""
+    i, out = len(sums) - 1, []
+    while i > 0 and j > 0:
+        if sums[i][j] == sums[i - 1][j]:
+            i -= 1
+        elif sums[i][j] == sums[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out, j
+
+
+class _WideRows(_Rows):
+    """The same for long rows of kids.
+
+    Kids that share a rare text are compared as they are; all others weigh as much as without rare texts, and of those
+    forms there are few. Sums are built by rows of numbers; every so many of them one is kept, from which the way back
+    is found again.
+    """
+
+    def __init__(self, forms: _Forms, x: int, y: int):
+        self.forms, self.xs, self.ys = forms, forms.kids[x], forms.kids[y]
+        ours, theirs = ({k: {forms.text[f] for f in forms.below(k)} - {0} for k in set(row)} for row in (self.xs, self.ys))
+        times, others = (Counter(t for held in side.values() for t in held) for side in (ours, theirs))  # among different forms
+        rare = {t for t, n in times.items() if 0 < n * others[t] <= max(len(self.xs), len(self.ys))}
+        often, done = set(times) & set(others) - rare, {}
+        holders = defaultdict(list)
+        for v, held in theirs.items():
+            for t in held & rare:
+                holders[t].append(v)
+        self.alike = {u: {v for t in held & rare for v in holders[t] if forms.tag[v] == forms.tag[u]} for u, held in ours.items()}
+        self.lesser = {k: forms.keeping(k, often, done) for k in ours.keys() | theirs.keys()}
+        mine, yours = ({self.lesser[k] for k in side} for side in (ours, theirs))
+        self.needs = {forms.pair(u, v) for u in mine for v in yours if forms.deep(u, v)}
+        self.needs |= {forms.pair(u, v) for u, some in self.alike.items() for v in some if forms.deep(u, v)}
+        kinds = sorted(yours)
+        place = {v: k for k, v in enumerate(kinds)}
+        self.kinds, self.kind_at = kinds, np.array([place[self.lesser[v]] for v in self.ys])
+        at = defaultdict(list)
+        for j, v in enumerate(self.ys):
+            at[v].append(j)
+        self.at = {v: np.array(places) for v, places in at.items()}
+        self.last: tuple[int, np.ndarray | None] = (-1, None)
+        self.own: tuple[int, np.ndarray | None] = (-1, None)
+
+    def _next(self, above: np.ndarray, i: int, known: dict[tuple[int, int], float]) -> np.ndarray:
+        """The sums of another row, doubled, as whole numbers."""
+        u, forms = self.xs[i], self.forms
+        if self.own[0] != u:
+            less = self.lesser[u]
+            if self.last[0] != less:
+                self.last = (less, np.array([2 * forms.weight(less, v, known) for v in self.kinds]).astype(np.int64)[self.kind_at])
+            own = self.last[1].copy() if self.alike[u] else self.last[1]
+            for v in self.alike[u]:
+                own[self.at[v]] = 2 * forms.weight(u, v, known)
+            self.own = (u, own)
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + self.own[1], out=row[1:])
+        return np.maximum.accumulate(row, out=row)
+
+    def _kept(self, known: dict[tuple[int, int], float]) -> tuple[int, list[np.ndarray]]:
+        every, kept = math.isqrt(len(self.xs)) + 1, []
+        row = np.zeros(len(self.ys) + 1, np.int64)
+        for i in range(len(self.xs)):
+            if i % every == 0:
+                kept.append(row)
+            row = self._next(row, i, known)
+        return every, kept
+
+    def best(self, known: dict[tuple[int, int], float]) -> float:
+        row = np.zeros(len(self.ys) + 1, np.int64)
+        for i in range(len(self.xs)):
+            row = self._next(row, i, known)
+        return float(row[-1]) / 2
+
+    def matches(self, known: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+        every, kept = self._kept(known)
+        j, out = len(self.ys), []
+        for block in reversed(range(len(kept))):
+            sums, lo = [kept[block]], block * every
+            for i in range(lo, min(lo + every, len(self.xs))):
+                sums.append(self._next(sums[-1], i, known))
+            some, j = _traced(sums, j)
+            out += [(lo + i, at) for i, at in some]
+        return out
+
+
+def tree_match(a: Bone, b: Bone, found: list[tuple[Bone, Bone]]) -> float:
     """Simple tree matching: the most pairs that keep parents and the order of siblings. Appends them to found.
 
-    Siblings are compared with those near the same share of the way along the other row of siblings: with all up to
-    ``wide`` of them, with fewer the more there are. Once ``most`` pairs have been compared, only the nearest is. So
-    the work grows with the elements of the pages and not with the square of a long table.
+    Every kid is compared with every kid of the other element, however many there are. A pair of forms is weighed once;
+    texts that only one page has make no forms of their own. Long rows of siblings take the square of their length in
+    additions, and the memory of its square root of rows.
     """
     if a.tag != b.tag:
         return 0
-    weight: dict[tuple[int, int], float] = {}  # of each pair of elements that were compared
-    tables: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}  # for each row the first place and the best sums from there on
-    compared = 0
-
-    def reach(m: int, n: int) -> int:
-        return max(m, n) if max(m, n) <= wide and compared < most else 1 if compared >= most else max(1, wide * wide // (2 * max(m, n)))
-
-    left: list[tuple[Bone, Bone, list | None]] = [(a, b, None)]
-    while left:  # a pair is scored after all pairs of its kids
-        x, y, ready = left.pop()
-        m, n = len(x.kids), len(y.kids)
+    forms, of = _Forms(), {}
+    pages = [[a], [b]]
+    for page in pages:
+        for x in page:
+            page += x.kids
+    shared = {x.text for x in pages[0]} & {y.text for y in pages[1]}
+    for page in pages:
+        for x in reversed(page):  # kids before parents
+            of[id(x)] = forms.number(x.tag, x.text if x.text in shared else 0, tuple([of[id(k)] for k in x.kids]))
+
+    def rows(x: int, y: int) -> _Rows:
+        return (_WideRows if len(forms.kids[x]) * len(forms.kids[y]) > 4096 else _Rows)(forms, x, y)
+
+    known: dict[tuple[int, int], float] = {}
+    root = forms.pair(of[id(a)], of[id(b)])
+    left: list[tuple[tuple[int, int], _Rows | None]] = [(root, None)]
+    while left:  # a pair is weighed after all pairs of its kids
+        pair, ready = left.pop()
+        if pair in known:
+            continue
+        x, y = pair
         if ready is None:
-            near = reach(m, n)
-            spans = [(max(0, (i * n) // m - near), min(n, (i * n) // m + near + 1)) for i in range(m)] if n else []
-            left.append((x, y, spans))
-            for kid, (lo, hi) in zip(x.kids, spans):
-                compared += hi - lo
-                if kid.kids:
-                    left += [(kid, other, None) for other in y.kids[lo:hi] if other.tag == kid.tag and other.kids]
+            ready = rows(x, y)
+            left.append((pair, ready))
+            left += [(p, None) for p in ready.needs if p not in known]
             continue
-        rows: list[tuple[int, list[float]]] = [(0, [0.0] * (n + 1))] if m and n else []
-        for kid, (lo, hi) in zip(x.kids, ready):
-            start, above = rows[-1]
-            if start < lo or start + len(above) < hi + 1:  # the row above over this row's places
-                above = [above[min(max(j - start, 0), len(above) - 1)] for j in range(lo, hi + 1)]
-            else:
-                above = above[lo - start : hi - start + 1]
-            best, tag, text = above[0], kid.tag, kid.text
-            row = [best]
-            for k, other in enumerate(y.kids[lo:hi]):
-                best = max(above[k + 1], best)
-                if tag == other.tag:
-                    own = weight[id(kid), id(other)] if kid.kids and other.kids else 1.5 if text and text == other.text else 1
-                    best = max(best, above[k] + own)
-                row.append(best)
-            rows.append((lo, row))
-        tables[id(x), id(y)] = rows
-        weight[id(x), id(y)] = (rows[-1][1][-1] if rows else 0) + 1 + (0.5 if x.text == y.text and x.text else 0)
+        known[pair] = ready.best(known) + (1.5 if forms.text[x] and forms.text[x] == forms.text[y] else 1)
     pairs = [(a, b)]
     while pairs:
         x, y = pairs.pop()
         found.append((x, y))
-        rows = tables.get((id(x), id(y)), [])
-        i, j = len(rows) - 1, len(y.kids)
-        while i > 0 and j > 0:
-            (lo, row), (start, above) = rows[i], rows[i - 1]
-            j = min(j, lo + len(row) - 1)
-            if j <= lo:
-                i -= 1
-                continue
-            here, up = row[j - lo], above[min(max(j - start, 0), len(above) - 1)]
-            if here == up:
-                i -= 1
-            elif here == row[j - lo - 1]:
-                j -= 1
-            else:
-                pairs.append((x.kids[i - 1], y.kids[j - 1]))
-                i, j = i - 1, j - 1
-    return weight[id(a), id(b)]
+        if x.kids and y.kids:
+            pairs += [(x.kids[i], y.kids[j]) for i, j in rows(*forms.pair(of[id(x)], of[id(y)])).matches(known)]
+    return known[root]
 
 
 HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
