@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -157,9 +158,40 @@ EXFILTRATION_SECRET = r"(?i)\$[A-Z_]*(?:SECRET|KEY|TOKEN|PASSWORD)|process\.env\
 LONG_BASE64 = r"[A-Za-z0-9+/=]{100,}"
 
 
+# What every match holds, by pattern: of each group one at least. Patterns without regard to case look in the
+# text in lower case. A text that lacks one is not searched.
+NEEDED = dict(zip(INJECTION, [
+    [["ignore"], ["previous"], ["instructions"]], [["disregard"]], [["you"], ["are"], ["now"]], [["override"]], [["forget"], ["everything"]], [["new"], ["instructions"]], [["system"], ["prompt"]],
+    [["print"], ["instructions"]], [["reveal"], ["prompt"]], [["anything"]], [["simulate"]], [["developer"], ["mode"]], [["bypass"]], [["ignore"], ["above"], ["instead"]],
+])) | dict(zip([p for _, p in CREDENTIALS], [[["AKIA"]], [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]], [["xox"]], [["_live_"]], [["PRIVATE KEY-----"]]])) | dict(zip(SYSTEM, [
+    [[";", "|", "&&", "`", "$("], ["rm", "wget", "curl", "bash", "sh", "nc", "netcat", "nmap", "python", "perl", "ruby", "php", "node"]], [["/etc/"]],
+])) | dict(zip(WEB, [
+    [["<script"], ["</script>"]], [["javascript"]], [["="], ["onerror", "onload", "onclick", "onmouseover", "onkeydown"]], [["union"], ["select"]], [["="], ["or"], ["1"]], [[";"], ["table"]],
+])) | {EXFILTRATION_TOOL: [["curl", "wget", "fetch"]], EXFILTRATION_SECRET: [["$", "process.env", ".env"]]}
+# LONG_BASE64 tried at the first character of a run only, and the first bytes of what INVISIBLE holds, in UTF-8.
+_RUN_OF_100 = f"(?<![{string.ascii_letters}{string.digits}+/=])[{string.ascii_letters}{string.digits}+/=]{{100}}"  # letter by letter: a table, where ranges are compared one by one
+_INVISIBLE_BYTES = (b"\xe2\x80", b"\xe2\x81", b"\xef\xb8", b"\xef\xbb")
+
+
+def holds_needed(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a text, and its form in lower case, hold what every match of the pattern holds. It costs less than a search."""
+    at = low if pattern.startswith("(?i)") else text
+    if pattern == INVISIBLE:
+        return (F.octet_length(text) > F.length(text)) & functools.reduce(Column.__or__, [F.contains(text.cast("binary"), F.lit(x)) for x in _INVISIBLE_BYTES])
+    if pattern == LONG_BASE64:
+        return text.rlike(_RUN_OF_100)
+    if pattern in [p for _, p in PERSONAL]:
+        return text.rlike("[0-9]-[0-9]{2}-[0-9]" if pattern == PERSONAL[0][1] else "[0-9]{13}")
+    return functools.reduce(Column.__and__, [functools.reduce(Column.__or__, [at.contains(w) for w in group]) for group in NEEDED[pattern]])
+
+
 def scan_content(column: str) -> Column:
-    """Warnings in order."""
-    hit = F.col(column).rlike
+    """Warnings in order. A pattern is searched for only where the text holds what every match of it holds."""
+    return F.get(F.transform(F.array(F.lower(column)), lambda low: _warnings(F.col(column), low)), F.lit(0))  # lower case once
+
+
+def _warnings(text: Column, low: Column) -> Column:
+    hit = lambda p: holds_needed(text, low, p) & text.rlike(p)
     first = F.lit(None).cast("string")
     for p in reversed(INJECTION):
         first = F.when(hit(p), F.lit(WARNINGS["injection"] + p)).otherwise(first)
@@ -178,7 +210,8 @@ def moderation_status(reasons: str) -> Column:
 
 
 def moderate(df: DataFrame, column: str) -> DataFrame:
-    rows = df.withColumn("__text", F.trim(column)).withColumn("reasons", scan_content("__text")).drop("__text")
+    rows = df.withColumn("__text", F.trim(column))
+    rows = rows.select("*", F.explode(F.array(scan_content("__text"))).alias("reasons")).drop("__text")  # filters on the status don't scan again
     return rows.withColumn("status", moderation_status("reasons"))
 
 
