@@ -64,9 +64,30 @@ WEB = [
 SECRET_NAMES = ("key", "secret", "token", "pass", "pwd", "auth", "cert", "hash")
 
 
+# Of these parts every match of a format, or of an argument, holds one.
+MARKS = {
+    "github_pat_classic": ["ghp_"], "github_pat_fine": ["github_pat_"], "github_oauth": ["gho_", "ghs_", "ghu_"], "stripe_key": ["sk_live_", "sk_test_"], "stripe_pub": ["pk_live_", "pk_test_"], "aws_access_key": ["AKIA", "ASIA"],
+    "slack_token": ["xox"], "google_api_key": ["AIza"], "jwt": ["eyJ"], "uri_credentials": ["://"], "pem_private_key": ["PRIVATE KEY-----"],
+    "auth_header": ["-H", "-h"], "basic_auth": ["-u"], "sensitive_flag_eq": ["--"], "sensitive_flag_sp": ["--"], "env_prefix": ["="],
+}
+
+
+def _marked(text: Column, kind: str) -> Column:
+    return functools.reduce(Column.__or__, [text.contains(w) for w in MARKS[kind]])
+
+
+def _replaced(text: Column, kind: str, pattern: str, by: str) -> Column:
+    """The text after a replacement, searched for only in texts that hold what a match needs."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(_marked(x, kind), F.regexp_replace(x, pattern, by)).otherwise(x)), F.lit(0))  # the text before is made once
+
+
+def holds_known_token(text: Column) -> Column:
+    return functools.reduce(Column.__or__, [_marked(text, kind) & text.rlike(pattern) for kind, pattern in KNOWN_TOKENS])
+
+
 def redact_known_tokens(text: Column) -> Column:
     for kind, pattern in KNOWN_TOKENS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+        text = _replaced(text, kind, pattern, f"[REDACTED:{kind}]")
     return text
 
 
@@ -74,13 +95,14 @@ def known_token_counts(df: DataFrame, column: str) -> DataFrame:
     """Adds the number of matches of each format, each counted after the formats before it were replaced."""
     rows = df.withColumn("__left", F.col(column))
     for kind, pattern in KNOWN_TOKENS:
-        rows = rows.withColumn(kind, F.regexp_count("__left", F.lit(pattern))).withColumn("__left", F.regexp_replace("__left", pattern, f"[REDACTED:{kind}]"))
+        found = F.when(_marked(F.col("__left"), kind), F.regexp_count("__left", F.lit(pattern))).when(F.col("__left").isNotNull(), 0)
+        rows = rows.withColumn(kind, found).withColumn("__left", _replaced(F.col("__left"), kind, pattern, f"[REDACTED:{kind}]"))
     return rows.drop("__left")
 
 
 def redact_arguments(text: Column) -> Column:
-    for _, pattern, label in ARGUMENTS:
-        text = F.regexp_replace(text, pattern, f"$1[REDACTED:{label}]")
+    for kind, pattern, label in ARGUMENTS:
+        text = _replaced(text, kind, pattern, f"$1[REDACTED:{label}]")
     return text
 
 
@@ -99,6 +121,8 @@ def is_secret_token(token: Column, threshold: float = 4.5, least: int = 20) -> C
 
 
 TOKEN = r"[A-Za-z0-9+/=_\-]{8,}"
+# Fixed value: 20 characters of a token, tried at its first one only. Letter by letter the class is a table; ranges are compared one by one.
+LONG_TOKEN = rf"(?<![{string.ascii_letters}{string.digits}+/=_\-])[{string.ascii_letters}{string.digits}+/=_\-]{{20}}"
 
 
 def secret_tokens(df: DataFrame, column: str, key: str, threshold: float = 4.5) -> DataFrame:
@@ -112,7 +136,7 @@ def redact_entropy(text: Column, threshold: float = 4.5) -> Column:
     """The text with each high-entropy token replaced where it stands."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda x: F.when(is_secret_token(x, threshold), "[REDACTED:high_entropy]").otherwise(x))
     rewritten = F.array_join(F.zip_with(F.split(text, TOKEN, -1), tokens, lambda before, x: F.concat(before, F.coalesce(x, F.lit("")))), "")
-    return F.when(text.rlike(r"[A-Za-z0-9+/=_\-]{20}"), rewritten).otherwise(text)
+    return F.when(text.rlike(LONG_TOKEN), rewritten).otherwise(text)
 
 
 def redact_denylist(column: str, programs: Sequence[str] = tuple(RISKY)) -> Column:
@@ -140,7 +164,7 @@ def redact_damage_cap(column: str, command: bool, ratio: float = 0.5) -> tuple[C
 
 def redact_pipeline(df: DataFrame, column: str, command: bool = False) -> DataFrame:
     """All layers in order: the text, whether it may be embedded, and whether it is dropped. It runs on streams too."""
-    rows = df.withColumn("embedding_safe", ~F.greatest(*[F.col(column).rlike(p) for _, p in KNOWN_TOKENS]))
+    rows = df.withColumn("embedding_safe", ~holds_known_token(F.col(column)))
     rows = rows.withColumn(column, redact_arguments(redact_known_tokens(F.col(column)))).withColumn(column, redact_entropy(F.col(column)))
     rows = rows.withColumn(column, redact_denylist(column)) if command else rows
     text, dropped = redact_damage_cap(column, command)

@@ -28,3 +28,32 @@ def test_a_filter_on_the_status_scans_once(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, "flagged_soft")]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("reveal.s", plan)) <= 2  # the pattern and its warning
+
+SECRETS = [
+    "ghp_" + "aB3" * 12, "github_pat_" + "x" * 22, "gho_" + "a" * 36, "ghs_" + "a" * 36, "ghu_" + "a" * 36, "sk_live_" + "a" * 24, "pk_test_" + "a" * 24, "AKIA" + "A1" * 8, "ASIA" + "B2" * 8, "xoxr-1234567890", "AIza" + "a" * 35, "eyJa.eyJb.c", "ftp://u:pw@h/x",
+    "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----", "-H 'Authorization: Bearer abc'", "-h X-My-Token: abc", "-u me:pw", "--TOKEN=abc", "--api_key abc", "; my_secret=1", "a | B_KEY=x", "eyJhttps://a:b@c.eyJd.e", "ghp_" + "a" * 36 + "://x:y@z", "plain", "", None,
+]
+
+
+def test_replacements_are_those_of_the_plain_chain(spark):
+    df = spark.createDataFrame([(f"{a}{t}{b}" if t is not None else None,) for t in SECRETS for a, b in (("", ""), ("ä ", " ö"), ("AB_PASS=", ""))], "text string")
+    plain, safe = F.col("text"), ~F.greatest(*[F.col("text").rlike(p) for _, p in redact.KNOWN_TOKENS])
+    for kind, pattern in redact.KNOWN_TOKENS:
+        plain = F.regexp_replace(plain, pattern, f"[REDACTED:{kind}]")
+    known = plain
+    for _, pattern, label in redact.ARGUMENTS:
+        plain = F.regexp_replace(plain, pattern, f"$1[REDACTED:{label}]")
+    got = redact.redact_arguments(redact.redact_known_tokens(F.col("text")))
+    rows = df.select("text", known.alias("known"), plain.alias("plain"), got.alias("got"), safe.alias("safe"), (~redact.holds_known_token(F.col("text"))).alias("own")).collect()
+    assert all(r.plain == r.got and r.safe == r.own for r in rows)
+    kinds = [k for k, _ in redact.KNOWN_TOKENS]
+    assert all(any(f"[REDACTED:{k}]" in (r.known or "") for r in rows) for k in kinds)
+    assert all(any(f"[REDACTED:{k}]" in (r.plain or "") for r in rows) for _, _, k in redact.ARGUMENTS)
+    counts = redact.known_token_counts(df, "text").collect()
+    assert all(r[k] is None for r in counts for k in kinds if r.text is None) and all(sum(r[k] for r in counts if r.text) > 0 for k in kinds)
+
+
+def test_long_tokens_at_borders(spark):
+    texts = ["a" * 19, "a" * 20, "x " + "-" * 20 + ".", "é" + "a_=" * 7, "a" * 12 + " " + "b" * 12, "/" * 41, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").rlike(redact.LONG_TOKEN), F.col("text").rlike(r"[A-Za-z0-9+/=_\-]{20}")).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows] == [False, True, True, True, False, True, None]
