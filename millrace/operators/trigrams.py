@@ -20,6 +20,9 @@ from millrace.functions.patterns import Needs, grams, needs_of, number
 from millrace.operators import scan
 from millrace.operators.lists import quick_filter
 
+#: Small blocks are no more than these; each is a folder, and many small folders take longer than their texts.
+SMALL_BLOCKS = 256
+
 
 def _postings(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,12 +59,13 @@ class TrigramIndex:
     def build(cls, df: DataFrame, path: str, columns: Sequence[str], key: str = "doc_id", per_block: int = 65_536) -> TrigramIndex:
         """Writes the index. ``columns`` are searched; other columns are kept beside them.
 
-        Rows are dealt to blocks by a hash of the key, about ``per_block`` to each; the texts are shuffled once, posting
-        lists are not. Null texts hold nothing. Keys should differ; rows of one key are found together, rows
+        Rows are dealt to blocks by a hash of the key, about ``per_block`` to each, or more where that makes
+        more than ``SMALL_BLOCKS`` of under 65,536 rows; the texts are shuffled once, posting lists are not. Null texts hold nothing. Keys should differ; rows of one key are found together, rows
         without a key only by patterns that need no trigram. A column named ``block`` is replaced.
         """
         spark = df.sparkSession
-        blocks = max(1, -(-df.count() // per_block))
+        rows = df.count()
+        blocks = max(1, min(-(-rows // per_block), max(SMALL_BLOCKS, -(-rows // 65_536))))
         placed = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition("block").sortWithinPartitions("block", key)
         placed.write.partitionBy("block").parquet(f"{path}/texts")
         held = spark.read.schema(placed.schema).parquet(f"{path}/texts")

@@ -70,3 +70,11 @@ def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     assert index.matching("nowhere", "text").count() == 0
     empty = TrigramIndex.build(rows.limit(0), str(tmp_path / "e"), ["text"])
     assert empty.matching("quokka", "text").count() == 0
+
+
+def test_folders_do_not_grow_with_small_blocks(spark, tmp_path):
+    df = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    index = TrigramIndex.build(df, str(tmp_path / "many"), ["text"], "doc_id", per_block=2)
+    assert len(list((tmp_path / "many/texts").glob("block=*"))) <= trigrams.SMALL_BLOCKS
+    assert {r.doc_id for r in index.containing("number 29", ["text"]).collect()} == {29, *range(290, 300)}
+    assert index.containing("absent", ["text"]).count() == 0
