@@ -195,6 +195,8 @@ NEEDED = dict(zip(INJECTION, [
 # LONG_BASE64 tried at the first character of a run only, and the first bytes of what INVISIBLE holds, in UTF-8.
 _RUN_OF_100 = f"(?<![{string.ascii_letters}{string.digits}+/=])[{string.ascii_letters}{string.digits}+/=]{{100}}"  # letter by letter: a table, where ranges are compared one by one
 _INVISIBLE_BYTES = (b"\xe2\x80", b"\xe2\x81", b"\xef\xb8", b"\xef\xbb")
+# Fixed value: the boundary of a word of ASCII letters, digits and underscores. Before Java 19 \b counts letters of all scripts as parts of words, though \w doesn't.
+_WORD_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def holds_needed(text: Column, low: Column, pattern: str) -> Column:
@@ -215,7 +217,7 @@ def scan_content(column: str) -> Column:
 
 
 def _warnings(text: Column, low: Column) -> Column:
-    hit = lambda p: holds_needed(text, low, p) & text.rlike(p)
+    hit = lambda p: holds_needed(text, low, p) & text.rlike(p.replace(r"\b", _WORD_BOUNDARY))
     first = F.lit(None).cast("string")
     for p in reversed(INJECTION):
         first = F.when(hit(p), F.lit(WARNINGS["injection"] + p)).otherwise(first)

@@ -177,10 +177,15 @@ def audit_trail(df: DataFrame, action: str, actor: str) -> DataFrame:
     return df.select(F.lit(action).alias("action"), F.lit(actor).alias("actor"), F.col("id").alias("entity_id"), F.to_json(F.struct("id")).alias("details"))
 
 
+def has_content(column: str) -> Column:
+    """Whether a text holds anything but spaces of whatever width; line ends and tabs are content, as for SQL's trim."""
+    return F.coalesce(F.col(column).rlike(r"\P{Zs}"), F.lit(False))
+
+
 def create_with_rules(df: DataFrame, status: Column) -> tuple[DataFrame, DataFrame]:
     """Accepted rows with defaults, and rejected ones: without content, or rejected by moderation."""
     rows = df.withColumn("moderation_status", status)
-    ok = (F.trim(F.coalesce("content", F.lit(""))) != "") & (F.col("moderation_status") != "reject_hard")
+    ok = has_content("content") & (F.col("moderation_status") != "reject_hard")
     defaults = {"importance": F.when(F.coalesce("importance", F.lit(0)) <= 0, 1).otherwise(F.col("importance")), "category": F.coalesce(F.nullif("category", F.lit("")), F.lit("observation")), "owner": F.coalesce(F.nullif("owner", F.lit("")), F.lit("agent"))}
     return rows.filter(ok).withColumns(defaults), rows.filter(~ok)
 
