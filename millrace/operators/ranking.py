@@ -161,13 +161,19 @@ def hybrid_search(
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def _prefixes(sets: DataFrame, words: str, common: list[int], threshold: float) -> DataFrame:
-    """(key, size, token, pos, short) of the first words of sets in a fixed order, the common ones last.
+_MIX = np.int64(-7046029254386353131)
 
-    ``short`` says whether a larger set with enough in common must share this part alone.
+
+def _prefixes(sets: DataFrame, common: list[int], threshold: float, levels: Sequence[int], least: int) -> DataFrame:
+    """(num, token, meta) of the first words of sets in a fixed order, the common ones last.
+
+    ``token`` is a hash of the word and of a level of sizes: the set's own one, shifted by each of ``levels``. ``meta``
+    holds the set's size, the word's place, and whether a larger set with enough in common must share ``least`` words of this
+    part alone; only such words go to the level above, where sets are larger.
     """
     order = np.array(common, np.int64)
     by = np.argsort(order, kind="stable")
+    width = max(-math.log(threshold), 1e-6) * (1 + 1e-9)  # sizes that fit lie on the same level or the next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,49 +188,107 @@ def _prefixes(sets: DataFrame, words: str, common: list[int], threshold: float)
                 sorted_ = np.lexsort((tokens, rank, row))
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
                 n = size[row]
-                keep = pos < n - np.ceil(n * threshold - 1e-9) + 1
-                short = pos < n - np.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-                key = batch.column("key").take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(c) for c in (n[keep], tokens[sorted_][keep], pos[keep], short[keep]))], names=["key", "size", "token", "pos", "short"])
-
-    return sets.select("key", F.transform(words, lambda w: F.xxhash64(w)).alias("tokens")).mapInArrow(run, "key string, size long, token long, pos long, short boolean")
+                keep = pos < n - np.ceil(n * threshold - 1e-9) + least
+                short = pos < n - np.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + least
+                num = batch.column("num").to_numpy(zero_copy_only=False)
+                level = np.floor(np.log(n) / width).astype(np.int64)
+                for shift in levels:
+                    use = keep & short if shift > 0 else keep
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (num[row[use]], tokens[sorted_][use] ^ (level[use] + shift) * _MIX, n[use] << 32 | pos[use] << 1 | short[use])], names=["num", "token", "meta"])
+
+    return sets.select("num", F.transform("w", lambda w: F.xxhash64(w)).alias("tokens")).mapInArrow(run, "num long, token long, meta long")
+
+
+def _nearest(threshold: float, kind: str):
+    """Of sorted rows (token, i, j, num, id, w), each prompt's nearest memory among the rows of the same (token, i, j): a memory has an id, a prompt none."""
+
+    def best(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, lists = rows.column("id").combine_chunks(), rows.column("w").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        words, mark = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.uint8)
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(size)
+        memory = ids.is_valid().to_numpy(zero_copy_only=False)
+        rank = np.empty(len(ids), np.int64)
+        rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        out: list[tuple[int, int, float]] = []
+        for a, b in zip(starts, [*starts[1:], len(ids)]):
+            here = np.arange(a, b)
+            mine, theirs = here[~memory[a:b]], here[memory[a:b]]
+            if not len(mine) or not len(theirs):
+                continue
+            other = np.concatenate([words[end[k] - size[k] : end[k]] for k in theirs])
+            at = np.cumsum(size[theirs]) - size[theirs]
+            for k in mine:
+                own = words[end[k] - size[k] : end[k]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[other], at, dtype=np.int64)
+                mark[own] = 0
+                score = both / (size[k] + size[theirs] - both)
+                top = score.max()
+                if top >= threshold:
+                    ties = theirs[score == top]
+                    out.append((k, ties[np.argmin(rank[ties])], top))
+        mine, theirs, score = (np.array([x[c] for x in out], t) for c, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.RecordBatch.from_arrays([rows.column("num").combine_chunks().take(pa.array(mine)), ids.take(pa.array(theirs)), pa.array(score)], names=["num", "target", "score"])
 
-
-def route_prompts(prompts: DataFrame, memories: DataFrame, threshold: float = 0.85, common: int = 1 << 17) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last group, which the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            group = np.stack([rows.column(c).to_numpy() for c in ("token", "i", "j")])
+            starts = np.concatenate([[0], 1 + np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0))])
+            if len(starts) > 1:
+                yield best(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield best(held, np.zeros(1, np.int64))
+
+    return run, f"num long, target {kind}, score double"
+
+
+def route_prompts(prompts: DataFrame, memories: DataFrame, threshold: float = 0.85, common: int = 1 << 17, least: int = 3, words: int = 1 << 18) -> DataFrame:
     """(prompt_id, op, target, importance): update a memory with nearly the same words, else create by what is said.
 
     Equal sets of words are one, and a prompt with a memory of its own set is decided by that. Other candidates share
-    one of the first |set| - ceil(threshold * |set|) + 1 words in a fixed order, here the ``common`` most frequent ones
-    last; of the smaller set even the first |set| - ceil(2 threshold / (1 + threshold) |set|) + 1. Sizes and places of
-    the shared word must allow enough words in common; then the whole sets decide.
+    ``least`` (all, if fewer) of the first |set| - ceil(threshold * |set|) + least words in a fixed order, here the ``common``
+    most frequent ones last; of the smaller set even of the first |set| - ceil(2 threshold / (1 + threshold) |set|) + least.
+    Sizes and places of a shared word must allow enough words in common; then the whole sets decide.
+
+    Candidates travel as numbers. A pair is compared where its smallest shared word is, and there each set comes once for all
+    its pairs, in blocks of about so many ``words`` a side. So the sets that travel grow with the texts, not with the pairs.
     """
-    from millrace.operators.similarity import jaccard, word_set
+    from millrace.operators.similarity import word_set
 
-    identity = lambda w: F.sha2(F.array_join(F.array_sort(w), "\n"), 256)
-    m = stored(memories.select("id", word_set("content").alias("w")).filter(F.size("w") > 0).withColumn("key", identity("w")))
-    p = stored(prompts.select("prompt_id", "prompt", word_set("prompt").alias("v")).withColumn("key", identity("v")))
-    targets = m.groupBy("key").agg(F.min("id").alias("id"))
-    equal = p.select("prompt_id", "key").join(targets, "key").select("prompt_id", F.col("id").alias("target"))
-    open_ = p.filter(F.size("v") > 0).join(targets, "key", "left_anti").groupBy("key").agg(F.min("prompt_id").alias("prompt_id"))
-    ms = stored(m.join(targets, ["key", "id"]).dropDuplicates(["key"]).select("key", "id", "w"))
-    ps = stored(p.join(open_, ["key", "prompt_id"]).dropDuplicates(["key"]).select("key", "v"))
+    identity = lambda w: F.unhex(F.sha2(F.array_join(F.array_sort(w), "\n"), 256))
+    kind = memories.schema["id"].dataType.simpleString()
+    texts = memories.select("id", word_set("content").alias("w")).unionByName(prompts.select(F.lit(None).cast(kind).alias("id"), word_set("prompt").alias("w")))
+    whole = texts.filter(F.size("w") > 0).withColumn("key", identity("w")).groupBy("key").agg(F.min("id").alias("id"), F.first("w").alias("w"))
+    sets = stored(whole.select(F.monotonically_increasing_id().alias("num"), "key", "id", F.size("w").alias("size"), "w"))
+    ms, ps = sets.filter("id is not null"), sets.filter("id is null")
 
     frequent = ms.select(F.explode("w").alias("word")).groupBy(F.xxhash64("word").alias("token")).count().orderBy(F.desc("count"), "token").limit(common)
     ranks = [r["token"] for r in frequent.collect()]
-    width = max(-math.log(threshold), 1e-6) * (1 + 1e-9)  # sizes that fit lie on the same level or the next
-    level = F.floor(F.log("size") / width).cast("int")
-    left = _prefixes(ps, "v", ranks, threshold).withColumn("level", F.explode(F.array(level - 1, level, level + 1)))
-    right = _prefixes(ms, "w", ranks, threshold).withColumn("level", level)
-    x, y = left.alias("x"), right.alias("y")
-    n, k = F.col("x.size"), F.col("y.size")
+    x, y = _prefixes(ps, ranks, threshold, (-1, 0, 1), least).alias("x"), _prefixes(ms, ranks, threshold, (0,), least).alias("y")
+    n, k, n_at, k_at = (f(F.col(c)) for f in (lambda c: F.shiftright(c, 32), lambda c: F.shiftright(c, 1).bitwiseAND(0x7FFFFFFF)) for c in ("x.meta", "y.meta"))
+    smaller = F.when(n <= k, F.col("x.meta")).otherwise(F.col("y.meta")).bitwiseAND(1) == 1
     shared = F.ceil((n + k) * (threshold / (1 + threshold)) - 1e-6)
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level"))
-    fits = (n * threshold <= k + 1e-6) & (k * threshold <= n + 1e-6) & F.when(n <= k, F.col("x.short")).otherwise(F.col("y.short")) & (1 + F.least(n - 1 - F.col("x.pos"), k - 1 - F.col("y.pos")) >= shared)
-    pairs = x.join(y, met & fits).select(F.col("x.key").alias("key"), F.col("y.key").alias("other")).distinct()
-    scored = pairs.join(ps, "key").join(ms.select(F.col("key").alias("other"), "id", "w"), "other").withColumn("score", jaccard("v", "w")).filter(F.col("score") >= threshold)
-    near = scored.groupBy("key").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("target"))
-    best = equal.unionByName(p.select("prompt_id", "key").join(near, "key").select("prompt_id", "target"))
+    fits = (n * threshold <= k + 1e-6) & (k * threshold <= n + 1e-6) & smaller & (least + F.least(n - 1 - n_at, k - 1 - k_at) >= shared)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).groupBy(F.col("x.num").alias("a"), F.col("y.num").alias("b")).agg(F.min("x.token").alias("token"), F.sum(F.when(shared < least, least).otherwise(1)).alias("times")).filter(F.col("times") >= least)
+
+    sides = stored(pairs.select("token", F.explode(F.array("a", "b")).alias("num")).distinct().join(sets.select("num", "size", F.col("id").isNull().alias("asks")), "num"))
+    blocks = lambda asks: F.greatest(F.ceil(F.sum(F.when(F.col("asks") == asks, F.col("size"))) / words), F.lit(1)).cast("int")
+    dealt = sides.join(sides.groupBy("token").agg(blocks(True).alias("n"), blocks(False).alias("k")), "token")
+    own, all_ = (lambda c: F.array(F.pmod(F.xxhash64("num"), F.col(c)).cast("int"))), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = dealt.withColumn("i", F.explode(F.when(F.col("asks"), own("n")).otherwise(all_("n")))).withColumn("j", F.explode(F.when(F.col("asks"), all_("k")).otherwise(own("k"))))
+    met = dealt.select("token", "num", "i", "j").join(sets.select("num", "id", "w"), "num").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    near = met.mapInArrow(*_nearest(threshold, kind)).groupBy("num").agg(F.min_by("target", F.struct(-F.col("score"), F.col("target"))).alias("target"))
+    best = sets.select("num", "key", "id").join(near, "num", "left").select("key", F.coalesce("id", "target").alias("target")).filter("target is not null")
     low = F.lower("prompt")
-    op = F.when(F.col("target").isNotNull(), "update_memory").when(low.contains("remember"), "create_memory").when(low.contains("skill"), "create_skill").otherwise("create_memory")
-    importance = F.when(F.col("target").isNull() & low.contains("remember"), 5).when(F.col("target").isNull() & ~low.contains("skill"), 4)
-    return p.select("prompt_id", "prompt").join(best, "prompt_id", "left").select("prompt_id", op.alias("op"), "target", importance.alias("importance"))
+    asked = prompts.select("prompt_id", low.contains("remember").alias("remember"), low.contains("skill").alias("skill"), identity(word_set("prompt")).alias("key"))
+    remember, skill = F.col("remember"), F.col("skill")
+    op = F.when(F.col("target").isNotNull(), "update_memory").when(remember, "create_memory").when(skill, "create_skill").otherwise("create_memory")
+    importance = F.when(F.col("target").isNull() & remember, 5).when(F.col("target").isNull() & ~skill, 4)
+    return asked.join(best, "key", "left").select("prompt_id", op.alias("op"), "target", importance.alias("importance"))
